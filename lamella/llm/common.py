@@ -98,3 +98,49 @@ def splitmix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+
+
+def pieces(texts: list[bytes], most: int = SLICE_BYTES, docs: int = 512) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Slices of at most about ``most`` bytes and ``docs`` pieces: the pieces, and which text each is of.
+
+    A text above ``most`` is cut, after white space where there is some, so memory
+    does not grow with the longest text.
+    """
+    held, of, total = [], [], 0
+    for i, text in enumerate(texts):
+        start = 0
+        while True:
+            end = len(text)
+            if end - start > most:
+                end = start + most
+                space = max(text.rfind(b" ", start, end), text.rfind(b"\n", start, end))
+                if space > start:
+                    end = space + 1
+                else:
+                    while text[end] & 0xC0 == 0x80:
+                        end -= 1
+            if held and (total + end - start > most or len(held) >= docs):
+                yield held, np.array(of)
+                held, of, total = [], [], 0
+            held.append(text[start:end])
+            of.append(i)
+            total += end - start
+            start = end
+            if start >= len(text):
+                break
+    if held:
+        yield held, np.array(of)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label): at most ``per_class`` documents of each label, the first by a hash of the id.
+
+    Only rows whose crc32(id as text) mod 5 is not 0 are read as labelled. Of
+    several labels of one id the largest counts; null labels and ids do not count.
+    """
+    known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 5) != 0))
+    known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    first = [known.filter(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (0, 1)]
+    chosen = cut(first[0].unionAll(first[1])).withColumnRenamed("doc_id", "_id")
+    # Bounded by 2 * per_class ids, so it is sent to every task.
+    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col("_id").alias("doc_id"), F.col(text_col).alias("text"), "label")

@@ -169,7 +169,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = cut(naming.identities(docs, id_col, text_col))
     best = found.groupBy("depth", "name").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return found.join(best, ["depth", "name"]).select(
+    # With the groups in a table of their own, Spark can split a hot group's side of the join.
+    return found.join(cut(best), ["depth", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256"
     )
 

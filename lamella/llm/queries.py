@@ -10,6 +10,8 @@ from lamella.llm.chat import digests
 from lamella.llm.common import table
 from lamella.llm.exact_dedup import exact_groups
 from lamella.llm.fingerprint import edited_likeness
+from lamella.llm.langid import languages_of
+from lamella.llm.quality import quality_of
 from lamella.llm.simhash import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages_of(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -36,6 +46,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
+    "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_fingerprints": op10_fingerprints,
