@@ -13,6 +13,7 @@ from lamella.llm.fingerprint import edited_likeness
 from lamella.llm.langid import languages_of
 from lamella.llm.quality import quality_of
 from lamella.llm.simhash import near_groups
+from lamella.llm.toxicity import toxicity_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
     "op7_language_id": op7_language_id,
