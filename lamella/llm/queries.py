@@ -10,7 +10,9 @@ from lamella.llm.chat import digests
 from lamella.llm.common import table
 from lamella.llm.exact_dedup import exact_groups
 from lamella.llm.fingerprint import edited_likeness
+from lamella.llm.html_text import main_texts
 from lamella.llm.langid import languages_of
+from lamella.llm.mixing import Mixture, draws_sql
 from lamella.llm.quality import quality_of
 from lamella.llm.simhash import near_groups
 from lamella.llm.toxicity import toxicity_of
@@ -22,6 +24,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mixture().draws(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +36,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,8 +60,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality": op5_quality,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
@@ -62,6 +74,7 @@ QUERIES: dict[str, Query] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": draws_sql(),
     "op8_exact_dedup": f"""
         WITH x AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS t FROM documents)
         SELECT doc_id,
