@@ -13,6 +13,7 @@ from lamella.llm.fingerprint import edited_likeness
 from lamella.llm.html_text import main_texts
 from lamella.llm.langid import languages_of
 from lamella.llm.mixing import Mixture, draws_sql
+from lamella.llm.pieces import Sampler
 from lamella.llm.quality import quality_of
 from lamella.llm.simhash import near_groups
 from lamella.llm.toxicity import toxicity_of
@@ -44,6 +45,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The vocabulary file of the sampler.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> DataFrame:
+    return Sampler(path).encode(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages_of(table(spark, sf_dir, "documents"))
 
@@ -65,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality": op5_quality,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
