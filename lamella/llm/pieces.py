@@ -33,6 +33,8 @@ MARK, FOREIGN = 0x2581, 0x10FFFE
 PARTS = re.compile(r"\n| *[^ \n]+| +")
 #: Characters that a slice takes; a longer text is a slice of its own.
 SLICE = 1 << 20
+#: Arcs of lattices that a task keeps for the parts of later slices.
+KEPT = 4_000_000
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -58,6 +60,27 @@ class Vocabulary:
         return cls(tuple(sp.id_to_piece(i) for i in range(n)), tuple(-sp.get_score(i) for i in range(n)), tuple(of_bytes[f"<0x{b:02X}>"] for b in range(256)), special)
 
 
+@dataclass
+class Ladder:
+    """Filtered lattices of parts, one after the other.
+
+    ladder: for each arc, ordered by the node where it ends, that node's number
+    plus the share of the ways that come by this arc or one before it. size: the
+    characters of each part. first: its first node.
+    """
+
+    ladder: np.ndarray
+    length: np.ndarray
+    ids: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+
+    def joined(self, other: Ladder) -> Ladder:
+        nodes = int(self.size.sum()) + len(self.size)
+        both = ((self.ladder, other.ladder + nodes), (self.length, other.length), (self.ids, other.ids), (self.size, other.size), (self.first, other.first + nodes))
+        return Ladder(*map(np.concatenate, both))
+
+
 class Lattice:
     """Sampler for one vocabulary. theta: 0 makes all paths alike, large values leave the likeliest path."""
 
@@ -81,11 +104,12 @@ class Lattice:
         digests = np.array([self._digest(x) for x in chars], dtype=np.uint64)
         order = np.argsort(digests)
         self.digests, self.ids = digests[order], np.array(ids, dtype=np.int32)[order]
-        self.maybe = np.zeros(1 << 21, dtype=bool)
-        self.maybe[digests * SPREAD >> np.uint64(43)] = True
-        self.starts = np.zeros(0x110000, dtype=np.int8)  # the longest piece that starts with a character
-        for x in chars:
-            self.starts[x[0]] = max(self.starts[x[0]], len(x))
+        prefixes = np.array([self._digest(x) for x in {y[:k] for y in chars for k in range(1, len(y) + 1)}], dtype=np.uint64)
+        self.maybe = np.zeros(1 << 22, dtype=np.uint8)  # 1: may begin a piece, 2: may be one
+        self.maybe[prefixes * SPREAD >> np.uint64(42)] = 1
+        self.maybe[digests * SPREAD >> np.uint64(42)] = 3
+        self.number: dict[str, int] = {}  # of the parts whose lattices are kept
+        self.kept = Ladder(np.zeros(0), np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     @staticmethod
     def _digest(chars: tuple[int, ...]) -> int:
@@ -97,17 +121,13 @@ class Lattice:
     def arcs(self, points: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, id) of all arcs; room: characters from each place to the end of its part. id -1: bytes."""
         c = points.astype(np.uint64) + np.uint64(1)
-        most = np.minimum(self.starts[points], room)
         start, length, found = [], [], []
         h, at = np.zeros(len(points), dtype=np.uint64), np.arange(len(points))
         single = np.zeros(len(points), dtype=bool)
         for k in range(1, self.longest + 1):
-            keep = most[at] >= k
-            at, h = at[keep], h[keep]
-            if not len(at):
-                break
-            h = h * BASE + c[at + k - 1]
-            likely = np.flatnonzero(self.maybe[h * SPREAD >> np.uint64(43)])
+            h = h * BASE + c[at + (k - 1)]
+            kind = self.maybe[h * SPREAD >> np.uint64(42)]
+            likely = np.flatnonzero(kind == 3)
             where = np.minimum(np.searchsorted(self.digests, h[likely]), len(self.digests) - 1)
             hit = self.digests[where] == h[likely]
             own = at[likely[hit]]
@@ -116,6 +136,10 @@ class Lattice:
             found.append(self.ids[where[hit]])
             if k == 1:
                 single[own] = True
+            keep = (kind > 0) & (room[at] > k)
+            at, h = at[keep], h[keep]
+            if not len(at):
+                break
         rest = np.flatnonzero(~single)
         start.append(rest)
         length.append(np.ones(len(rest), dtype=np.int64))
@@ -129,36 +153,30 @@ class Lattice:
             out += self._encode(keys[a:b], texts[a:b])
         return out
 
-    def _encode(self, keys: list[str], texts: list[str]) -> list[np.ndarray]:
-        number: dict[str, int] = {}
-        of_parts = [[number.setdefault(p, len(number)) for p in PARTS.findall(t)] for t in texts]
-        flat = np.fromiter((i for own in of_parts for i in own), dtype=np.int64)
-        sizes = np.array([len(t) for t in texts])
-        doc_start = np.concatenate([[0], np.cumsum(sizes)])
-        if not len(flat):
-            return [np.zeros(0, dtype=np.int32) for _ in texts]
-        distinct = list(number)
-        part_size = np.array([len(p) for p in distinct])
-        first = np.concatenate([[0], np.cumsum(part_size)])  # of each part's characters; its nodes start part_number later
-        points = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype=np.uint32).copy()
+    def ladder(self, parts: list[str]) -> Ladder:
+        """The lattices of some distinct parts after forward filtering."""
+        size = np.array([len(p) for p in parts], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])  # of each part's characters; its nodes start at first + its number
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32).copy()
         points[points == MARK] = FOREIGN
         points[points == 32] = MARK
-        part_of = np.repeat(np.arange(len(distinct)), part_size)
+        part_of = np.repeat(np.arange(len(parts)), size)
         room = first[part_of + 1] - np.arange(len(points))
         start, length, ids = self.arcs(points, room)
         width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
         width[points == FOREIGN] = 3
         log = np.where(ids >= 0, self.log[ids], self.byte_log * width[start])
+        ids = np.where((ids < 0) & (width[start] == 1), self.byte_ids[points[start] & 0x7F], ids)  # others are spelt at the end
         node = start + part_of[start]
         end = node + length
         order = np.argsort(end * 64 + length)  # two arcs with one end differ in length
         start, length, ids, log, node, end = (x[order] for x in (start, length, ids, log, node, end))
-        # Forward filtering: the nodes at one distance from the starts of their parts at a time.
+        # The nodes at one distance from the starts of their parts at a time.
         reach = start + length - first[part_of[start]]
         by_reach = np.argsort(reach.astype(np.uint16) if reach.max() < 1 << 16 else reach, kind="stable")
         bounds = np.searchsorted(reach[by_reach], np.arange(1, reach.max() + 2))
-        total = np.full(len(points) + len(distinct), -np.inf)
-        total[first[:-1] + np.arange(len(distinct))] = 0.0
+        total = np.full(len(points) + len(parts), -np.inf)
+        total[first[:-1] + np.arange(len(parts))] = 0.0
         for k in range(len(bounds) - 1):
             own = by_reach[bounds[k] : bounds[k + 1]]
             to = end[own]
@@ -166,29 +184,41 @@ class Lattice:
             total[to[cut]] = np.logaddexp.reduceat(total[node[own]] + log[own], cut)
         share = np.exp(total[node] + log - total[end])
         new = np.append(True, end[1:] != end[:-1])
-        last = np.append(new[1:], True)
         running = np.cumsum(share)
         upto = running - np.repeat((running - share)[new], np.diff(np.append(np.flatnonzero(new), len(end))))
-        upto[last] = 1.0
-        ladder = end + np.minimum(upto, 1.0)
+        upto[np.append(new[1:], True)] = 1.0
+        return Ladder(end + np.minimum(upto, 1.0), length.astype(np.int8), ids, size, first[:-1] + np.arange(len(parts)))
+
+    def _encode(self, keys: list[str], texts: list[str]) -> list[np.ndarray]:
+        number, kept = self.number, len(self.number)
+        of_parts = [[number.setdefault(p, len(number)) for p in PARTS.findall(t)] for t in texts]
+        flat = np.fromiter((i for own in of_parts for i in own), dtype=np.int64)
+        doc_start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        if not len(flat):
+            return [np.zeros(0, dtype=np.int32) for _ in texts]
+        fresh = list(number)[kept:]
+        made = self.kept.joined(self.ladder(fresh)) if fresh else self.kept
+        if len(made.ladder) <= KEPT:
+            self.kept = made
+        else:
+            for p in fresh:
+                del number[p]
         # Backward sampling: all parts of the slice at once, ordered so that they read the ladder from end to end.
         sorted_parts = np.argsort(flat, kind="stable")
         part = flat[sorted_parts]
-        begin = (np.concatenate([[0], np.cumsum(part_size[flat])[:-1]]))[sorted_parts]
+        begin = np.concatenate([[0], np.cumsum(made.size[flat])[:-1]])[sorted_parts]
         text_of = np.repeat(np.arange(len(texts)), [len(own) for own in of_parts])[sorted_parts]
         row = np.array([xxhash.xxh64_intdigest(k.encode(), self.seed) for k in keys], dtype=np.uint64)[text_of]
         chosen = np.full(doc_start[-1], -2, dtype=np.int32)
-        left = part_size[part]
-        base = first[part] + part
+        left, base, origin = made.size[part], made.first[part], begin - doc_start[text_of]
         while len(left):
-            place = (begin + left - doc_start[text_of]).astype(np.uint64)
-            noise = (splitmix64(row ^ splitmix64(place)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.searchsorted(ladder, base + left + noise, side="right")
-            left = left - length[arc]
-            chosen[begin + left] = ids[arc]
+            noise = (splitmix64(row + (origin + left).astype(np.uint64) * BASE) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            arc = np.searchsorted(made.ladder, base + left + noise, side="right")
+            left = left - made.length[arc]
+            chosen[begin + left] = made.ids[arc]
             more = left > 0
             if not more.all():
-                left, base, begin, text_of, row = left[more], base[more], begin[more], text_of[more], row[more]
+                left, base, begin, origin, row = left[more], base[more], begin[more], origin[more], row[more]
         taken = np.flatnonzero(chosen > -2)
         picked = chosen[taken]
         cuts = np.searchsorted(taken, doc_start)

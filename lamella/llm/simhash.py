@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import as_bytes, cut, map_batches
+from lamella.llm.common import as_bytes, cut, map_batches, splitmix64
 from lamella.llm.components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -192,3 +192,100 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(best, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@dataclass(frozen=True)
+class NearCopies:
+    """Groups of texts whose sets of word shingles are alike.
+
+    words: of a shingle. similarity: least Jaccard similarity of a link. bands of
+    ``rows`` minima each. joined: texts under one band that are compared with each
+    other; beyond it each is compared with ``pivots`` of them.
+
+    At a similarity of 0.8 fingerprints of 64 bits differ in 6 to 18 bits, beyond
+    what Golay keys of that length can find. So the Golay links (two bits) are
+    joined by candidates that share a band of minima of the shingle hashes; every
+    candidate is verified on the whole sets.
+    """
+
+    words: int = 5
+    similarity: float = 0.8
+    bands: int = 16
+    rows: int = 2
+    joined: int = 32
+    pivots: int = 8
+
+    def shingles(self, text: bytes) -> np.ndarray:
+        """Distinct shingle hashes in order; a text without words has the hash zero."""
+        found = shingle_hashes(text, self.words)
+        return np.unique(found) if len(found) else np.zeros(1, dtype=np.uint64)
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """A key for each band."""
+        minima = np.array([splitmix64(hashes ^ np.uint64(0xD1B54A32D192ED03 * (i + 1) % (1 << 64))).min() for i in range(self.bands * self.rows)], dtype=np.uint64).reshape(self.bands, self.rows)
+        key = np.arange(self.bands, dtype=np.uint64)
+        for j in range(self.rows):
+            key = splitmix64(key ^ minima[:, j])
+        return key.view(np.int64)
+
+    def sketches(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, fp, n, keys) of every document with an id."""
+
+        def run(batch):
+            ids, prints, sizes, keys = batch.column(0), [], [], []
+            for text in as_bytes(batch.column(1)):
+                prints.append(signed(fingerprint(shingle_hashes(text, self.words))))
+                own = self.shingles(text)
+                sizes.append(len(own))
+                keys.append(self.keys(own))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "keys"])
+
+        return map_batches(docs.select("doc_id", "text").filter("doc_id is not null"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n long, keys array<long>")
+
+    def candidates(self, sketches: DataFrame) -> DataFrame:
+        """Pairs (a, b) to verify."""
+        banded = cut(sketches.select("doc_id", "n", F.explode("keys").alias("key")))
+        sizes = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+        close = lambda x, y: F.least(x, y) >= F.floor(self.similarity * F.greatest(x, y))
+        few = banded.join(sizes.filter(F.col("m") <= self.joined), "key", "left_semi")
+        a, b = few.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na")), few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+        pairs = a.join(b, "key").filter("a < b").filter(close(F.col("na"), F.col("nb"))).select("a", "b")
+        many = banded.join(sizes.filter(F.col("m") > self.joined), "key", "left_semi")
+        chosen = many.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))).alias(f"p{i}") for i in range(self.pivots)))
+        chosen = cut(chosen.select("key", F.explode(F.array(*(f"p{i}" for i in range(self.pivots)))).alias("p")).select("key", "p.b", "p.nb").distinct())
+        stars = many.join(chosen, "key").filter(F.col("doc_id") != F.col("b")).filter(close(F.col("n"), F.col("nb")))
+        stars = stars.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+        prints = cut(sketches.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+        links = SimHash(self.words).links(prints.select("fp"))
+        of = lambda name: prints.select(F.col("fp").alias("_" + name), F.col("doc_id").alias("d" + name))
+        golay = links.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
+        same = sketches.select("doc_id", "fp").join(prints.withColumnRenamed("doc_id", "least"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+        return pairs.unionAll(stars).unionAll(golay).unionAll(same).distinct()
+
+    def groups(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, component_id) of the documents that are near copies of another one; component_id is the smallest id of the group."""
+        pairs = cut(self.candidates(cut(self.sketches(docs))))
+        taken = cut(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+
+        def run(batch):
+            sets = [self.shingles(x).view(np.int64) for x in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "own"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        sets = map_batches(docs.select("doc_id", "text").join(taken, "doc_id", "left_semi"), run, f"doc_id {kind}, own array<long>")
+        sets = cut(sets)
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        alike = both.filter(shared >= self.similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+        return components(alike).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, near: NearCopies = NearCopies()) -> DataFrame:
+    """``docs`` with one document, the smallest id, of each group of near copies.
+
+    Groups are the components of the links of :class:`NearCopies`. Rows that
+    repeat an id share its decision; rows with a null id all stay. Null text
+    counts as empty; texts without words are alike. All columns stay as they are.
+    """
+    gone = cut(near.groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

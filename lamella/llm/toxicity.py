@@ -29,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -281,6 +282,14 @@ def with_variants(positive: Counter, rng: np.random.Generator, most: int = 300)
     return out
 
 
+def fitted(docs: DataFrame, labels: DataFrame, column: str, per_class: int, most_chars: int) -> Broadcast:
+    """The model, sent to every task; see :func:`toxicity_of`."""
+    sample = labelled_sample(docs.filter(F.length("text") <= most_chars), labels, column, per_class).select("text", "label")
+    rows = sample.toPandas()  # 2 * per_class texts of most_chars at most
+    order = rows.sort_values(["label", "text"]).index
+    return docs.sparkSession.sparkContext.broadcast(fit(rows["text"][order].tolist(), rows["label"][order].to_numpy(np.float64)))
+
+
 def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, most_chars: int = 32_768, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
@@ -290,10 +299,7 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_c
     has no evidence and scores lowest. Without labels of both kinds all scores
     are the smoothed share of label 1. Other columns are ignored.
     """
-    sample = labelled_sample(docs.filter(F.length("text") <= most_chars), labels, column, per_class).select("text", "label")
-    rows = sample.toPandas()  # 2 * per_class texts of most_chars at most
-    order = rows.sort_values(["label", "text"]).index
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows["text"][order].tolist(), rows["label"][order].to_numpy(np.float64)))
+    model = fitted(docs, labels, column, per_class, most_chars)
 
     def score(batch):
         p = model.value.scores(as_bytes(batch.column(1)))
@@ -302,3 +308,16 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_c
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(lambda it: (y for b in it if b.num_rows for y in score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, most_chars: int = 32_768, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that :func:`toxicity_of` predicts as toxic, all columns as they are."""
+    model = fitted(docs, labels, column, per_class, most_chars)
+    text = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(model.value.scores(as_bytes(batch.column(text))) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
