@@ -1,0 +1,117 @@
+"""Parameter grids, replications and their summaries."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamella.functions.assignment import cheapest_assignment
+from lamella.plans import exact
+
+METRICS = ("error", "nmi", "ari")
+
+
+def grid(spark: SparkSession, scenarios: Iterable[str], parameters: Iterable[float], repetitions: int) -> DataFrame:
+    """(scenario, parameter, seed): every combination."""
+    rows = [(s, float(p)) for s in scenarios for p in parameters]
+    return spark.createDataFrame(rows, "scenario string, parameter double").withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
+
+
+def draw(scenario: str, parameter: float, seed: int, n: int = 150, k: int = 3, degree: float = 10.0) -> tuple[exact.Layers, np.ndarray]:
+    """A planted graph in index form with ``parameter`` layers, and its communities. Scenarios as in operators.generate."""
+    from lamella.operators.generate import SCENARIOS
+
+    rng = np.random.default_rng([seed, int(parameter * 1000)])
+    own = SCENARIOS[scenario]
+    k = own.get("k", k)
+    truth = np.arange(n) // -(-n // k)
+
+    def weights(layer: int) -> np.ndarray:
+        if own.get("theta") == "two":
+            t = np.where(np.arange(n) % -(-n // k) < n // k // 2, 0.15, 0.8)
+            t = t if layer % 2 == 0 else 0.95 - t
+        else:
+            t = rng.exponential(size=n) + 0.2
+        return t / (np.bincount(truth, t, minlength=k) / np.bincount(truth, minlength=k))[truth]
+
+    fixed, layers = weights(0), []
+    for layer in range(int(parameter)):
+        t = weights(layer) if own.get("theta_by_layer") or own.get("theta") == "two" else fixed
+        b = np.full((k, k), 0.04) + 0.06 * np.eye(k)
+        if own.get("blocks") == "random":
+            b = np.full((k, k), 0.04) + np.eye(k) * rng.random() * 0.2
+        elif own.get("blocks") == "core":
+            b = np.array([[1.0, 0.5], [0.5, 0.05]])
+        elif own.get("blocks") == "deficient":
+            b = np.full((k, k), 0.04)
+            b[layer % k, layer % k] = 0.2
+        p = np.outer(t, t) * b[np.ix_(truth, truth)]
+        a = np.triu(rng.random((n, n)) < p * degree * n / p.sum(), 1)
+        i, j = np.nonzero(a | a.T)
+        layers.append((i, j, np.ones(len(i))))
+    return exact.Layers(n, layers), truth
+
+
+def scores(found: np.ndarray, truth: np.ndarray) -> tuple[float, float, float]:
+    """(error, nmi, ari) of labels."""
+    a, b = np.unique(found, return_inverse=True)[1], np.unique(truth, return_inverse=True)[1]
+    k = max(a.max(), b.max()) + 1
+    t = np.zeros((k, k))
+    np.add.at(t, (a, b), 1)
+    n = t.sum()
+    x, y = t.sum(axis=1), t.sum(axis=0)
+    with np.errstate(all="ignore"):
+        mi = np.nansum(t / n * np.log(t * n / np.outer(x, y)))
+        hx, hy = -np.nansum(x / n * np.log(x / n)), -np.nansum(y / n * np.log(y / n))
+    pairs = lambda v: (v * (v - 1) / 2).sum()
+    expected = pairs(x) * pairs(y) / (n * (n - 1) / 2)
+    most = (pairs(x) + pairs(y)) / 2
+    return float(1 + cheapest_assignment(-t)[1] / n), float(2 * mi / (hx + hy)) if hx + hy > 0 else 1.0, float((pairs(t) - expected) / (most - expected)) if most != expected else 1.0
+
+
+def simulate(cells: DataFrame, methods: dict[str, exact.Options]) -> DataFrame:
+    """(scenario, parameter, seed, method, error, nmi, ari): a task for each cell of the grid."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples():
+            g, truth = draw(r.scenario, r.parameter, r.seed)
+            for name, options in methods.items():
+                out.append((r.scenario, r.parameter, r.seed, name, *scores(exact.best_of(g, options).v, truth)))
+        return pd.DataFrame(out, columns=["scenario", "parameter", "seed", "method", *METRICS])
+
+    return cells.groupBy("scenario", "parameter", "seed").applyInPandas(run, "scenario string, parameter double, seed int, method string, error double, nmi double, ari double")
+
+
+def summary(results: DataFrame, by: list[str], metrics: Iterable[str] = METRICS, digits: int = 4) -> DataFrame:
+    """Mean and standard deviation of each metric by group; missing values do not count."""
+    return results.groupBy(*by).agg(*(F.round(f(m), digits).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"))))
+
+
+def mean_sd_se(results: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(…, mean, sd, se): the standard error divides by the number of rows, missing ones included."""
+    return results.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.stddev_samp(value) / F.sqrt(F.count(F.lit(1)))).alias("se"))
+
+
+def wider(results: DataFrame, by: list[str], methods: list[str], value: str) -> DataFrame:
+    """A column for each method."""
+    return results.groupBy(*by).pivot("method", methods).agg(F.first(value))
+
+
+def longer(results: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """(…, metric, value): a row for each metric."""
+    return results.unpivot(by, metrics, "metric", "value")
+
+
+def convergence(history: DataFrame) -> DataFrame:
+    """By iteration over the trials: mean, sd, least and largest error."""
+    return history.groupBy("iteration").agg(F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"), F.min("error").alias("least"), F.max("error").alias("most"))
+
+
+def final_states(history: DataFrame) -> DataFrame:
+    """(trial, iterations, error): the last row of each trial."""
+    return history.groupBy("trial").agg(F.max("iteration").alias("iterations"), F.max_by("error", "iteration").alias("error"))
