@@ -251,9 +251,12 @@ class NearCopies:
         a, b = few.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na")), few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
         pairs = a.join(b, "key").filter("a < b").filter(close(F.col("na"), F.col("nb"))).select("a", "b")
         many = banded.join(sizes.filter(F.col("m") > self.joined), "key", "left_semi")
-        chosen = many.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))).alias(f"p{i}") for i in range(self.pivots)))
-        chosen = cut(chosen.select("key", F.explode(F.array(*(f"p{i}" for i in range(self.pivots)))).alias("p")).select("key", "p.b", "p.nb").distinct())
-        stars = many.join(chosen, "key").filter(F.col("doc_id") != F.col("b")).filter(close(F.col("n"), F.col("nb")))
+        least = lambda i: F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("b"), F.col("n").alias("nb")))
+        pivots = many.groupBy("key").agg(*(least(i).alias(f"p{i}") for i in range(self.pivots)))
+        pivots = cut(pivots.select("key", F.array_distinct(F.array(*(F.struct(f"p{i}.b", f"p{i}.nb") for i in range(self.pivots)))).alias("p")))
+        # The bands of a group mostly share their pivots, so a text's pivots are gathered (one set per band) before they become pairs.
+        stars = many.join(pivots, "key").groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p")).select("doc_id", "n", F.inline("p"))
+        stars = stars.filter(F.col("doc_id") != F.col("b")).filter(close(F.col("n"), F.col("nb")))
         stars = stars.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
         prints = cut(sketches.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
         links = SimHash(self.words).links(prints.select("fp"))
