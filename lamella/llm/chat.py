@@ -17,6 +17,8 @@ strings stand for turns only, and :func:`read_back` restores every text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,20 +71,25 @@ def paths(tree: DataFrame, branches: int = 1) -> DataFrame:
     known = cut(known.join(ids, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("m") == F.col("parent")), "left").select("conv_id", "msg", F.col("m").alias("parent"), "score"))
     # up: the message 2**k steps above, steps: how many steps there are to it or beyond the root, total: scores passed.
     links = known.select("conv_id", "msg", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
-    jumps = []
+    jumps, tops = [], []
     most = max(1, known.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1)
     while True:
-        jumps.append(links.filter("up is not null").select("conv_id", "msg", "up"))
-        if (1 << len(jumps)) > most or not links.filter("up is not null").limit(1).count():
+        # Messages whose path has come to its root are done: only the others are joined on.
+        tops.append(links.filter("up is null").select("conv_id", "msg", "steps", "total"))
+        active = links.filter("up is not null")
+        jumps.append(active.select("conv_id", "msg", "up"))
+        if (1 << len(jumps)) > most or not active.limit(1).count():
             break
-        above = links.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
+        above = links.unionByName(reduce(DataFrame.unionByName, tops[:-1]).withColumn("up", F.lit(None).cast("long"))) if len(tops) > 1 else links
+        above = above.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
         links = cut(
-            links.join(above, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("m") == F.col("up")), "left").select(
-                "conv_id", "msg", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
+            active.join(above, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("m") == F.col("up"))).select(
+                "conv_id", "msg", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total")
             )
         )
+    roots = reduce(DataFrame.unionByName, tops)
     parents = known.select(F.col("conv_id").alias("c"), F.col("parent").alias("m")).filter("m is not null").distinct()
-    leaves = links.filter("up is null").join(parents, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("m") == F.col("msg")), "left_anti")
+    leaves = roots.join(parents, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("m") == F.col("msg")), "left_anti")
     # The best leaves by repeated partial aggregates would cost a pass each; a window's rank filter keeps them before the shuffle.
     order = Window.partitionBy("conv_id").orderBy(F.desc(F.round(F.col("total") / F.col("steps"), 9)), "msg")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches)
