@@ -151,4 +151,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     first = [known.filter(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (0, 1)]
     chosen = cut(first[0].unionAll(first[1])).withColumnRenamed("doc_id", "_id")
     # Bounded by 2 * per_class ids, so it is sent to every task.
-    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col("_id").alias("doc_id"), F.col(text_col).alias("text"), "label")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return own.join(F.broadcast(chosen), own["doc_id"] == F.col("_id")).select("doc_id", "text", "label")
