@@ -15,6 +15,12 @@ def symmetrized(half: DataFrame, how: str = "sum") -> DataFrame:
     return both.groupBy("layer", "src", "dst").agg((F.max if how == "max" else F.sum)("weight").alias("weight"))
 
 
+def mirrored(half: DataFrame) -> DataFrame:
+    """Both directions of edges that are listed once each, without loops: a union, no shuffle."""
+    one = half.select("layer", "src", "dst", "weight")
+    return one.unionAll(one.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
 def binarized(edges: DataFrame) -> DataFrame:
     """Weight 1 for every positive cell, once each."""
     return edges.filter("weight > 0").select("layer", "src", "dst").distinct().withColumn("weight", F.lit(1.0))

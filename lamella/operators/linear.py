@@ -50,7 +50,7 @@ def noise_factor(nodes: DataFrame, r: int, seed: int = 0) -> DataFrame:
     return cells.withColumn("value", (F.pmod(F.xxhash64("node", "k", F.lit(seed)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30))
 
 
-def eigenpairs(edges: DataFrame, nodes: DataFrame, r: int, by_size: bool = True, rounds: int = 12, extra: int = 4, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+def eigenpairs(edges: DataFrame, nodes: DataFrame, r: int, by_size: bool = True, rounds: int = 8, extra: int = 4, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
     """Leading eigenvalues and (node, k, value) eigenvectors of a symmetric matrix (src, dst, weight).
 
     Block power iteration with some extra columns, orthonormalised through Gram

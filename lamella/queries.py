@@ -343,6 +343,19 @@ def fit_parallel(g: Graph) -> DataFrame:
     return rounded(fit.fit_parallel(g.edges, g.nodes, g.part, R, rounds=3).history, "error", "z_change", "frac_changed")
 
 
+def consensus_labels(g: Graph) -> DataFrame:
+    return by_cell(consensus.consensus(cut(base(g)), 3), "node", "c")
+
+
+def consensus_matrix_free(g: Graph) -> DataFrame:
+    return by_cell(consensus.consensus(cut(base(g)), 3, matrix_free=True), "node", "c")
+
+
+def snmf_labels(g: Graph) -> DataFrame:
+    found = factors.symmetric(edges.layer_sum(g.edges), g.nodes, factors.Settings(3, rounds=6, every=3))
+    return by_cell(factors.strongest(found.h), "node", "c")
+
+
 def by_method(name: str, r: int = 3) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e, n = generate.planted(spark, generate.Planted(n=90, layers=3, p=0.2))
@@ -363,7 +376,7 @@ QUERIES: dict[str, Query] = {
         deg_by_layer, layer_norm, layer_stats, layer_summary, transitivity, layer_similarity, sum_graph, mean_graph, norm_adj_tau, diag_augmented, bias_adjusted_square,
         community_mass, degree_share, unit_weights, block_sum_s, block_mean_b, block_normalized, degree_correction, recon_error, sweep_coeffs, quartic, sweep_assign,
         sweep_assign_shared, sweep_error, modularity, coassoc_pairs, bipartite_wy, lap_matvec, skinny_product, gram_matrix, orth_nnls_assign, sspa_pick1, snmtf_iter1, elbow,
-        relabel_by_degree, fit_exact, fit_shared, fit_parallel,
+        relabel_by_degree, fit_exact, fit_shared, fit_parallel, consensus_labels, consensus_matrix_free, snmf_labels,
     )
 } | {
     f.__name__: f
@@ -371,4 +384,4 @@ QUERIES: dict[str, Query] = {
         components, symmetrize_binarize, contingency, nmi, ari, misclass, knn_layer, knn_symmetric, mean_removed_angle, summary_mean_sd, summary_mean_sd_se, pivot_methods, melt_methods,
         best_restart, gen_sbm_edges, gen_scenarios, daily_layers, simulation_grid,
     )
-} | {f"method_{name.replace('-', '_')}": by_method(name) for name in ("dcmase", "consensus", "co-association", "snmf", "csnmtf", "sq-bias-adjusted", "speck", "joint")}
+} | {f"method_{name.replace('-', '_')}": by_method(name) for name in ("dcmase", "sq-bias-adjusted", "joint")}

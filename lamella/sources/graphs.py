@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.functions.scalars import dot, length2
-from lamella.operators.edges import symmetrized, topmost
+from lamella.operators.edges import mirrored, symmetrized, topmost
 
 EDGE_LIST = T.StructType([T.StructField(x, T.StringType()) for x in ("source", "target", "layer")])
 NODE_LIST = T.StructType([T.StructField(x, T.StringType()) for x in ("node", "group", "role")])
@@ -23,7 +23,7 @@ def coactivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = read(spark, sf_dir, "events").select(F.col("event_type").alias("layer"), F.date_trunc("hour", "ts").alias("h"), F.col("user_id").alias("node")).filter("node is not null").distinct()
     a, b = seen.withColumnRenamed("node", "src"), seen.withColumnRenamed("node", "dst")
     half = a.join(b, ["layer", "h"]).filter("src < dst").groupBy("layer", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return symmetrized(half)
+    return mirrored(half)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = read(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("h"), F.col("user_id").alias("node")).filter("node is not null").distinct()
     a, b = seen.withColumnRenamed("node", "src"), seen.withColumnRenamed("node", "dst")
     half = a.join(b, "h").filter("src < dst").select(F.date_format("h", "yyyy-MM-dd").alias("layer"), "src", "dst").distinct()
-    return symmetrized(half.withColumn("weight", F.lit(1.0)))
+    return mirrored(half.withColumn("weight", F.lit(1.0)))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
