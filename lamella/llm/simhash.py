@@ -39,6 +39,8 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints that decode to one key and are still joined with each other.
 JOINED = 256
+#: Most frequent shingles that are told to every task, to put them last.
+COMMON = 1 << 20
 
 
 @cache
@@ -200,7 +202,8 @@ class NearCopies:
 
     words: of a shingle. similarity: least Jaccard similarity of a link. bands of
     ``rows`` minima each. joined: texts under one band that are compared with each
-    other; beyond it each is compared with ``pivots`` of them.
+    other; beyond it each is first compared with ``pivots`` of them, and those that
+    are still apart meet in an exact join (:meth:`crowded`).
 
     At a similarity of 0.8 fingerprints of 64 bits differ in 6 to 18 bits, beyond
     what Golay keys of that length can find. So the Golay links (two bits) are
@@ -242,15 +245,15 @@ class NearCopies:
 
         return map_batches(docs.select("doc_id", "text").filter("doc_id is not null"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n long, keys array<long>")
 
-    def candidates(self, sketches: DataFrame) -> DataFrame:
-        """Pairs (a, b) to verify."""
+    def candidates(self, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) to verify, and the texts (doc_id) under a band of more than ``joined`` texts."""
         banded = cut(sketches.select("doc_id", "n", F.explode("keys").alias("key")))
         sizes = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
         close = lambda x, y: F.least(x, y) >= F.floor(self.similarity * F.greatest(x, y))
         few = banded.join(sizes.filter(F.col("m") <= self.joined), "key", "left_semi")
         a, b = few.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na")), few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
         pairs = a.join(b, "key").filter("a < b").filter(close(F.col("na"), F.col("nb"))).select("a", "b")
-        many = banded.join(sizes.filter(F.col("m") > self.joined), "key", "left_semi")
+        many = cut(banded.join(sizes.filter(F.col("m") > self.joined), "key", "left_semi"))
         least = lambda i: F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("b"), F.col("n").alias("nb")))
         pivots = many.groupBy("key").agg(*(least(i).alias(f"p{i}") for i in range(self.pivots)))
         pivots = cut(pivots.select("key", F.array_distinct(F.array(*(F.struct(f"p{i}.b", f"p{i}.nb") for i in range(self.pivots)))).alias("p")))
@@ -263,11 +266,73 @@ class NearCopies:
         of = lambda name: prints.select(F.col("fp").alias("_" + name), F.col("doc_id").alias("d" + name))
         golay = links.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
         same = sketches.select("doc_id", "fp").join(prints.withColumnRenamed("doc_id", "least"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-        return pairs.unionAll(stars).unionAll(golay).unionAll(same).distinct()
+        return pairs.unionAll(stars).unionAll(golay).unionAll(same).distinct(), cut(many.select("doc_id").distinct())
+
+    def crowded(self, docs: DataFrame, hot: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs (a, b) to verify: all of the texts ``hot`` that can be alike and have no common root in ``found``.
+
+        Texts list their shingles in one order, rare ones first. If x and y are alike,
+        they share at least t = s / (1 + s) of the sum of their sizes; where their
+        first common shingle is at i and j, they share no more than what is left
+        after it, so that n_x + n_y <= min(n_x - i, n_y - j) / t. Texts meet under
+        their shingles within that bound, by classes of size, so a common passage
+        brings together only texts that it can make alike. The order decides how
+        many pairs there are, not which links are found.
+        """
+        own = cut(docs.select("doc_id", "text").join(hot, "doc_id", "left_semi"))
+        most = (1 + self.similarity) / self.similarity
+
+        def listed(batch):
+            found = [self.shingles(x).view(np.int64) for x in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["shingle"])
+
+        counts = map_batches(own, listed, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > self.joined)
+        common = counts.orderBy(F.desc("m"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
+        names, times = common["shingle"].to_numpy(np.int64), common["m"].to_numpy(np.int64)
+
+        def prefixes(batch):
+            ids, sizes, at, shingles = [], [], [], []
+            for i, text in enumerate(as_bytes(batch.column(1))):
+                x = self.shingles(text).view(np.int64)
+                often = np.zeros(len(x), dtype=np.int64)
+                if len(names):
+                    place = np.minimum(np.searchsorted(names, x), len(names) - 1)
+                    often = np.where(names[place] == x, times[place], 0)
+                first = np.lexsort((x, often))[: len(x) - int(np.ceil(self.similarity * len(x) - 1e-9)) + 1]
+                ids.append(np.full(len(first), i))
+                sizes.append(np.full(len(first), len(x)))
+                at.append(np.arange(len(first)))
+                shingles.append(x[first])
+            sizes, at = np.concatenate(sizes), np.concatenate(at)
+            both = np.floor((sizes - at) * most + 1e-6).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(sizes), pa.array(both), pa.array(np.concatenate(shingles))], ["doc_id", "n", "both", "shingle"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        rows = map_batches(own, prefixes, f"doc_id {kind}, n long, both long, shingle long")
+        rows = cut(rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+        apart = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("largest")).filter("least <> largest").select("shingle")
+        rows = cut(rows.join(apart, "shingle", "left_semi"))
+        of_size = lambda n: F.floor(F.log(n) / float(np.log(1.02)))
+        x = rows.filter(F.col("both") >= 2 * F.col("n")).withColumn("size", F.explode(F.sequence(of_size(F.col("n")), of_size(F.col("both") - F.col("n")))))
+        x = x.select("shingle", "size", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("both").alias("ma"), F.col("root").alias("ra"))
+        y = rows.select("shingle", of_size(F.col("n")).alias("size"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("both").alias("mb"), F.col("root").alias("rb"))
+        met = x.join(y, ["shingle", "size"]).filter("ra <> rb and na + nb <= least(ma, mb) and (na < nb or (na = nb and a < b))")
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def groups(self, docs: DataFrame) -> DataFrame:
         """(doc_id, component_id) of the documents that are near copies of another one; component_id is the smallest id of the group."""
-        pairs = cut(self.candidates(cut(self.sketches(docs))))
+        pairs, hot = self.candidates(cut(self.sketches(docs)))
+        alike = self.verified(docs, cut(pairs))
+        found = components(alike)
+        if hot.limit(1).count():
+            found = cut(found)
+            alike = cut(self.verified(docs, cut(self.crowded(docs, hot, found))))
+            if alike.limit(1).count():
+                found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(alike))
+        return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+    def verified(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are alike."""
         taken = cut(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
 
         def run(batch):
@@ -279,8 +344,7 @@ class NearCopies:
         sets = cut(sets)
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        alike = both.filter(shared >= self.similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-        return components(alike).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+        return both.filter(shared >= self.similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, near: NearCopies = NearCopies()) -> DataFrame:

@@ -149,6 +149,26 @@ def test_near_copies(spark, joined):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_near_copies_under_a_common_passage(spark):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(1 << 40, size=n)]
+    texts = []
+    for share in (0.75, 0.8, 0.85, 0.88):
+        passage = fresh(int(150 * share))
+        for i in range(900):
+            own = fresh(150 - len(passage))
+            texts.append(" ".join(passage + own))
+            if i % 6 == 0:  # a copy with a similarity of 0.82
+                texts.append(" ".join(passage + own[:-15] + fresh(15)))
+    near = simhash.NearCopies()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    sets = [frozenset(near.shingles(t.encode()).tolist()) for t in texts]
+    alike = [(i, i + 1) for i in range(len(texts) - 1) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(alike) == 600
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs, near).collect()}
+    assert kept == set(range(len(texts))) - {b for _, b in alike}
+
+
 def test_mixing_meets_its_targets(spark, docs):
     rng = np.random.default_rng(3)
     every = [(i, sentence(rng, int(rng.integers(5, 60))), lang, source, 0, topic) for i, (lang, source, topic) in enumerate(itertools.product(["en", "de"], ["a", "b", "c"], ["t", "u"] * 4))]
