@@ -18,6 +18,7 @@ their first occurrence, which a partial aggregate finds before the shuffle.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import as_bytes, cut, map_batches, partitions
+from lamella.llm.common import as_bytes, cut, map_batches, partitions, shared_dir
 
 #: Bytes in a block.
 BLOCK = 1024
@@ -97,7 +98,7 @@ class BlockNaming:
         ordered = blocks.repartition(partitions(docs.sparkSession), "key_range").sortWithinPartitions("key_range", "digest", "part")
         return cut(ordered.mapInArrow(rank, "digest long, name long, part binary"))
 
-    def rows(self, docs: DataFrame, id_col: str, text_col: str, clashes: set[int] | None) -> DataFrame:
+    def rows(self, docs: DataFrame, id_col: str, text_col: str, clashes: set[int] | None, row_col: str | None = None) -> DataFrame:
         """(row_id, doc_id, text_sha256, digests, parts): parts are null but for digests in ``clashes`` (None: all)."""
 
         def run(batch):
@@ -114,17 +115,18 @@ class BlockNaming:
             )
 
         kind = docs.schema[id_col].dataType.simpleString()
-        chosen = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+        chosen = docs.select(row.alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         return cut(map_batches(chosen, run, f"row_id long, doc_id {kind}, text_sha256 string, digests array<long>, parts array<binary>"))
 
-    def identities(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(row_id, doc_id, text_sha256, depth, name): (depth, name) are equal exactly when the texts are."""
+    def identities(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+        """(row_id, doc_id, text_sha256, depth, name): (depth, name) are equal exactly when the texts are. row_id is ``row_col`` if given."""
         names = self.sorted_names(docs, text_col)
         clash = names.filter(F.col("part").isNotNull()).select("digest").distinct().limit(CLASHES + 1).collect()
         clashes = {r.digest for r in clash} if len(clash) <= CLASHES else None
         if clashes is None:
             names = names.filter("part is not null").unionByName(self._filled(docs, names, text_col))
-        rows = self.rows(docs, id_col, text_col, clashes)
+        rows = self.rows(docs, id_col, text_col, clashes, row_col)
         blocks = rows.select("row_id", F.size("digests").alias("n"), F.posexplode(F.arrays_zip("digests", "parts")).alias("pos", "x"))
         blocks = blocks.select("row_id", "n", "pos", F.col("x.digests").alias("digest"), F.col("x.parts").alias("part"))
         same = (blocks.digest == names.digest) & blocks.part.eqNullSafe(names.part)
@@ -167,19 +169,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of rows with the same id and text one is kept. An empty table gives no rows;
     other columns are ignored. One task holds one text at a time besides a batch.
     """
-    found = cut(naming.identities(docs, id_col, text_col))
+    return decided(docs, id_col, text_col, naming).drop("row_id")
+
+
+def decided(docs: DataFrame, id_col: str, text_col: str, naming: BlockNaming, row_col: str | None = None) -> DataFrame:
+    """The rows of :func:`exact_groups` with their row_id, which is ``row_col`` if given."""
+    found = cut(naming.identities(docs, id_col, text_col, row_col))
     best = found.groupBy("depth", "name").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     # With the groups in a table of their own, Spark can split a hot group's side of the join.
     return found.join(cut(best), ["depth", "name"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256"
+        "row_id", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", naming: BlockNaming = BlockNaming()) -> DataFrame:
-    """``docs`` without its dropped rows, all columns as they are; see :func:`exact_groups`.
+    """``docs`` without exactly the rows that :func:`exact_groups` does not keep, all columns as they are.
 
-    Ids tell rows apart: rows that repeat an id share one decision.
+    Rows are told apart by a key that is written with them, so ids may be null or repeat.
     """
-    groups = exact_groups(docs, id_col, text_col, naming).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("keep_id").alias("_best"))
-    gone = groups.filter(~F.col("_gone").eqNullSafe(F.col("_best"))).select("_gone").distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    gone = decided(rows, id_col, text_col, naming, "_row").filter("not kept").select(F.col("row_id").alias("_gone"))
+    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").drop("_row")

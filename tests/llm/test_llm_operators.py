@@ -58,6 +58,14 @@ def test_exact_groups_without_rows(spark):
     assert exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_copies_go_by_row(spark):
+    rows = [(7, "a copy", "en", "s0", 0), (None, "A copy", "de", "s1", 1), (None, "only here", "en", "s2", 2), (None, "here too", "en", "s3", 3)]
+    rows += [(5, "another", "en", "s4", 4), (5, "a copy", "en", "s5", 5), (8, "same row", "en", "s6", 6), (8, "same row", "en", "s6", 6), (None, None, None, None, 7), (None, "", "en", "s8", 7)]
+    left = exact_dedup.drop_copies(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(r.n_chars for r in left.collect()) == [0, 2, 3, 4, 6, 7]
+
+
 def test_fingerprints(docs, rows):
     got = fingerprint.edited_likeness(docs).collect()
     order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
