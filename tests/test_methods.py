@@ -35,6 +35,23 @@ def test_eigenpairs(graph):
     assert np.allclose(v.T @ v, np.eye(2), atol=1e-6)
 
 
+@pytest.mark.parametrize("by_size", [True, False])
+def test_eigenvectors_of_a_small_gap(spark, by_size):
+    rng, n = np.random.default_rng(4), 90
+    block = np.arange(n) // 30
+    a = np.triu(rng.random((n, n)) < np.where(block[:, None] == block, 0.18, 0.08), 1)
+    a = (a + a.T) / 1.0
+    e = spark.createDataFrame([(int(i), int(j), 1.0) for i, j in np.argwhere(a)], "src long, dst long, weight double")
+    values, vectors = linear.eigenpairs(cut(e), spark.range(n).withColumnRenamed("id", "node"), 3, by_size)
+    want, space = np.linalg.eigh(a)
+    order = np.argsort(-np.abs(want) if by_size else -want)[:3]
+    assert np.allclose(values, want[order], atol=1e-6)
+    v = np.zeros((n, 3))
+    for x in vectors.collect():
+        v[x.node, x.k] = x.value
+    assert np.linalg.svd(space[:, order].T @ v)[1].min() > 1 - 1e-6
+
+
 def test_successive_picks_and_nearest_directions(graph):
     total = cut(layer_sum(graph[0]))
     u = cut(linear.smoothed_vertices(total, graph[1].select("node"), 2, 3, successive=True))
