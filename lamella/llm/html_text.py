@@ -1,14 +1,19 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks: the text between two boundaries of block elements.
-Each block has a cost for either label, content and boilerplate, from its
-surroundings and its wording; these are the capacities of its edges to the two
-terminals. Blocks that follow each other, and blocks next to each other in one
-parent, have smoothness edges, the stronger the closer they are in the document
-tree. The minimum cut gives the labels with the least total cost.
+A classifier (:mod:`lamella.llm.html_training`) turns what is known of a block,
+its wording, its elements and how much of the page's prose stands around it, into
+the log odds of content against boilerplate; these are the capacities of its edges
+to the two terminals. Blocks that follow each other, and blocks next to each other
+in one parent, have smoothness edges, the stronger the closer they are in the
+document tree. The minimum cut gives the labels with the least total cost.
 
 A block whose preference outweighs all its smoothness edges keeps its label in
 some minimum cut, so only the others go through the max-flow.
+
+Every step is linear in the page: an element knows its nearest block, its open
+paragraph, list item and table cell, and end tags without an open element are
+told by a count of the open names.
 """
 
 from __future__ import annotations
@@ -16,9 +21,10 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, defaultdict, deque
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,35 +34,96 @@ BLOCK = frozenset(
 )
 #: Elements without an end tag (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page (fixed values).
-RAW = frozenset("script style noscript template iframe textarea title xmp noframes object svg math".split())
-#: Elements that are boilerplate with all they contain, and how strongly (fixed values).
-OUTSIDE = {"nav": 8.0, "footer": 8.0, "aside": 8.0, "form": 8.0, "header": 5.0, "menu": 6.0, "button": 8.0, "select": 8.0, "option": 8.0, "label": 4.0, "dialog": 6.0, "head": 20.0, "fieldset": 6.0}
-#: Elements that hold main text (fixed values).
-INSIDE = {"article": 3.5, "main": 3.0}
-#: Parts of class, id and role that mark boilerplate (fixed values).
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay menu nav navbar navigation navigationbar breadcrumb breadcrumbs sidebar side rail widget widgets comment comments reply replies respond disqus footer foot header masthead topbar share sharing social subscribe newsletter signup login search searchbox related recommended recommendations pagination pager copyright legal disclaimer toolbar complementary contentinfo form".split()
+#: Elements whose content is read up to their end tag and is no text of the page (fixed values).
+RAW = frozenset("script style noscript iframe textarea title xmp noframes".split())
+#: Elements of other languages, which may close themselves (fixed values).
+FOREIGN = frozenset("svg math".split())
+#: Elements whose content is no text of the page, but elements like any other (fixed values).
+UNSEEN = frozenset("svg math object template audio video canvas".split())
+#: Start tags that end an open foreign element (fixed values).
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre s small span strong sub sup table tt u ul var article section aside nav main header footer form a".split())
+#: Elements beyond which a block start does not end an open paragraph (fixed values).
+PARAGRAPH_ENDS = frozenset("table button td th object".split())
+#: A start tag ends an open element of its group; some elements begin a new scope of groups (fixed values).
+GROUP = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3, "option": 4}
+SCOPE = {"ul": (0,), "ol": (0,), "menu": (0,), "dl": (1,), "table": (2, 3), "select": (4,)}
+
+#: Words of class, id, role and label that the classifier counts: some usual for boilerplate, some for main text (fixed values).
+USUAL_OUTSIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side rail widget widgets comment comments reply replies respond disqus footer foot header masthead topbar share sharing social subscribe newsletter signup login search searchbox related recommended recommendations pagination pager copyright legal disclaimer toolbar complementary contentinfo form".split()
 )
-#: Parts of class, id and role that mark main text (fixed values).
-GOOD = frozenset("article content main body post entry story text paragraph".split())
-#: A start tag ends an open element of the same group (fixed values).
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+USUAL_INSIDE = frozenset("article content main body post entry story text paragraph".split())
+
+#: What an element says about all that it holds, a bit each.
+KINDS = ("nav", "footer", "aside", "form", "header", "head_of_article", "article", "main", "dialog", "head", "outside", "part_outside", "both", "inside", "part_inside", "cell", "item")
+BIT = {name: 1 << i for i, name in enumerate(KINDS)}
+OF_NAME = {
+    "nav": "nav", "menu": "nav", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "select": "form", "option": "form", "label": "form", "fieldset": "form", "dialog": "dialog",
+    "header": "header", "article": "article", "main": "main", "head": "head", "td": "cell", "th": "cell", "li": "item",
+}
+#: Words of a block from which on it counts as prose.
+PROSE = 8
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</[^a-zA-Z][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:@-][\w:.-]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 WORD = re.compile(r"[a-z]+")
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-@dataclass
 class Element:
-    name: str
-    parent: Element | None
-    depth: int
-    lean: float  # towards content, with what stands above
-    hidden: bool
-    link: bool
+    """An open element. holder: nearest block element, itself included. paragraph: the paragraph that a block start ends. ends: the open element of each group. marked: nearest element whose names are usual outside."""
+
+    __slots__ = ("name", "parent", "depth", "holder", "paragraph", "ends", "kinds", "hidden", "link", "foreign", "marked", "prose")
+
+    def __init__(self, name: str, parent: Element | None):
+        self.name, self.parent, self.prose = name, parent, 0
+        if parent is None:
+            self.depth, self.holder, self.paragraph, self.ends, self.kinds = 0, self, None, (None,) * 5, 0
+            self.hidden, self.link, self.foreign, self.marked = False, False, None, None
+            return
+        self.depth, self.kinds, self.marked = parent.depth + 1, parent.kinds, parent.marked
+        self.holder = self if name in BLOCK else parent.holder
+        self.paragraph = self if name == "p" else None if name in PARAGRAPH_ENDS else parent.paragraph
+        self.ends = parent.ends
+        if name in GROUP or name in SCOPE:
+            ends = list(parent.ends)
+            for i in SCOPE.get(name, ()):
+                ends[i] = None
+            if name in GROUP:
+                ends[GROUP[name]] = self
+                if name == "tr":
+                    ends[3] = None
+            self.ends = tuple(ends)
+        self.hidden = parent.hidden or name in UNSEEN
+        self.link = parent.link or name == "a"
+        self.foreign = self if name in FOREIGN and parent.foreign is None else parent.foreign
+        kind = OF_NAME.get(name)
+        if kind:
+            self.kinds |= BIT["head_of_article" if kind == "header" and self.kinds & BIT["article"] else kind]
+
+    def read(self, attributes: str) -> None:
+        """What the attributes say about the content."""
+        said: set[str] = set()
+        for m in ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if key in ("class", "id", "role", "aria-label"):
+                said.update(value.split())
+            elif key == "hidden" or key == "style" and UNSHOWN.search(value) or key == "aria-hidden" and value == "true":
+                self.hidden = True
+        if not said or self.name in ("body", "html"):
+            return
+        parts = {p for name in said for p in WORD.findall(name)}
+        outside, inside = parts & USUAL_OUTSIDE, parts & USUAL_INSIDE
+        if said & USUAL_OUTSIDE:
+            self.kinds |= BIT["outside"]
+        elif outside:
+            self.kinds |= BIT["both" if inside else "part_outside"]
+        if said & USUAL_INSIDE:
+            self.kinds |= BIT["inside"]
+        elif inside:
+            self.kinds |= BIT["part_inside"]
+        if outside:
+            self.marked = self
 
 
 @dataclass
@@ -71,49 +138,31 @@ class Block:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
-def opened(name: str, attributes: str, parent: Element | None) -> Element:
-    """The element of a start tag, with what its name and attributes say about its content."""
-    lean, hidden = (parent.lean if parent else 0.0), bool(parent and parent.hidden)
-    own = INSIDE.get(name, 0.0) - OUTSIDE.get(name, 0.0)
-    if name == "header" and parent and parent.lean >= 3.0:
-        own = -0.5  # of an article: its title and author
-    if attributes and "=" in attributes or attributes and "hidden" in attributes:
-        said: set[str] = set()
-        for m in ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id", "role", "aria-label"):
-                said.update(WORD.findall(value))
-            elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or key == "aria-hidden" and value == "true":
-                hidden = True
-        if name not in ("body", "html"):
-            if said & MARKS:
-                own -= 7.0
-            elif said & GOOD:
-                own += 1.5
-    return Element(name, parent, parent.depth + 1 if parent else 0, lean + own, hidden, name == "a" or bool(parent and parent.link))
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The blocks with text, in page order."""
-    root = Element("#root", None, 0, 0.0, False, False)
-    now, out, block = root, [], None
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """The blocks with text, in page order, and the elements whose names are usual outside, parents first."""
+    root = now = Element("#root", None)
+    out: list[Block] = []
+    marked: list[Element] = []
+    block: Block | None = None
+    opened: Counter[str] = Counter()
+    last_end: dict[str, int] = {}
     place = 0
 
-    def close() -> None:
-        nonlocal block
-        block = None
+    def leave(to: Element) -> None:
+        """Close all up to ``to`` and it."""
+        nonlocal now
+        while True:
+            at, now = now, now.parent
+            opened[at.name] -= 1
+            if at is to:
+                return
 
     def say(text: str) -> None:
         nonlocal block
-        if not text:
-            return
         if block is None:
-            if not text.strip():
+            if not text or text.isspace():
                 return
-            holder = now
-            while holder.parent and holder.name not in BLOCK:
-                holder = holder.parent
-            block = Block(holder if not now.hidden else now)
+            block = Block(now if now.hidden else now.holder)
             out.append(block)
         block.pieces.append(text)
         n = len(text.strip())
@@ -131,59 +180,97 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         if m[1] or m[4]:
-            at: Element | None = now
-            while at and at.name != name:
-                at = at.parent
-            if name in BLOCK:
-                close()
-            elif name in ("td", "th"):
-                say(" ") if block else None
-            if at and at.parent:
-                now = at.parent
-            continue
-        if name in BLOCK:
-            close()
-            at = now  # a block ends an open paragraph
-            while at and at.name != "p" and at.name not in ("table", "button", "td", "th", "object"):
-                at = at.parent
-            if at and at.name == "p" and at.parent:
-                now = at.parent
-        if name in ENDS:
-            at = now
-            while at and at.name not in ENDS[name] and at.name not in KEEPS[name]:
-                at = at.parent
-            if at and at.name in ENDS[name] and at.parent:
-                now = at.parent
-        if name == "br" or name in ("td", "th"):
-            say(" ") if block else None
-        if name in VOID:
+            if name in BLOCK or name in UNSEEN:
+                block = None
+            elif name in ("td", "th") and block:
+                say(" ")
+            if opened[name] > 0:
+                at = now
+                while at.name != name:
+                    at = at.parent
+                leave(at)
             continue
         attributes = m[3] or m[6] or ""
-        if name in RAW:
+        if now.foreign is not None:
+            if name in BREAKS_OUT:
+                leave(now.foreign)
+            elif attributes.endswith("/"):
+                continue
+        if name in BLOCK or name in UNSEEN:
+            block = None
+        if name in BLOCK and now.paragraph is not None:
+            leave(now.paragraph)
+        if name in GROUP and (at := now.ends[GROUP[name]] or (now.ends[3] if name == "tr" else None)) is not None:
+            leave(at)
+        if block and (name == "br" or name in ("td", "th")):
+            say(" ")
+        if name in VOID or name in FOREIGN and attributes.endswith("/"):
+            continue
+        if name in UNSEEN and name not in FOREIGN:
+            if name not in last_end:
+                last_end[name] = max((x.start() for x in re.finditer(f"</{name}", page, re.I)), default=-1)
+            if last_end[name] < place:
+                continue  # it never ends: what follows is text of the page
+        if name in RAW and now.foreign is None:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(page, place)
             place = end.end() if end else len(page)
             continue
-        now = opened(name, attributes, now)
-    return out
+        now = Element(name, now)
+        opened[name] += 1
+        if attributes and not attributes.isspace():
+            now.read(attributes)
+            if now.marked is now:
+                marked.append(now)
+    return out, marked
 
 
-def preference(block: Block, text: str) -> float:
-    """Cost of the label boilerplate less that of the label content."""
-    at = block.element
-    if at.hidden:
-        return -30.0
-    words = text.count(" ") + 1
-    density = block.linked / max(1, block.size)
-    value = at.lean - 4.0 * density + min(2.0, 0.45 * math.log(words)) - 0.6
-    if at.name in ("p", "blockquote", "pre", "figcaption", "dd"):
-        value += 1.0
-    elif at.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        value += 0.6
-    if text[-1:] in ".!?:;\"”»…" and words > 4:
-        value += 0.7
-    if text.startswith(("©", "(c) ")):
-        value -= 3.0
-    return value
+#: Names of the columns of :func:`features`.
+FEATURES = (
+    "one", "log_words", "link_density", "short_links", "sentence", "paragraph", "heading", *KINDS, "outside_share", "part_outside_share", "both_share", "copyright", "commas", "siblings", "capitals", "digits", "prose"
+)
+
+
+def features(found: list[tuple[Block, str]], marked: list[Element]) -> np.ndarray:
+    """A row of FEATURES for each block.
+
+    The share of a marked element, or of a block's parent, is that of the page's
+    prose which it holds: words of blocks of PROSE words at least, half of them in
+    links at most.
+    """
+    words = [t.count(" ") + 1 for _, t in found]
+    density = [b.linked / max(1, b.size) for b, _ in found]
+    prose = [w if w >= PROSE and d <= 0.5 and not b.element.hidden else 0 for w, d, (b, _) in zip(words, density, found, strict=True)]
+    total = max(1, sum(prose))
+    siblings: dict[int, int] = defaultdict(int)
+    for (b, _), n in zip(found, prose, strict=True):
+        siblings[id(b.element.parent)] += n
+        if b.element.marked is not None:
+            b.element.marked.prose += n
+    for x in reversed(marked):
+        if x.parent.marked is not None:
+            x.parent.marked.prose += x.prose
+    out = np.zeros((len(found), len(FEATURES)))
+    column = {name: i for i, name in enumerate(FEATURES)}
+    first = column[KINDS[0]]
+    for i, (b, t) in enumerate(found):
+        e, n = b.element, words[i]
+        share = e.marked.prose / total if e.marked is not None else 0.0
+        row = out[i]
+        for j in range(len(KINDS)):
+            row[first + j] = e.kinds >> j & 1
+        for name in ("outside", "part_outside", "both"):
+            row[column[name + "_share"]] = share if e.kinds & BIT[name] else 0.0
+        row[: column["heading"] + 1] = (
+            1.0, min(1.5, math.log(n) / 3), density[i], density[i] if n < PROSE else 0.0, n > 4 and t[-1] in ".!?:;\"”»…", e.name in ("p", "blockquote", "pre", "figcaption", "dd"), len(e.name) == 2 and e.name[0] == "h" and e.name[1].isdigit()
+        )
+        row[column["copyright"]] = t.startswith(("©", "(c) ", "Copyright"))
+        row[column["commas"]] = min(1.0, 5 * (t.count(",") + t.count(". ")) / n)
+        row[column["siblings"]] = siblings[id(e.parent)] / total
+        some = t[:400]
+        row[column["capitals"]] = sum(map(str.isupper, some)) / len(some)
+        row[column["digits"]] = sum(map(str.isdigit, some)) / len(some)
+        row[column["prose"]] = prose[i] / total
+    return out
 
 
 def closeness(a: Element, b: Element, strength: float) -> float:
@@ -290,8 +377,9 @@ def minimum_cut(lean: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 @dataclass(frozen=True)
 class MinCut:
-    """adjacent, sibling: strengths of the smoothness edges between blocks that follow each other, in the page and in their parent."""
+    """weights: of FEATURES, the classifier. adjacent, sibling: strengths of the smoothness edges between blocks that follow each other, in the page and in their parent."""
 
+    weights: tuple[float, ...]
     adjacent: float = 2.4
     sibling: float = 1.5
 
@@ -299,8 +387,10 @@ class MinCut:
         """The main text: content blocks in page order, joined by line feeds. Null or empty: empty."""
         if not page:
             return ""
-        found = [(b, t) for b in blocks_of(page) if (t := b.text)]
-        lean = [preference(b, t) for b, t in found]
+        blocks, marked = blocks_of(page)
+        found = [(b, t) for b in blocks if (t := b.text)]
+        odds = np.clip(features(found, marked) @ np.array(self.weights), -12, 12).tolist()
+        lean = [-30.0 if b.element.hidden else x for (b, _), x in zip(found, odds, strict=True)]
         edges, last = [], {}
         for i, (b, _) in enumerate(found):
             if i:
@@ -312,13 +402,17 @@ class MinCut:
         return "\n".join(t for (_, t), keep in zip(found, minimum_cut(lean, edges), strict=True) if keep)
 
 
-def main_texts(pages: DataFrame, cut: MinCut = MinCut()) -> DataFrame:
+def main_texts(pages: DataFrame, cut: MinCut | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     Null html counts as empty; a page without main text has an empty text. Pages
     that repeat an id each get a row; other columns are ignored; an empty table
-    gives no rows. One page at a time is parsed.
+    gives no rows. One page at a time is parsed, in time and memory linear in its
+    length, however deep it nests.
     """
+    from lamella.llm.html_training import trained
+
+    cut = cut or MinCut(trained())
 
     def run(batches):
         for batch in batches:

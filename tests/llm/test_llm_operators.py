@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, exact_dedup, fingerprint, html_text, langid, mixing, pieces, quality, simhash, toxicity
+from lamella.llm import chat, exact_dedup, fingerprint, html_text, html_training, langid, mixing, pieces, quality, simhash, toxicity
 from lamella.llm.common import crc32_of, pieces as slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -198,7 +198,7 @@ def test_mixing_meets_its_targets(spark, docs):
 
 
 def test_html_text():
-    cut = html_text.MinCut()
+    cut = html_text.MinCut(html_training.trained())
     assert cut.text(None) == cut.text("") == cut.text("<script>x</script>") == ""
     page = """<html><head><title>t</title></head><body><header><div>Site</div></header><nav><ul><li><a href=/>Home</a></ul></nav>
     <div class="cookie-notice"><p>We use cookies to improve your experience on our site. Please accept.</p></div>
@@ -208,6 +208,32 @@ def test_html_text():
     cut.text("<div " * 3000 + "<!-- " + '<a b="' * 50)
 
 
+def test_articles_survive_names_and_foreign_elements():
+    cut = html_text.MinCut(html_training.trained())
+    said = "Nobody knew the old mill as she did, and nobody else had walked the long way round in winter. " * 3
+    said = said.strip()
+    assert cut.text(f"<p>Icon <svg width=1/> second paragraph of it, with some words.</p><p>Third {said}</p>").split("\n")[1:] == ["second paragraph of it, with some words.", f"Third {said}"]
+    for names in ("review related-story", "post-comment-free story"):
+        assert cut.text(f'<article class="{names}"><p>{said}</p><p>{said} Yes.</p></article>') == f"{said}\n{said} Yes."
+    assert cut.text(f"<article><p>{said}</p><object><object>a</object>b</object><svg><title>t</title><path d=''></svg><p>{said}</p></article>") == f"{said}\n{said}"
+    assert cut.text(f"<article><p>{said}</p><template><p>{said}") == f"{said}\n{said}"  # it never ends
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    cut = html_text.MinCut(html_training.trained())
+    for page in ("<div>" * 100_000 + "x", "<div>x" * 10_000, "</b>" * 100_000 + "y", "<li>x" * 10_000, "<p><b>x" * 10_000):
+        began = time.thread_time()
+        cut.text(page)
+        assert time.thread_time() - began < 4
+
+
+def test_blocks_are_labelled_as_written():
+    x, y = html_training.rows(40, seed=99)
+    assert ((x @ np.array(html_training.trained()) > 0) == (y == 1)).mean() > 0.95
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(4)
     for _ in range(40):
