@@ -6,6 +6,7 @@ that a partition of very long texts costs no more than one of short texts.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that the vectorised kernels take at once.
 SLICE_BYTES = 1 << 20
 
+#: The end of a word of two bytes or more.
+WORD_END = re.compile(rb"[^ \n]{2}[ \n]")
+
 #: White space of the word contracts: x20 and x09 to x0D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -31,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lamella-checkpoint-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lamella-checkpoint-"))  # one process
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -121,9 +127,10 @@ def pieces(texts: list[bytes], most: int = SLICE_BYTES, docs: int = 512) -> Iter
             end = len(text)
             if end - start > most:
                 end = start + most
-                space = max(text.rfind(b" ", start, end), text.rfind(b"\n", start, end))
+                # After a word of two bytes or more, so letters that stand apart stay together.
+                space = max((m.end() for m in WORD_END.finditer(text, max(start, end - 4096), end)), default=0)
                 if space > start:
-                    end = space + 1
+                    end = space
                 else:
                     while text[end] & 0xC0 == 0x80:
                         end -= 1
@@ -144,7 +151,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     """(doc_id, text, label): at most ``per_class`` documents of each label, the first by a hash of the id.
 
     Only rows whose crc32(id as text) mod 5 is not 0 are read as labelled. Of
-    several labels of one id the largest counts; null labels and ids do not count.
+    several labels of one id the largest counts, of several texts the first in
+    order; null labels and ids do not count.
     """
     known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 5) != 0))
     known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
@@ -152,4 +160,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     chosen = cut(first[0].unionAll(first[1])).withColumnRenamed("doc_id", "_id")
     # Bounded by 2 * per_class ids, so it is sent to every task.
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return own.join(F.broadcast(chosen), own["doc_id"] == F.col("_id")).select("doc_id", "text", "label")
+    found = own.join(F.broadcast(chosen), own["doc_id"] == F.col("_id"))
+    return found.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "label")

@@ -1,11 +1,11 @@
 """Toxicity by a subsequence string kernel, a support vector machine and Nyström landmarks.
 
-The kernel compares words by their subsequences of three letters. A subsequence
-may skip letters: each of its two steps is at most ``GAP`` characters long and
-weighs ``DECAY`` to its length, so ``i.d.i.o.t`` and ``idxiot`` stay close to
-``idiot``. Characters that are no letters hold a place and match nothing; digits
-that stand for letters count as them; single letters set apart by white space
-are read as one word. White space on either side of a word counts as a letter.
+The kernel compares texts by the subsequences of three letters of their words. A
+subsequence may skip letters: each of its two steps is at most ``GAP`` characters
+long and weighs ``DECAY`` to its length, so ``i.d.i.o.t`` and ``idxiot`` stay close
+to ``idiot``. Characters that are no letters hold a place and match nothing; digits
+that stand for letters count as them; single letters set apart by white space are
+read as one word. White space on either side of a word counts as a letter.
 
     k(s, t) = sum over u of phi_u(s) phi_u(t) / sqrt(d(s) d(t))
 
@@ -14,24 +14,27 @@ span of some landmark words (Nyström): f(s) = sum over j of beta_j k(s, l_j). A
 the features u are few, f is folded into one weight for each u, and scoring a
 text reads a table a few times for each character, whatever the landmarks.
 
-It learns from labelled documents of which only some words are toxic. Words with
-letter runs that toxic documents have far more often start as positive; then, in
-a few rounds, each toxic document's best-scoring words replace them and the
-best-scoring words of clean documents join the negatives. A logistic function of
-a document's highest margins gives its score.
+It learns from sentences of labelled documents. All sentences of a clean document
+are clean; of a toxic one some are toxic, and a few rounds tell which: the
+sentences that score highest in each toxic document are its toxic ones, the
+machine learns them against clean sentences, and scores all again. The first
+scores are the difference of the two labels' mean feature vectors. Landmarks are
+words of the highest scores in either label's sentences, none too like another.
+A document is scored by the margins of its words, each read as a sentence of its
+own: a logistic function of the two highest and of how many are positive.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lamella.llm.common import as_bytes, crc32_of, labelled_sample, pieces
 
@@ -45,17 +48,25 @@ STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 EVIDENCE = 4
 #: Margin of a text without any word of three letters.
 NONE = -2.0
+#: Features: three symbols of six bits.
+U = 1 << 18
+#: Words of a sentence at most, and at least if its line goes on; letters of a word in a sentence to learn from.
+MOST_WORDS, LEAST_WORDS, MOST_LETTERS = 8, 3, 64
+WORDS = re.compile(rf"\S{{1,{MOST_LETTERS}}}")
 
 
 @cache
 def symbols() -> np.ndarray:
     out = np.full(0x110000, OTHER, dtype=np.uint8)
-    for i in range(0x110000):
+    for i in range(0x20000):
         c = STANDS_FOR.get(chr(i), chr(i)).lower()[0]
         if "a" <= c <= "z":
             out[i] = ord(c) - 96
         elif c.isalpha():
             out[i] = 27 + ord(c) * 7 % 35
+    for i in range(0x20000, 0x32400):  # the planes beyond have no letters, these no cases
+        if chr(i).isalpha():
+            out[i] = 27 + i * 7 % 35
     out[[9, 10, 11, 12, 13, 32]] = SPACE
     return out
 
@@ -140,19 +151,79 @@ def evidence(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray
     return out
 
 
-def features(words: list[str], index: np.ndarray, n: int) -> np.ndarray:
-    """Normalised features of words in the compact columns of ``index``."""
-    x = steps([w.encode() for w in words])
-    out = np.zeros((len(words), n))
-    text = x.text_of_word
+def sentences(text: str) -> list[str]:
+    """Runs of words that end with a mark, a line or after MOST_WORDS words."""
+    out, own = [], []
+    for line in text.split("\n"):
+        for word in WORDS.findall(line):
+            own.append(word)
+            if len(own) >= MOST_WORDS or len(own) >= LEAST_WORDS and word[-1] in ".!?:;…":
+                out.append(" ".join(own))
+                own = []
+        if len(own) >= LEAST_WORDS:
+            out.append(" ".join(own))
+            own = []
+    return out + [" ".join(own)] * bool(own)
+
+
+def sampled(text: str, most: int) -> list[str]:
+    """Its sentences, or ``most`` of them by a hash."""
+    found = sentences(text)
+    if len(found) <= most:
+        return found
+    chosen = np.argsort([xxhash.xxh32_intdigest(f"{i}:{x}") for i, x in enumerate(found)], kind="stable")[:most]
+    return [found[i] for i in sorted(chosen)]
+
+
+def scored(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """f of each short text as a whole, NONE for one without features."""
+    out = np.full(len(texts), NONE)
+    for i in range(0, len(texts), 1 << 13):
+        x = steps([t.encode() for t in texts[i : i + (1 << 13)]])
+        n = min(1 << 13, len(texts) - i)
+        f, d = np.zeros(n), np.bincount(x.text_of_word, x.d, minlength=n)
+        for (a, b), at in zip(STEPS, x.at, strict=True):
+            ok = np.flatnonzero(at >= 0)
+            f += np.bincount(x.text_of_word[x.word[ok]], weights[at[ok]] * DECAY ** (a + b), minlength=n)
+        some = d > 0
+        out[i : i + n][some] = f[some] / np.sqrt(d[some]) + bias
+    return out
+
+
+def summed(texts: list[str], weight: np.ndarray) -> np.ndarray:
+    """The sum of the normalised feature vectors of short texts, each with a weight."""
+    out = np.zeros(U)
+    for i in range(0, len(texts), 1 << 13):
+        own = texts[i : i + (1 << 13)]
+        x = steps([t.encode() for t in own])
+        by = weight[i : i + len(own)] / np.sqrt(np.maximum(np.bincount(x.text_of_word, x.d, minlength=len(own)), 1e-12))
+        for (a, b), at in zip(STEPS, x.at, strict=True):
+            ok = np.flatnonzero(at >= 0)
+            out += np.bincount(at[ok], by[x.text_of_word[x.word[ok]]] * DECAY ** (a + b), minlength=U)
+    return out
+
+
+def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that occur in some texts, and for each feature its place among them, -1 for none."""
+    seen = np.unique(np.concatenate([a[a >= 0] for a in steps([t.encode() for t in texts]).at]))
+    index = np.full(U, -1, dtype=np.int64)
+    index[seen] = np.arange(len(seen))
+    return seen, index
+
+
+def features(texts: list[str], index: np.ndarray, n: int) -> np.ndarray:
+    """Normalised features of short texts in the compact columns of ``index``."""
+    x = steps([t.encode() for t in texts])
+    keys, values = [], []
     for (a, b), at in zip(STEPS, x.at, strict=True):
         ok = np.flatnonzero(at >= 0)
         column = index[at[ok]]
         known = column >= 0
-        np.add.at(out, (text[x.word[ok[known]]], column[known]), DECAY ** (a + b))
-    d = np.zeros(len(words))
-    np.add.at(d, text, x.d)
-    return out / np.sqrt(np.maximum(d, 1e-12))[:, None]
+        keys.append(x.text_of_word[x.word[ok[known]]] * n + column[known])
+        values.append(np.full(len(keys[-1]), DECAY ** (a + b)))
+    out = np.bincount(np.concatenate(keys), np.concatenate(values), minlength=len(texts) * n).reshape(len(texts), n)
+    d = np.bincount(x.text_of_word, x.d, minlength=len(texts))
+    return (out / np.sqrt(np.maximum(d, 1e-12))[:, None]).astype(np.float32)
 
 
 def l2_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -189,117 +260,159 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40
     return w
 
 
-def words_of(text: str) -> list[str]:
-    """Distinct words of three letters or more, in order, without marks at their ends."""
-    return list(dict.fromkeys(w for w in (x.strip("\"'()[]{}<>.,;:!?*%&$#|-_") for x in text.lower().split()) if 3 <= len(w) <= 40))
-
-
-def letter_runs(word: str) -> set[str]:
-    word = "^" + word
-    return {word[i : i + k] for k in (4, 5) for i in range(len(word) - k + 1)}
+def bare(word: str) -> str:
+    return word.lower().strip("\"'()[]{}<>.,;:!?*%&$#|-_")
 
 
-def fit_words(positive: Counter, negative: list[str], landmarks: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Weights of the features and the bias, from toxic words with their counts and clean words."""
-    good, bad = [w for w, _ in positive.most_common()], list(dict.fromkeys(w for w in negative if w not in positive))
-    marks = good[: landmarks // 2] + [bad[i] for i in rng.permutation(len(bad))[: landmarks - min(len(good), landmarks // 2)]]
-    seen = np.unique(np.concatenate([a[a >= 0] for a in steps([w.encode() for w in marks]).at]))
-    index = np.full(1 << 18, -1, dtype=np.int64)
-    index[seen] = np.arange(len(seen))
-    basis = features(marks, index, len(seen))
-    values, vectors = np.linalg.eigh(basis @ basis.T)
-    kept = values > 1e-6 * values.max()
-    root = vectors[:, kept] / np.sqrt(values[kept])
-    words, y = good + bad, np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
-    z = np.vstack([features(words[i : i + 512], index, len(seen)) @ basis.T @ root for i in range(0, len(words), 512)])
-    cost = np.concatenate([np.log1p([positive[w] for w in good]), np.ones(len(bad))])
-    cost *= np.where(y > 0, 0.5 * len(y) / max(1, len(good)), 1.0)
-    w = l2_svm(np.column_stack([z, np.ones(len(z))]), y, cost)
-    weights = np.zeros(1 << 18, dtype=np.float32)
-    weights[seen] = basis.T @ (root @ w[:-1])
-    return weights, float(w[-1])
-
-
-def fit(texts: list[str], labels: np.ndarray, landmarks: int = 256, rounds: int = 3, seed: int = 5) -> Model:
-    """Learn from whole labelled texts; with one label only every score is that label's smoothed share."""
-    rng = np.random.default_rng(seed)
-    toxic, clean = int(labels.sum()), int((1 - labels).sum())
-    prior = (toxic + 1) / (toxic + clean + 2)
-    constant = Model(np.zeros(1 << 18, dtype=np.float32), NONE, np.append(np.zeros(EVIDENCE), np.log(prior / (1 - prior))))
-    if not toxic or not clean:
-        return constant
-    words = [words_of(t) for t in texts]
-    vocabulary = list(dict.fromkeys(w for own in words for w in own))
-    number = {w: i for i, w in enumerate(vocabulary)}
-    ids = [np.array([number[w] for w in own], dtype=np.int64) for own in words]
-    share = np.zeros((2, len(vocabulary)))
-    seen = (Counter(), Counter())
-    for own, at, label in zip(words, ids, labels, strict=True):
-        share[int(label), at] += 1
-        if own:
-            seen[int(label)].update(set().union(*map(letter_runs, own)))
-    # Only words and letter runs that toxic documents have far more often can be toxic.
-    likely = share[1] / toxic > 4 * share[0] / clean
-    support = {r: np.log1p(n) * (np.log((n + 0.1) / (toxic + 1)) - np.log((seen[0][r] + 0.1) / (clean + 1))) for r, n in seen[1].items() if n >= 2 and n / toxic > 4 * seen[0][r] / clean}
-    positive: Counter = Counter()
-    for own, at, label in zip(words, ids, labels, strict=True):
-        if label:
-            value = {w: max((support[r] for r in letter_runs(w) if r in support), default=0) if likely[i] else 0 for w, i in zip(own, at, strict=True)}
-            best = max(value.values(), default=0)
-            positive.update(w for w, v in value.items() if best > 0 and v >= 0.5 * best)
-    common = [vocabulary[i] for i in np.argsort(-share[0], kind="stable")[:1000] if share[0, i] > 0 and not likely[i]]
-    pool = np.flatnonzero(share[0])
-    if not positive or not len(pool):
-        return constant
-    drawn = common + [vocabulary[i] for i in rng.permutation(pool)[:4000]]
-    weights, bias = fit_words(with_variants(positive, rng), drawn, landmarks, rng)
-    for _ in range(rounds):
-        f = np.full(len(vocabulary), NONE)
-        for i in range(0, len(vocabulary), 1 << 15):
-            own, at = margins([w.encode() for w in vocabulary[i : i + (1 << 15)]], weights, bias)
-            f[i + at] = own
-        positive = Counter()
-        for at, label in zip(ids, labels, strict=True):
-            if label and len(at):
-                top = at[np.argsort(-f[at], kind="stable")[:8]]
-                positive.update(vocabulary[i] for i in top if likely[i] and f[i] > max(0.0, 0.4 * f[top[0]]))
-        wrong = np.flatnonzero((share[0] > 0) & ~likely & (f > -0.7))
-        hard = [vocabulary[i] for i in wrong[np.argsort(-f[wrong], kind="stable")[:4000]]]
-        if not positive:
-            return constant
-        weights, bias = fit_words(with_variants(positive, rng), drawn + hard, landmarks, rng)
-    return Model(weights, bias, logistic(evidence([t.encode() for t in texts], weights, bias), labels))
-
-
-def with_variants(positive: Counter, rng: np.random.Generator, most: int = 300) -> Counter:
-    """The words and, for the most frequent ones, forms with a mark between all letters and with one more letter."""
-    out = Counter(positive)
-    for w, n in positive.most_common(most):
-        if n > 1 and len(w) > 3:
-            at, letter = int(rng.integers(1, len(w))), chr(97 + int(rng.integers(26)))
-            for form in (".".join(w), w[:at] + letter + w[at:]):
-                out[form] += 1
+def spread(words: list[str], most: int, near: float = 0.7) -> list[str]:
+    """The first words of which no two have a kernel of ``near`` or more."""
+    if not words:
+        return []
+    seen, index = numbered(words)
+    x, left, out = features(words, index, len(seen)), np.ones(len(words), dtype=bool), []
+    for i in range(len(words)):
+        if left[i] and len(out) < most:
+            out.append(words[i])
+            left &= x @ x[i] < near
     return out
 
 
-def fitted(docs: DataFrame, labels: DataFrame, column: str, per_class: int, most_chars: int) -> Broadcast:
+@dataclass(frozen=True)
+class Machine:
+    """landmarks: at most. rounds: of telling toxic sentences, after the first. hard, drawn: clean sentences to learn from, those of the highest scores and any. most: toxic sentences of a document. share: weight of the toxic sentences by that of the clean ones; variant: of a sentence whose worst word is written with marks or one more letter."""
+
+    landmarks: int = 600
+    rounds: int = 2
+    hard: int = 3000
+    drawn: int = 6000
+    most: int = 8
+    cost: float = 20.0
+    share: float = 0.7
+    variant: float = 0.3
+    variants: int = 600
+    seed: int = 5
+
+    def fit(self, bags: list[list[str]], labels: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """(weights of the features, bias) from the sentences of documents and the documents' labels; None if there is nothing to tell apart."""
+        rng = np.random.default_rng(self.seed)
+        flat = [x for own in bags for x in own]
+        doc = np.repeat(np.arange(len(bags)), [len(own) for own in bags])
+        toxic = labels[doc] == 1
+        if not toxic.any() or toxic.all():
+            return None
+        even = 1 / np.bincount(doc, minlength=len(bags))[doc]
+        weights, bias = summed(flat, np.where(toxic, even / even[toxic].sum(), -even / even[~toxic].sum())), 0.0
+        for i in range(self.rounds + 1):
+            f = scored(flat, weights, bias)
+            order = np.lexsort((-f, doc))
+            first = np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1]))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            best = order[(rank == 0) | (rank < self.most) & (f[order] > 0) if i else rank == 0]
+            positive = best[toxic[best]]
+            if i and (f[positive] > 0).any():
+                positive = positive[f[positive] > 0]
+            hard = order[(rank == 0) & ~toxic[order]]
+            hard = hard[np.argsort(-f[hard], kind="stable")][: self.hard]
+            negative = np.unique(np.concatenate([hard, rng.permutation(np.flatnonzero(~toxic))[: self.drawn]]))
+            said = [self.by_score([flat[j] for j in own], weights, bias) for own in (positive, hard[:500])]
+            quarter = self.landmarks // 4
+            marks = spread(said[0][:1600], 2 * quarter) + said[1][:quarter]
+            marks = list(dict.fromkeys(marks + [said[1][j] for j in rng.permutation(len(said[1]))[:quarter]]))
+            more = self.varied([flat[j] for j in positive[np.argsort(-f[positive], kind="stable")][: self.variants]], weights, bias, rng) if i else []
+            if not marks:
+                return None
+            weights, bias = self.learn(marks, [flat[j] for j in positive], more, [flat[j] for j in negative])
+        return weights.astype(np.float32), bias
+
+    def by_score(self, texts: list[str], weights: np.ndarray, bias: float) -> list[str]:
+        """Their distinct words of three letters or more, the highest margins first."""
+        words = list(dict.fromkeys(w for t in texts for x in t.split() if len(w := bare(x)) >= 3))
+        f = scored(words, weights, bias)
+        return [words[j] for j in np.argsort(-f, kind="stable") if f[j] != NONE]
+
+    def varied(self, texts: list[str], weights: np.ndarray, bias: float, rng: np.random.Generator) -> list[str]:
+        """The sentences with marks between the letters of their worst word, and with one more letter in it."""
+        out = []
+        for t in texts:
+            words = t.split()
+            j = int(np.argmax(scored(words, weights, bias)))
+            if len(w := words[j]) > 3:
+                at, letter = int(rng.integers(1, len(w))), chr(97 + int(rng.integers(26)))
+                out += [" ".join([*words[:j], form, *words[j + 1 :]]) for form in (".".join(w), w[:at] + letter + w[at:])]
+        return out
+
+    def learn(self, marks: list[str], positive: list[str], more: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
+        seen, index = numbered(marks)
+        basis = features(marks, index, len(seen)).astype(np.float64)
+        values, vectors = np.linalg.eigh(basis @ basis.T)
+        kept = values > 1e-4 * values.max()
+        lift = (basis.T @ (vectors[:, kept] / np.sqrt(values[kept]))).astype(np.float32)
+        every = positive + more + negative
+        z = np.vstack([features(every[i : i + 512], index, len(seen)) @ lift for i in range(0, len(every), 512)]).astype(np.float64)
+        y = np.concatenate([np.ones(len(positive) + len(more)), -np.ones(len(negative))])
+        own = np.concatenate([np.ones(len(positive)), np.full(len(more), self.variant)])
+        cost = self.cost * np.concatenate([own * self.share * len(negative) / own.sum(), np.ones(len(negative))])
+        w = l2_svm(np.column_stack([z, np.ones(len(z))]), y, cost)
+        weights = np.zeros(U)
+        weights[seen] = lift @ w[:-1]
+        return weights, float(w[-1])
+
+
+def constant(labels: np.ndarray) -> Model:
+    """A model that gives every text the smoothed share of label 1."""
+    prior = (labels.sum() + 1) / (len(labels) + 2)
+    return Model(np.zeros(U, dtype=np.float32), NONE, np.append(np.zeros(EVIDENCE), np.log(prior / (1 - prior))))
+
+
+def fit(texts: list[str], labels: np.ndarray, per_doc: int = 64, machine: Machine = Machine()) -> Model:
+    """Learn from whole labelled texts in one process; with one label only every score is that label's smoothed share."""
+    found = machine.fit([sampled(t, per_doc) for t in texts], labels)
+    return Model(*found, logistic(evidence([t.encode() for t in texts], *found), labels)) if found else constant(labels)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, column: str, per_class: int, per_doc: int, machine: Machine) -> Broadcast:
     """The model, sent to every task; see :func:`toxicity_of`."""
-    sample = labelled_sample(docs.filter(F.length("text") <= most_chars), labels, column, per_class).select("text", "label")
-    rows = sample.toPandas()  # 2 * per_class texts of most_chars at most
-    order = rows.sort_values(["label", "text"]).index
-    return docs.sparkSession.sparkContext.broadcast(fit(rows["text"][order].tolist(), rows["label"][order].to_numpy(np.float64)))
+    sc = docs.sparkSession.sparkContext
+    sample = labelled_sample(docs, labels, column, per_class)
+
+    def bags(batches):
+        for batch in batches:
+            found = [sampled("" if t is None else t, per_doc) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.string()))], ["doc_id", "label", "said"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(bags, f"doc_id {kind}, label int, said array<string>").toPandas()  # 2 * per_class documents, per_doc sentences of each, at most
+    rows = rows.iloc[np.argsort(rows["doc_id"].astype(str).to_numpy(), kind="stable")]
+    y = rows["label"].to_numpy(np.float64)
+    found = machine.fit([list(x) for x in rows["said"]], y)
+    if found is None:
+        return sc.broadcast(constant(y))
+    sent = sc.broadcast(found)
+
+    def measured(batches):
+        for batch in batches:
+            x = evidence(as_bytes(batch.column(1)), *sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, np.ascontiguousarray(x.T))], ["doc_id", "label", *names])
+
+    names = [f"x{i}" for i in range(EVIDENCE)]
+    shown = sample.mapInArrow(measured, ", ".join([f"doc_id {kind}, label int", *(f"{x} double" for x in names)])).toPandas()
+    shown = shown.iloc[np.argsort(shown["doc_id"].astype(str).to_numpy(), kind="stable")]
+    return sc.broadcast(Model(*found, logistic(shown[names].to_numpy(np.float64), shown["label"].to_numpy(np.float64))))
 
 
-def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, most_chars: int = 32_768, threshold: float = 0.5) -> DataFrame:
+def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, per_doc: int = 64, threshold: float = 0.5, machine: Machine = Machine()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
     The model learns from at most ``per_class`` labelled documents of each label,
-    none longer than ``most_chars`` or with crc32(id as text) mod 5 = 0
-    (held_out). Null text counts as empty; a text without a word of three letters
-    has no evidence and scores lowest. Without labels of both kinds all scores
-    are the smoothed share of label 1. Other columns are ignored.
+    none with crc32(id as text) mod 5 = 0 (held_out), and at most ``per_doc``
+    sentences of each, of any length of document; ids are taken by their hash, one
+    text of each id. Null text counts as empty; a text without a word of three
+    letters has no evidence and scores lowest. Rows that repeat an id each get a
+    row, equal texts equal scores. Without labels of both kinds all scores are the
+    smoothed share of label 1. An empty table gives no rows; other columns are
+    ignored. Whole texts are scored, a long one in slices.
     """
-    model = fitted(docs, labels, column, per_class, most_chars)
+    model = fitted(docs, labels, column, per_class, per_doc, machine)
 
     def score(batch):
         p = model.value.scores(as_bytes(batch.column(1)))
@@ -310,9 +423,13 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_c
     return docs.select("doc_id", "text").mapInArrow(lambda it: (y for b in it if b.num_rows for y in score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, most_chars: int = 32_768, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that :func:`toxicity_of` predicts as toxic, all columns as they are."""
-    model = fitted(docs, labels, column, per_class, most_chars)
+def drop_toxic(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, per_doc: int = 64, threshold: float = 0.5, machine: Machine = Machine()) -> DataFrame:
+    """``docs`` without the rows that :func:`toxicity_of` predicts as toxic, all columns as they are.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids,
+    empty texts and any other columns stay as they are. An empty table stays empty.
+    """
+    model = fitted(docs, labels, column, per_class, per_doc, machine)
     text = docs.columns.index("text")
 
     def keep(batches):

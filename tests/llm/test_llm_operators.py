@@ -294,6 +294,57 @@ def test_kernel_tolerates_gaps():
         assert f(form) > clean, form
 
 
+def test_kernel_is_the_direct_sum():
+    def direct(word):
+        """Weights of the subsequences of a word between spaces, and the sum of squared weights of its steps."""
+        s, out, d = [int(x) for x in toxicity.symbols()[[ord(c) for c in f" {word} "]]], {}, 0.0
+        for m in range(1, len(word) + 1):
+            for a, b in itertools.product(range(1, 4), repeat=2):
+                if m - a >= 0 and m + b <= len(word) + 1 and s[m] < toxicity.SPACE and toxicity.OTHER not in (s[m - a], s[m + b]):
+                    u = s[m - a] << 12 | s[m] << 6 | s[m + b]
+                    out[u] = out.get(u, 0.0) + 0.7 ** (a + b)
+                    d += 0.7 ** (2 * (a + b))
+        return out, d
+
+    def kernel(x, y):
+        (p, dp), (q, dq) = x, y
+        return sum(v * q.get(u, 0.0) for u, v in p.items()) / np.sqrt(max(dp * dq, 1e-12))
+
+    def of_words(text):
+        every = [direct(w) for w in text.split()]
+        total = {}
+        for own, _ in every:
+            for u, v in own.items():
+                total[u] = total.get(u, 0.0) + v
+        return total, sum(d for _, d in every)
+
+    texts = ["idiot", "i.d.i.o.t", "idxiot", "1d10t", "the lazy dog", "réeux été", "ab", "---", "an IDIOT, really"]
+    seen, index = toxicity.numbered(texts)
+    x = toxicity.features(texts, index, len(seen))
+    want = [[kernel(of_words(a), of_words(b)) for b in texts] for a in texts]
+    assert np.allclose(x @ x.T, want, atol=1e-5)
+
+
+def test_sentences_keep_every_word():
+    text = "One two three. Four! five\nsix\n\nseven eight nine ten eleven twelve thirteen fourteen fifteen " + "x" * 200
+    assert "".join(" ".join(toxicity.sentences(text)).split()) == "".join(text.split())
+    assert max(len(x.split()) for x in toxicity.sentences(text)) <= toxicity.MOST_WORDS and toxicity.sentences("") == []
+
+
+def test_long_texts_and_repeated_labels(spark):
+    rng = np.random.default_rng(18)
+    rows = [(i, sentence(rng, 30) + (" stinkworm " + sentence(rng, 9) + " blubberhead." if i % 3 == 0 else "."), "en", "s", 0) for i in range(150)]
+    rows += [(3, rows[3][1], "en", "s", 0)] * 3 + [(1, sentence(rng, 40_000) + " stinkworm blubberhead stinkworm " * 40, "en", "s", 0), (None, rows[6][1], "en", "s", 0)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150) for _ in range(2)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    assert toxicity.labelled_sample(docs, labels, "toxic", 20).count() == 40
+    got = toxicity.toxicity_of(docs, labels).toPandas()
+    assert len(got) == len(rows) and got[got.doc_id == 3].score.nunique() == 1
+    assert got[got.doc_id.isna()].predicted.tolist() == [1]
+    kept = toxicity.drop_toxic(docs, labels).count()
+    assert kept == len(rows) - got.predicted.sum()
+
+
 def test_slices_keep_every_byte():
     texts = [b"", b"ab cd" * 100, "é".encode() * 300, b"x"]
     joined = [b""] * len(texts)
