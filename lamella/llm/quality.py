@@ -1,14 +1,16 @@
 """Quality classifier: random-indexing word vectors and a two-layer network.
 
-Texts are cut into runs of letters, digits and punctuation. Each run hashes to
-one of ``SLOTS`` word slots; marks for its shape and for a repeated run have
-slots of their own. A slot has a sparse random index vector of +1 and -1. Its
-word vector is the sum of the index vectors of its neighbours, two to either
-side and its own marks, over all documents of the corpus: integers, so their sum
-does not depend on the order. A document is the mean, by kind of slot, of its
-word vectors and of its index vectors. A network of two layers in numpy learns
-from those, and a temperature fitted on documents kept apart from its training
-calibrates its probabilities.
+Texts are cut into words: runs of letters, of digits and of punctuation. A word has
+a sparse random index vector of +1 and -1, drawn by the digest of the word, and so
+has each mark of a word's shape and of its repetition. The word vector of a word is
+the sum of the index vectors of its neighbours, two to either side and its own
+marks, over all documents of the corpus: integers, so their sum does not depend on
+the order. Every word has a vector of its own; those of the most frequent words of
+the corpus are kept (``words`` of them, a documented bound on what is sent to the
+tasks), rarer ones count by their index vectors. A document is the mean, by kind of
+word, of its word vectors and of its index vectors, and the shares of its marks. A
+network of two layers in numpy learns from those, and a temperature fitted on
+documents kept apart from its training calibrates its probabilities.
 """
 
 from __future__ import annotations
@@ -23,22 +25,44 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import as_bytes, crc32_of, labelled_sample, pieces, splitmix64
 
-SLOTS = 2048
 #: Length of the vectors and nonzero entries of an index vector.
 DIM, NONZERO = 32, 4
-#: First slots of marks, digits, punctuation and letters; the end.
-KINDS = (0, 16, 48, 176, SLOTS)
-#: Columns of a document: word and index vectors by kind, shares of the kinds, log length.
-FEATURES = 2 * 4 * DIM + 4 + 1
+#: Words whose vectors are kept.
+WORDS = 1 << 15
+#: Marks: 12 of shapes, 2 of repetition.
+MARKS = 14
+#: Kinds of words: letters, digits, punctuation.
+KINDS = 3
+#: Columns of a document: word and index vectors by kind, shares of marks, of kinds and of kept words, log length.
+FEATURES = 2 * KINDS * DIM + MARKS + KINDS + 1 + 1
+#: Distinct words that a task counts before it passes them on.
+COUNTED = 1 << 20
+
+
+def index_vectors(digests: np.ndarray) -> np.ndarray:
+    """The index vectors of some digests; entries that meet add up."""
+    noise = splitmix64(digests.astype(np.uint64) ^ np.uint64(1 << 40))
+    out = np.zeros(len(digests) * DIM, dtype=np.int8)
+    row = np.arange(len(digests)) * DIM
+    for k in range(NONZERO):
+        at = row + ((noise >> np.uint64(8 * k)) % np.uint64(DIM)).astype(np.int64)
+        out[at] += (1 - 2 * ((noise >> np.uint64(60 + k)) & np.uint64(1)).astype(np.int8)).astype(np.int8)
+    return out.reshape(-1, DIM)
 
 
 @cache
-def index_vectors() -> np.ndarray:
-    noise = splitmix64(np.arange(SLOTS * NONZERO, dtype=np.uint64) + np.uint64(1 << 40)).reshape(SLOTS, NONZERO)
-    out = np.zeros((SLOTS, DIM), dtype=np.int64)
-    for k in range(NONZERO):
-        np.add.at(out, (np.arange(SLOTS), (noise[:, k] % np.uint64(DIM)).astype(int)), np.where(noise[:, k] >> np.uint64(63), 1, -1))
-    return out
+def mark_vectors() -> np.ndarray:
+    return index_vectors(np.arange(MARKS, dtype=np.uint64))
+
+
+def distinct(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(values, the place of each digest among them, an order that sorts the digests, where each value starts in it)."""
+    order = np.argsort(digest, kind="stable")
+    new = np.append(True, digest[order][1:] != digest[order][:-1])[: len(order)]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return digest[order[first]], place, order, first
 
 
 @cache
@@ -55,14 +79,14 @@ def byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @cache
 def powers() -> np.ndarray:
-    out = np.ones(64, dtype=np.uint64)
-    for i in range(1, 64):
-        out[i] = out[i - 1] * np.uint64(0x9E3779B97F4A7C15)
-    return out
+    out = [1]
+    for _ in range(63):
+        out.append(out[-1] * 0x9E3779B97F4A7C15 % (1 << 64))
+    return np.array(out, dtype=np.uint64)
 
 
-def runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(slot, text, shape mark, repeated) of each run of the texts, in order."""
+def runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, kind, text, shape mark, repetition mark) of each word of the texts, in order."""
     data = np.frombuffer(b" ".join([*parts, b""]), dtype=np.uint8)
     kinds, lower, upper = byte_tables()
     kind = kinds[data]
@@ -72,78 +96,120 @@ def runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     first = np.flatnonzero(edge)
     own = kind[first]
     size = np.diff(np.append(first, len(data)))
-    place = np.minimum(np.arange(len(data)) - np.repeat(first, size), 63)
+    place = (np.arange(len(data), dtype=np.int32) - np.repeat(first.astype(np.int32), size)) & 63
     digest = np.add.reduceat((lower[data].astype(np.uint64) + np.uint64(1)) * powers()[place], first) if len(first) else np.zeros(0, np.uint64)
     caps = np.add.reduceat(upper[data], first) if len(first) else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])])
     kept = own > 0
-    first, own, size, digest, caps = first[kept], own[kept].astype(int), size[kept], splitmix64(digest[kept]), caps[kept]
+    first, own, size, digest, caps = first[kept], own[kept].astype(int), size[kept], splitmix64(digest[kept] + size[kept].astype(np.uint64)), caps[kept]
     text = np.searchsorted(starts, first, side="right") - 1
-    low = np.array([0, KINDS[3], KINDS[1], KINDS[2]])[own]
-    high = np.array([1, KINDS[4], KINDS[2], KINDS[3]])[own]
-    slot = low + (digest % (high - low).astype(np.uint64)).astype(int)
     # Marks: letters without capitals, with a first one, all of them, some; digits; punctuation; long runs.
     shape = np.where(own == 1, np.where(caps == 0, 0, np.where(caps == size, 2, np.where(caps == 1, 1, 3))), own + 2) + 6 * (size > 20)
-    repeated = np.zeros(len(slot), dtype=bool)
+    repeated = np.zeros(len(own), dtype=bool)
     for back in (1, 2):
         repeated[back:] |= (digest[back:] == digest[:-back]) & (text[back:] == text[:-back]) & (own[back:] == 1)
-    return slot, text, shape, np.where(repeated, 14, 15)
+    return digest, own - 1, text, shape, np.where(repeated, 12, 13)
 
 
-def neighbours(parts: list[bytes]) -> np.ndarray:
-    """Pairs of slots (slot * SLOTS + neighbour)."""
-    slot, text, shape, again = runs(parts)
-    out = [slot * SLOTS + shape, slot * SLOTS + again]
-    for back in (1, 2):
-        same = text[back:] == text[:-back]
-        a, b = slot[back:][same], slot[:-back][same]
-        out += [a * SLOTS + b, b * SLOTS + a]
-    return np.concatenate(out)
+def frequent(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """The digests, in order, of the most frequent words of all documents; ties by the smaller digest."""
 
+    def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The word vectors of all slots, of length one (zero for a slot without words)."""
+        def merged():
+            both = [np.concatenate(x) for x in zip(*held, strict=True)]
+            found, place = np.unique(both[0], return_inverse=True)
+            return found, np.bincount(place, both[1], minlength=len(found)).astype(np.int64)
+
+        for batch in batches:
+            for parts, _ in pieces(as_bytes(batch.column(0))):
+                held.append(np.unique(runs(parts)[0], return_counts=True))
+                if len(held) > 1 and sum(len(x[0]) for x in held) > COUNTED:
+                    held = [merged()]
+                    if len(held[0][0]) > COUNTED // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["digest", "n"])
+                        held = []
+        if held:
+            found, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["digest", "n"])
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "digest").limit(words).select("digest").toPandas()
+    return np.sort(top["digest"].to_numpy(np.int64).view(np.uint64))
+
+
+def placed(digest: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each digest in ``known``, the number of those for none."""
+    if not len(known):
+        return np.zeros(len(digest), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+    return np.where(known[at] == digest, at, len(known))
+
+
+def contexts(parts: list[bytes], known: np.ndarray, sums: np.ndarray) -> None:
+    """Adds to ``sums``, a row for each of ``known`` and one for the others, the index vectors around each word."""
+    digest, _, text, shape, again = runs(parts)
+    if not len(digest):
+        return
+    values, place, order, first = distinct(digest)
+    at = np.arange(len(digest)) + 2 * text + 2  # two rows of zeros between texts
+    spaced = np.zeros((at[-1] + 3, DIM), dtype=np.int8)
+    spaced[at] = index_vectors(values)[place]
+    around = spaced[at - 1] + spaced[at - 2] + spaced[at + 1] + spaced[at + 2] + mark_vectors()[shape] + mark_vectors()[again]
+    np.add.at(sums, placed(values, known), np.add.reduceat(around[order], first, axis=0, dtype=np.int64))
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, vectors of length one) of the most frequent words, and a row of zeros for the others."""
+    sc = docs.sparkSession.sparkContext
+    known = frequent(docs, text_col, words)
+    sent = sc.broadcast(known)
 
     def gather(batches):
-        seen = np.zeros(SLOTS * SLOTS, dtype=np.int32)
-        sums = np.zeros((SLOTS, DIM), dtype=np.int64)
-        n = 0
+        sums = np.zeros((len(sent.value) + 1, DIM), dtype=np.int64)
         for batch in batches:
             for parts, _ in pieces(as_bytes(batch.column(0))):
-                pairs = neighbours(parts)
-                np.add.at(seen, pairs, 1)
-                n += len(pairs)
-                if n > 1 << 30:
-                    sums, seen, n = sums + seen.reshape(SLOTS, SLOTS) @ index_vectors(), np.zeros_like(seen), 0
-        if n or sums.any():
-            sums += (seen.reshape(SLOTS, SLOTS).astype(np.float64) @ index_vectors().astype(np.float64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), *map(pa.array, np.ascontiguousarray(sums.T))], ["slot", *(f"c{i}" for i in range(DIM))])
+                contexts(parts, sent.value, sums)
+        some = np.flatnonzero(sums[:-1].any(axis=1))
+        for i in range(0, len(some), 1 << 13):
+            rows = some[i : i + (1 << 13)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *map(pa.array, np.ascontiguousarray(sums[rows].T))], ["word", *names])
 
     names = [f"c{i}" for i in range(DIM)]
-    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, ", ".join(["slot int", *(f"{x} long" for x in names)]))
-    rows = sums.groupBy("slot").agg(*(F.sum(x).alias(x) for x in names)).toPandas()  # SLOTS rows at most
-    out = np.zeros((SLOTS, DIM))
+    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, ", ".join(["word int", *(f"{x} long" for x in names)]))
+    rows = sums.groupBy("word").agg(*(F.sum(x).alias(x) for x in names)).toPandas()  # ``words`` rows at most
+    out = np.zeros((len(known) + 1, DIM), dtype=np.float32)
     if len(rows):
-        out[rows["slot"].to_numpy()] = rows[names].to_numpy(np.float64)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        out[rows["word"].to_numpy()] = rows[names].to_numpy(np.float64)
+    return known, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: list[bytes], known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each text."""
-    both = np.hstack([vectors, index_vectors()])
-    sums, n, size = np.zeros((len(texts), 4, 2 * DIM)), np.zeros((len(texts), 4)), np.zeros(len(texts))
+    rows = len(texts)
+    n, sums = np.zeros((rows, KINDS)), np.zeros((rows, KINDS, 2 * DIM))
+    marks, kept, size = np.zeros((rows, MARKS)), np.zeros(rows), np.zeros(rows)
     for parts, of in pieces(texts):
-        slot, text, shape, again = runs(parts)
-        at = np.concatenate([text * SLOTS + slot, text * SLOTS + shape, text * SLOTS + again])
-        counts = np.bincount(at, minlength=len(parts) * SLOTS).reshape(len(parts), SLOTS).astype(np.float64)
-        for k in range(4):
-            own = counts[:, KINDS[k] : KINDS[k + 1]]
-            np.add.at(sums[:, k], of, own @ both[KINDS[k] : KINDS[k + 1]])
-            np.add.at(n[:, k], of, own.sum(axis=1))
+        digest, kind, text, *both = runs(parts)
+        cell, cells = text * KINDS + kind, len(parts) * KINDS
+        np.add.at(n, of, np.bincount(cell, minlength=cells).reshape(-1, KINDS))
+        if len(digest):
+            values, place, _, _ = distinct(digest)
+            word = placed(values, known)
+            wide = np.hstack([vectors[word], index_vectors(values).astype(np.float32)])
+            order = np.argsort(cell, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(cell[order]) > 0))
+            own = np.zeros((cells, 2 * DIM))
+            own[cell[order][first]] = np.add.reduceat(wide[place[order]], first, axis=0, dtype=np.float64)
+            np.add.at(sums, of, own.reshape(-1, KINDS, 2 * DIM))
+            np.add.at(kept, of, np.bincount(text, (word < len(known))[place], minlength=len(parts)))
+        for mark in both:
+            np.add.at(marks, of, np.bincount(text * MARKS + mark, minlength=len(parts) * MARKS).reshape(-1, MARKS))
         np.add.at(size, of, [len(x) for x in parts])
-    mean = sums / np.maximum(n, 1)[:, :, None]
-    share = n / np.maximum(n[:, 1:].sum(axis=1, keepdims=True), 1)
-    return np.hstack([mean.reshape(len(texts), -1), share, np.log1p(size)[:, None] / 10])
+    total = np.maximum(n.sum(axis=1, keepdims=True), 1)
+    mean = (sums / np.maximum(n, 1)[:, :, None]).reshape(rows, -1)
+    return np.hstack([mean, marks / total, n / total, kept[:, None] / total, np.log1p(size)[:, None] / 10])
 
 
 @dataclass
@@ -205,33 +271,36 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 40, rate
     return net
 
 
-def quality_of(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = 6000, threshold: float = 0.3) -> DataFrame:
+def quality_of(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = 6000, threshold: float = 0.3, words: int = WORDS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
     The network learns from at most ``per_class`` labelled documents of each
-    label, none with crc32(id as text) mod 5 = 0 (held_out); the word vectors
-    come from all documents. Null text counts as empty, and an empty text gets
-    the score of a document without runs. Without labels, or with one label, the
-    score is that label's smoothed share. Other columns are ignored.
+    label, none with crc32(id as text) mod 5 = 0 (held_out), one text of each id;
+    the word vectors come from all documents. Null text counts as empty, and an
+    empty text gets the score of a document without words. Rows that repeat an id
+    each get a row, equal texts equal scores. Without labels, or with one label,
+    the score is that label's smoothed share. An empty table gives no rows; other
+    columns are ignored. A text over a MiB is read in pieces: its words at a cut
+    have no neighbours beyond it.
     """
-    vectors = word_vectors(docs)
+    known, vectors = word_vectors(docs, words=words)
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(vectors)  # SLOTS * DIM numbers
+    sent = sc.broadcast((known, vectors))  # (words + 1) * (DIM + 2) numbers of 4 bytes at most
 
     def features(batch):
-        found = pooled(as_bytes(batch.column(0)), sent.value)
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.FixedSizeListArray.from_arrays(found.ravel(), FEATURES).cast(pa.list_(pa.float64()))], ["label", "x"])
+        found = pooled(as_bytes(batch.column(1)), *sent.value)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(found.ravel(), FEATURES).cast(pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    sample = labelled_sample(docs, labels, column, per_class).select("text", "label")
-    rows = sample.mapInArrow(lambda it: (y for b in it if b.num_rows for y in features(b)), "label int, x array<double>").toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = labelled_sample(docs, labels, column, per_class)
+    rows = sample.mapInArrow(lambda it: (y for b in it if b.num_rows for y in features(b)), f"doc_id {kind}, label int, x array<double>").toPandas()
+    rows = rows.iloc[np.argsort(rows["doc_id"].astype(str).to_numpy(), kind="stable")]
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, FEATURES))
-    order = np.lexsort(x.T[:8]) if len(x) else []
-    model = sc.broadcast(train(x[order], rows["label"].to_numpy(np.float64)[order]))
+    model = sc.broadcast(train(x, rows["label"].to_numpy(np.float64)))
 
     def score(batch):
-        p = model.value.probabilities(pooled(as_bytes(batch.column(1)), sent.value))
+        p = model.value.probabilities(pooled(as_bytes(batch.column(1)), *sent.value))
         held = [crc32_of(i) % 5 == 0 for i in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(lambda it: (y for b in it if b.num_rows for y in score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
