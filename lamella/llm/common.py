@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -55,6 +56,24 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
+def rows_with_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` and the name of a long column that tells its rows apart.
+
+    That is the id where it is a long, never null and never repeats; else a column
+    of its own, for which the rows are written to the shared folder.
+    """
+    if docs.schema[id_col].dataType.simpleString() == "bigint":
+        again = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter(f"n > 1 or {id_col} is null")
+        if not again.limit(1).count():
+            return docs, id_col
+    spark, key = docs.sparkSession, "_row"
+    while key in docs.columns:
+        key += "_"
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path), key
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,6 @@ their first occurrence, which a partial aggregate finds before the shuffle.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import as_bytes, cut, map_batches, partitions, shared_dir
+from lamella.llm.common import as_bytes, cut, map_batches, partitions, rows_with_key
 
 #: Bytes in a block.
 BLOCK = 1024
@@ -144,7 +143,8 @@ class BlockNaming:
                 )
             )
             pairs = cut(pairs)
-            names = pairs.groupBy("a", "b").agg(F.min("place").alias("name"))
+            # Names in a table of their own, so that Spark can split the other side of a frequent pair.
+            names = cut(pairs.groupBy("a", "b").agg(F.min("place").alias("name")))
             level = cut(pairs.join(names, ["a", "b"]).select("row_id", "n", "pos", "name", "place"))
             longest, depth = (longest + 1) // 2, depth + 1
             done.append(level.filter("n = 1").select("row_id", F.lit(depth).alias("depth"), "name"))
@@ -185,10 +185,9 @@ def decided(docs: DataFrame, id_col: str, text_col: str, naming: BlockNaming, ro
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", naming: BlockNaming = BlockNaming()) -> DataFrame:
     """``docs`` without exactly the rows that :func:`exact_groups` does not keep, all columns as they are.
 
-    Rows are told apart by a key that is written with them, so ids may be null or repeat.
+    Decided row by row, so ids may be null or repeat.
     """
-    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    gone = decided(rows, id_col, text_col, naming, "_row").filter("not kept").select(F.col("row_id").alias("_gone"))
-    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").drop("_row")
+    rows, key = rows_with_key(docs, id_col)
+    gone = cut(decided(rows, id_col, text_col, naming, key).filter("not kept").select(F.col("row_id").alias("_gone")))
+    left = rows.join(gone, rows[key] == gone["_gone"], "left_anti")
+    return left if key == id_col else left.drop(key)

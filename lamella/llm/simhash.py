@@ -27,10 +27,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import as_bytes, cut, map_batches, splitmix64
+from lamella.llm.common import as_bytes, cut, map_batches, rows_with_key, splitmix64
 from lamella.llm.components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -201,14 +201,21 @@ class NearCopies:
     """Groups of texts whose sets of word shingles are alike.
 
     words: of a shingle. similarity: least Jaccard similarity of a link. bands of
-    ``rows`` minima each. joined: texts under one band that are compared with each
-    other; beyond it each is first compared with ``pivots`` of them, and those that
-    are still apart meet in an exact join (:meth:`crowded`).
+    ``rows`` minima each. joined: texts under one band whose pairs are all looked
+    at; those of larger bands meet in an exact join (:meth:`crowded`). agreeing:
+    minima, of all, that texts must share before their sets are compared; at a
+    similarity of 0.8 fewer are shared by two pairs in ten million.
 
     At a similarity of 0.8 fingerprints of 64 bits differ in 6 to 18 bits, beyond
     what Golay keys of that length can find. So the Golay links (two bits) are
     joined by candidates that share a band of minima of the shingle hashes; every
     candidate is verified on the whole sets.
+
+    The search goes from few pairs to many, and leaves out what is in one group by
+    then: each text with the least text of its bands, with the least of each band,
+    with all texts of its small bands, and the exact join of crowded ones. Whole
+    texts are never shuffled: a Bloom filter of bounded size picks those whose sets
+    are needed, and only the sets travel.
     """
 
     words: int = 5
@@ -216,57 +223,103 @@ class NearCopies:
     bands: int = 16
     rows: int = 2
     joined: int = 32
-    pivots: int = 8
+    agreeing: int = 13
 
     def shingles(self, text: bytes) -> np.ndarray:
         """Distinct shingle hashes in order; a text without words has the hash zero."""
-        found = shingle_hashes(text, self.words)
-        return np.unique(found) if len(found) else np.zeros(1, dtype=np.uint64)
+        return self.set_of(shingle_hashes(text, self.words))
+
+    def set_of(self, hashes: np.ndarray) -> np.ndarray:
+        return np.unique(hashes) if len(hashes) else np.zeros(1, dtype=np.uint64)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
+    def minima(self, hashes: np.ndarray) -> np.ndarray:
+        """The least value of each of bands * rows hash functions."""
+        salts = np.array([0xD1B54A32D192ED03 * (i + 1) % (1 << 64) for i in range(self.bands * self.rows)], dtype=np.uint64)[:, None]
+        return np.min([splitmix64(hashes[None, i : i + 4096] ^ salts).min(axis=1) for i in range(0, len(hashes), 4096)], axis=0)
+
+    def keys(self, minima: np.ndarray) -> np.ndarray:
         """A key for each band."""
-        minima = np.array([splitmix64(hashes ^ np.uint64(0xD1B54A32D192ED03 * (i + 1) % (1 << 64))).min() for i in range(self.bands * self.rows)], dtype=np.uint64).reshape(self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64)
-        for j in range(self.rows):
-            key = splitmix64(key ^ minima[:, j])
+        for own in minima.reshape(self.bands, self.rows).T:
+            key = splitmix64(key ^ own)
         return key.view(np.int64)
 
     def sketches(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, fp, n, keys) of every document with an id."""
+        """(doc_id, fp, n, keys, sig): sig has sixteen bits of each minimum."""
 
         def run(batch):
-            ids, prints, sizes, keys = batch.column(0), [], [], []
+            ids, prints, sizes, keys, signs = batch.column(0), [], [], [], []
             for text in as_bytes(batch.column(1)):
-                prints.append(signed(fingerprint(shingle_hashes(text, self.words))))
-                own = self.shingles(text)
+                hashes = shingle_hashes(text, self.words)
+                own = self.set_of(hashes)
+                least = self.minima(own)
+                prints.append(signed(fingerprint(hashes)))
                 sizes.append(len(own))
-                keys.append(self.keys(own))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "keys"])
-
-        return map_batches(docs.select("doc_id", "text").filter("doc_id is not null"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n long, keys array<long>")
-
-    def candidates(self, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs (a, b) to verify, and the texts (doc_id) under a band of more than ``joined`` texts."""
-        banded = cut(sketches.select("doc_id", "n", F.explode("keys").alias("key")))
-        sizes = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
-        close = lambda x, y: F.least(x, y) >= F.floor(self.similarity * F.greatest(x, y))
-        few = banded.join(sizes.filter(F.col("m") <= self.joined), "key", "left_semi")
-        a, b = few.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na")), few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        pairs = a.join(b, "key").filter("a < b").filter(close(F.col("na"), F.col("nb"))).select("a", "b")
-        many = cut(banded.join(sizes.filter(F.col("m") > self.joined), "key", "left_semi"))
-        least = lambda i: F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("b"), F.col("n").alias("nb")))
-        pivots = many.groupBy("key").agg(*(least(i).alias(f"p{i}") for i in range(self.pivots)))
-        pivots = cut(pivots.select("key", F.array_distinct(F.array(*(F.struct(f"p{i}.b", f"p{i}.nb") for i in range(self.pivots)))).alias("p")))
-        # The bands of a group mostly share their pivots, so a text's pivots are gathered (one set per band) before they become pairs.
-        stars = many.join(pivots, "key").groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p")).select("doc_id", "n", F.inline("p"))
-        stars = stars.filter(F.col("doc_id") != F.col("b")).filter(close(F.col("n"), F.col("nb")))
-        stars = stars.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
-        prints = cut(sketches.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+                keys.append(self.keys(least))
+                signs.append((least & np.uint64(0xFFFF)).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "fp", "n", "keys", "sig"])
+
+        return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n long, keys array<long>, sig binary")
+
+    def chosen(self, docs: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:
+        """``run`` over batches (doc_id, text) of the documents with one of ``ids`` and, as a Bloom filter picks them, of few others."""
+        bits = bloom(ids)
+
+        def some(batch):
+            kept = batch.filter(pa.array(in_bloom(bits, batch.column(2).to_numpy())))
+            if kept.num_rows:
+                yield from run(kept)
+
+        return map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), some, schema)
+
+    def close(self, x: str, y: str) -> Column:
+        """Whether sets of these sizes can be alike."""
+        return F.least(x, y) >= F.floor(self.similarity * F.greatest(x, y))
+
+    def stars(self, sketches: DataFrame, bands: DataFrame) -> DataFrame:
+        """(a, b): each text a with the least text b of each of its bands, if their sizes are close."""
+        own = sketches.select("doc_id", "n", F.explode("keys").alias("key")).join(bands.select("key", "least"), "key")
+        return own.filter((F.col("doc_id") != F.col("least.doc_id")) & self.close("n", "least.n")).select(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b"))
+
+    def golay(self, sketches: DataFrame) -> DataFrame:
+        """(a, b) of fingerprints that differ in two bits at most."""
+        prints = cut(sketches.groupBy("fp").agg(F.min("doc_id").alias("least")))
         links = SimHash(self.words).links(prints.select("fp"))
-        of = lambda name: prints.select(F.col("fp").alias("_" + name), F.col("doc_id").alias("d" + name))
-        golay = links.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
-        same = sketches.select("doc_id", "fp").join(prints.withColumnRenamed("doc_id", "least"), "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-        return pairs.unionAll(stars).unionAll(golay).unionAll(same).distinct(), cut(many.select("doc_id").distinct())
+        of = lambda name: prints.select(F.col("fp").alias("_" + name), F.col("least").alias("d" + name))
+        linked = links.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select(F.greatest("da", "db").alias("a"), F.least("da", "db").alias("b"))
+        same = sketches.select("doc_id", "fp").join(prints, "fp").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+        return linked.unionAll(same)
+
+    def groups(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, component_id) of the documents that are near copies of another one; component_id is the smallest id of the group. Ids must be distinct and not null."""
+        sketches = cut(self.sketches(docs))
+        banded = sketches.select("doc_id", "n", F.explode("keys").alias("key"))
+        bands = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "n")).alias("least")).filter("m > 1"))
+        stars = cut(self.stars(sketches, bands).unionAll(self.golay(sketches)).distinct())
+        links = cut(self.verified(docs, sketches, stars.groupBy("a").agg(F.min("b").alias("b"))))
+        found = cut(components(links))
+        links = links.unionAll(cut(self.verified(docs, sketches, self.apart(stars, found))))
+        found = cut(components(links))
+        # Bands whose texts are in different groups by now.
+        rooted = banded.join(bands.select("key", "m"), "key").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        mixed = rooted.groupBy("key").agg(F.max("m").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        rooted = cut(rooted.drop("m").join(cut(mixed.select("key", "m")), "key"))
+        few = rooted.filter(F.col("m") <= self.joined)
+        x, y = (few.select("key", F.col("doc_id").alias(i), F.col("n").alias("n" + i), F.col("root").alias("r" + i)) for i in "ab")
+        pairs = x.join(y, "key").filter("a > b and ra <> rb").filter(self.close("na", "nb")).select("a", "b").distinct()
+        links = links.unionAll(cut(self.verified(docs, sketches, pairs)))
+        hot = cut(rooted.filter(F.col("m") > self.joined).select("doc_id").distinct())
+        if hot.limit(1).count():
+            found = cut(components(links))
+            links = links.unionAll(cut(self.verified(docs, sketches, self.crowded(docs, hot, found))))
+        found = components(links)
+        return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+    def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """The pairs whose texts are in different groups."""
+        of = lambda name: found.select(F.col("node").alias(name), F.col("root").alias("r" + name))
+        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
     def crowded(self, docs: DataFrame, hot: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs (a, b) to verify: all of the texts ``hot`` that can be alike and have no common root in ``found``.
@@ -279,14 +332,13 @@ class NearCopies:
         brings together only texts that it can make alike. The order decides how
         many pairs there are, not which links are found.
         """
-        own = cut(docs.select("doc_id", "text").join(hot, "doc_id", "left_semi"))
         most = (1 + self.similarity) / self.similarity
 
         def listed(batch):
             found = [self.shingles(x).view(np.int64) for x in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["shingle"])
 
-        counts = map_batches(own, listed, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > self.joined)
+        counts = self.chosen(docs, hot, listed, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > self.joined)
         common = counts.orderBy(F.desc("m"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
         names, times = common["shingle"].to_numpy(np.int64), common["m"].to_numpy(np.int64)
 
@@ -308,51 +360,80 @@ class NearCopies:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(sizes), pa.array(both), pa.array(np.concatenate(shingles))], ["doc_id", "n", "both", "shingle"])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        rows = map_batches(own, prefixes, f"doc_id {kind}, n long, both long, shingle long")
+        rows = self.chosen(docs, hot, prefixes, f"doc_id {kind}, n long, both long, shingle long")
         rows = cut(rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
-        apart = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("largest")).filter("least <> largest").select("shingle")
-        rows = cut(rows.join(apart, "shingle", "left_semi"))
+        mixed = cut(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle"))
+        rows = cut(rows.join(mixed, "shingle"))
         of_size = lambda n: F.floor(F.log(n) / float(np.log(1.02)))
         x = rows.filter(F.col("both") >= 2 * F.col("n")).withColumn("size", F.explode(F.sequence(of_size(F.col("n")), of_size(F.col("both") - F.col("n")))))
         x = x.select("shingle", "size", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("both").alias("ma"), F.col("root").alias("ra"))
         y = rows.select("shingle", of_size(F.col("n")).alias("size"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("both").alias("mb"), F.col("root").alias("rb"))
         met = x.join(y, ["shingle", "size"]).filter("ra <> rb and na + nb <= least(ma, mb) and (na < nb or (na = nb and a < b))")
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def groups(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, component_id) of the documents that are near copies of another one; component_id is the smallest id of the group."""
-        pairs, hot = self.candidates(cut(self.sketches(docs)))
-        alike = self.verified(docs, cut(pairs))
-        found = components(alike)
-        if hot.limit(1).count():
-            found = cut(found)
-            alike = cut(self.verified(docs, cut(self.crowded(docs, hot, found))))
-            if alike.limit(1).count():
-                found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(alike))
-        return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
-
-    def verified(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    def verified(self, docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are alike."""
-        taken = cut(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+
+        def agree(batch):
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for i in (2, 3))
+            kept = pa.array((x == y).sum(axis=1) >= self.agreeing)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        of = lambda i: sketches.select(F.col("doc_id").alias(i), F.col("sig").alias("s" + i))
+        signed_pairs = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
+        likely = cut(map_batches(signed_pairs, agree, f"a {kind}, b {kind}"))
+        taken = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
         def run(batch):
             sets = [self.shingles(x).view(np.int64) for x in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "own"])
 
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        sets = map_batches(docs.select("doc_id", "text").join(taken, "doc_id", "left_semi"), run, f"doc_id {kind}, own array<long>")
-        sets = cut(sets)
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(shared >= self.similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+        sets = cut(self.chosen(docs, taken, run, f"doc_id {kind}, own array<long>"))
+        both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("oa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("ob")), "b")
+        shared = F.size(F.array_intersect("oa", "ob"))
+        return both.filter(shared >= self.similarity * (F.size("oa") + F.size("ob") - shared)).select("a", "b")
+
+
+#: Bits of a Bloom filter of ids: 8 MB for every task, however many ids there are.
+BLOOM_BITS = 26
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column doc_id, two places for each id: at most 2**BLOOM_BITS / 64 words come to the driver."""
+    places = ids.select(F.xxhash64("doc_id").alias("h")).select(F.explode(F.array(F.col("h").bitwiseAND((1 << BLOOM_BITS) - 1), F.shiftright("h", 32).bitwiseAND((1 << BLOOM_BITS) - 1))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_bloom(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), dtype=bool)
+    for shift in (0, 32):
+        p = (hashes >> shift) & ((1 << BLOOM_BITS) - 1)
+        found &= bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) == 1
+    return found
 
 
 def drop_near_copies(docs: DataFrame, near: NearCopies = NearCopies()) -> DataFrame:
-    """``docs`` with one document, the smallest id, of each group of near copies.
+    """``docs`` with one row, that of the smallest id, of each group of near copies.
 
-    Groups are the components of the links of :class:`NearCopies`. Rows that
-    repeat an id share its decision; rows with a null id all stay. Null text
-    counts as empty; texts without words are alike. All columns stay as they are.
+    Groups are the components of the links of :class:`NearCopies` between rows, so
+    ids may be null or repeat: a null id is larger than any other, of equal ids any
+    one row stays. Null text counts as empty; texts without words are alike. All
+    columns stay as they are; an empty table stays empty. A task holds one text's
+    set at a time besides a batch.
     """
-    gone = cut(near.groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows, key = rows_with_key(docs)
+    own = rows.select(F.col(key).alias("doc_id"), "text", F.col("doc_id").alias("_id"))
+    found = near.groups(own)
+    if key == "doc_id":
+        gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    else:
+        found = cut(found.join(own.select("doc_id", "_id"), "doc_id"))
+        best = found.groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.col("_id").isNull(), "_id", "doc_id")).alias("best"))
+        gone = found.join(cut(best), "component_id").filter("doc_id <> best").select(F.col("doc_id").alias("_gone"))
+    gone = cut(gone)
+    left = rows.join(gone, rows[key] == gone["_gone"], "left_anti")
+    return left if key == "doc_id" else left.drop(key)
