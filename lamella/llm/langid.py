@@ -26,14 +26,18 @@ from lamella.llm.common import as_bytes, crc32_of, cut, pieces, splitmix64
 
 #: Identities of n-grams: 20-bit digests.
 ID_BITS = 20
-#: Languages that the model can hold.
-MOST_LANGUAGES = 64
+#: Languages whose counts a task holds before it passes them on: 8 MB for each.
+HELD = 16
 
 
 @cache
 def letters() -> np.ndarray:
     """Code points to themselves for letters, else to a space."""
-    return np.array([i if chr(i).isalpha() else 32 for i in range(0x110000)], dtype=np.uint32)
+    out = np.full(0x110000, 32, dtype=np.uint32)
+    for i in range(0x32400):  # the planes beyond have no letters
+        if chr(i).isalpha():
+            out[i] = i
+    return out
 
 
 def ngrams(parts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +64,7 @@ def ngrams(parts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """languages: in order. table: the bit masks. false: for each language the share of foreign n-grams that its filter takes."""
+    """languages: in order. table: the bit masks, in words of 8 or 64 languages. false: for each language the share of foreign n-grams that its filter takes."""
 
     languages: list[str]
     table: np.ndarray
@@ -69,7 +73,7 @@ class Filters:
     size: int
 
     def masks(self, ids: np.ndarray) -> np.ndarray:
-        """For each n-gram, the languages that contain it."""
+        """For each n-gram, the languages that contain it: (n, words)."""
         mixed = splitmix64(ids.astype(np.uint64))
         out = None
         for i in range(self.hashes):
@@ -80,13 +84,15 @@ class Filters:
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts of each language, and the n-grams, of each text."""
         found, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        bits = self.table.dtype.itemsize * 8
         for parts, of in pieces(texts):
             ids, own = ngrams(parts, self.size)
             masks = self.masks(ids)
             n = np.bincount(own, minlength=len(parts))
             np.add.at(total, of, n)
             for i in range(len(self.languages)):
-                hit = np.bincount(own[(masks >> masks.dtype.type(i)) & masks.dtype.type(1) == 1], minlength=len(parts))
+                word = masks[:, i // bits]
+                hit = np.bincount(own[(word >> word.dtype.type(i % bits)) & word.dtype.type(1) == 1], minlength=len(parts))
                 np.add.at(found[:, i], of, (hit - self.false[i] * n) / (1 - self.false[i]))
         return np.maximum(found, 0), total
 
@@ -105,6 +111,13 @@ class LanguageFilters:
         """Learn from documents with a language whose crc32(id as text) mod 4 is not 2."""
         size = self.size
 
+        def passed(totals):
+            for lang, sums in totals.items():
+                ids = np.flatnonzero(sums)
+                for i in range(0, len(ids), 1 << 16):
+                    some = ids[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(sums[some])], ["lang", "id", "n"])
+
         def count(batches):
             totals: dict[str, np.ndarray] = {}
             for batch in batches:
@@ -113,42 +126,37 @@ class LanguageFilters:
                     if lang is not None and crc32_of(i) % 4 != 2:
                         texts.setdefault(lang, []).append(text)
                 for lang, own in texts.items():
+                    if lang not in totals and len(totals) >= HELD:
+                        yield from passed(totals)
+                        totals = {}
                     sums = totals.setdefault(lang, np.zeros(1 << ID_BITS, dtype=np.int64))
                     for parts, _ in pieces(own):
                         sums += np.bincount(ngrams(parts, size)[0], minlength=1 << ID_BITS)
-                if len(totals) > MOST_LANGUAGES:
-                    raise ValueError(f"over {MOST_LANGUAGES} languages")
-            for lang, sums in totals.items():
-                ids = np.flatnonzero(sums)
-                for i in range(0, len(ids), 1 << 16):
-                    some = ids[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(sums[some])], ["lang", "id", "n"])
+            yield from passed(totals)
 
         chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
         counts = cut(chosen.mapInArrow(count, "lang string, id int, n long").groupBy("lang", "id").agg(F.sum("n").alias("n")))
-        # At most 2**ID_BITS rows for each of at most MOST_LANGUAGES languages; rare n-grams stay with the executors.
-        total = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        if len(total) > MOST_LANGUAGES:
-            raise ValueError(f"over {MOST_LANGUAGES} languages")
-        languages = sorted(total)
+        totals = cut(counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")))
+        languages = sorted(r.lang for r in totals.select("lang").collect())
         dtype = np.uint8 if len(languages) <= 8 else np.uint64
-        table = np.zeros(1 << self.bits, dtype=dtype)
+        bits = np.dtype(dtype).itemsize * 8
+        table = np.zeros((1 << self.bits, max(1, -(-len(languages) // bits))), dtype=dtype)
         if languages:
-            share = F.col("n") / F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(total[lang]))])[F.col("lang")]
-            rows = counts.withColumn("share", share).filter(F.col("share") >= self.least_share)
-            got = rows.select(F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])[F.col("lang")].alias("lang"), "id", "share").toPandas()
-            best = got.groupby("id")["share"].transform("max")
-            got = got[got["share"] >= self.of_best * best]
+            names = docs.sparkSession.createDataFrame(list(enumerate(languages)), "i int, lang string")
+            shares = counts.join(totals.join(names, "lang"), "lang").select("i", "id", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= self.least_share)
+            best = shares.groupBy("id").agg(F.max("share").alias("best"))
+            # Of 2**ID_BITS n-grams at most, each with the few languages that have a fifth of its best share.
+            got = shares.join(best, "id").filter(F.col("share") >= self.of_best * F.col("best")).select("i", "id").toPandas()
             for i in range(len(languages)):
-                mixed = splitmix64(got.loc[got["lang"] == i, "id"].to_numpy(np.uint64))
+                mixed = splitmix64(got.loc[got["i"] == i, "id"].to_numpy(np.uint64))
                 for k in range(self.hashes):
-                    table[(mixed >> np.uint64(20 * k)) & np.uint64(len(table) - 1)] |= dtype(1) << dtype(i)
-        fill = np.array([np.count_nonzero((table >> dtype(i)) & dtype(1)) / len(table) for i in range(len(languages))])
+                    table[(mixed >> np.uint64(20 * k)) & np.uint64(len(table) - 1), i // bits] |= dtype(1) << dtype(i % bits)
+        fill = np.array([np.count_nonzero((table[:, i // bits] >> dtype(i % bits)) & dtype(1)) / len(table) for i in range(len(languages))])
         return Filters(languages, table, np.minimum(fill**self.hashes, 0.5), self.hashes, self.size)
 
     def predict(self, docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, held_out, lang_pred, score); see :func:`languages_of`."""
-        sent = docs.sparkSession.sparkContext.broadcast(model)  # the table: 2**bits positions of 1 or 8 bytes
+        sent = docs.sparkSession.sparkContext.broadcast(model)  # the table: 2**bits positions of a bit for each language
 
         def run(batch):
             m, texts = sent.value, as_bytes(batch.column(1))
@@ -175,5 +183,8 @@ def languages_of(docs: DataFrame, settings: LanguageFilters = LanguageFilters())
     if there is nothing to learn from. Of equal counts the first language in
     order wins; a text with letters but no known n-gram so gets the first
     language and score 0. The score is the winner's share of the corrected counts.
+    Rows that repeat an id each get a row, equal texts equal predictions; an empty
+    table gives no rows; other columns are ignored. Whole texts are read, a long one
+    in slices of a MiB, where the n-grams across a cut count as two words.
     """
     return settings.predict(docs, settings.fit(docs))
