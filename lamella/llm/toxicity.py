@@ -227,12 +227,21 @@ def features(texts: list[str], index: np.ndarray, n: int) -> np.ndarray:
 
 
 def l2_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Primal Newton steps for the squared hinge loss; y is +1 or -1, the last column is the bias."""
-    w, active = np.zeros(z.shape[1]), np.ones(len(z), dtype=bool)
+    """Primal Newton steps for the squared hinge loss; y is +1 or -1. Weights of the columns and of one more, the bias."""
+    n, d = z.shape
+    w, active = np.zeros(d + 1), np.ones(n, dtype=bool)
     for _ in range(rounds):
-        za = z[active] * cost[active, None]
-        w = np.linalg.solve(za.T @ z[active] + np.eye(z.shape[1]), za.T @ y[active])
-        now = y * (z @ w) < 1
+        square, right, margin = np.eye(d + 1), np.zeros(d + 1), np.empty(n)
+        for i in range(0, n, 2048):  # a block at a time, so no copy of z is made
+            own = np.flatnonzero(active[i : i + 2048]) + i
+            x = np.column_stack([z[own], np.ones(len(own))]).astype(np.float64)
+            by = x * cost[own, None]
+            square += by.T @ x
+            right += by.T @ y[own]
+        w = np.linalg.solve(square, right)
+        for i in range(0, n, 2048):
+            margin[i : i + 2048] = z[i : i + 2048] @ w[:-1] + w[-1]
+        now = y * margin < 1
         if (now == active).all():
             break
         active = now
@@ -266,14 +275,21 @@ def bare(word: str) -> str:
 
 def spread(words: list[str], most: int, near: float = 0.7) -> list[str]:
     """The first words of which no two have a kernel of ``near`` or more."""
-    if not words:
-        return []
-    seen, index = numbered(words)
-    x, left, out = features(words, index, len(seen)), np.ones(len(words), dtype=bool), []
-    for i in range(len(words)):
-        if left[i] and len(out) < most:
-            out.append(words[i])
-            left &= x @ x[i] < near
+    out, held = [], None
+    if words:
+        seen, index = numbered(words)
+        for i in range(0, len(words), 64):
+            some = words[i : i + 64]
+            x = features(some, index, len(seen))
+            left = np.ones(len(some), dtype=bool) if held is None else (x @ held.T).max(axis=1) < near
+            fresh = []
+            for j in range(len(some)):
+                if left[j] and len(out) < most:
+                    out.append(some[j])
+                    fresh.append(j)
+                    left &= x @ x[j] < near
+            if fresh:
+                held = x[fresh] if held is None else np.vstack([held, x[fresh]])
     return out
 
 
@@ -348,11 +364,13 @@ class Machine:
         kept = values > 1e-4 * values.max()
         lift = (basis.T @ (vectors[:, kept] / np.sqrt(values[kept]))).astype(np.float32)
         every = positive + more + negative
-        z = np.vstack([features(every[i : i + 512], index, len(seen)) @ lift for i in range(0, len(every), 512)]).astype(np.float64)
+        z = np.empty((len(every), lift.shape[1]), dtype=np.float32)
+        for i in range(0, len(every), 256):
+            z[i : i + 256] = features(every[i : i + 256], index, len(seen)) @ lift
         y = np.concatenate([np.ones(len(positive) + len(more)), -np.ones(len(negative))])
         own = np.concatenate([np.ones(len(positive)), np.full(len(more), self.variant)])
         cost = self.cost * np.concatenate([own * self.share * len(negative) / own.sum(), np.ones(len(negative))])
-        w = l2_svm(np.column_stack([z, np.ones(len(z))]), y, cost)
+        w = l2_svm(z, y, cost)
         weights = np.zeros(U)
         weights[seen] = lift @ w[:-1]
         return weights, float(w[-1])
@@ -364,7 +382,7 @@ def constant(labels: np.ndarray) -> Model:
     return Model(np.zeros(U, dtype=np.float32), NONE, np.append(np.zeros(EVIDENCE), np.log(prior / (1 - prior))))
 
 
-def fit(texts: list[str], labels: np.ndarray, per_doc: int = 64, machine: Machine = Machine()) -> Model:
+def fit(texts: list[str], labels: np.ndarray, per_doc: int = 48, machine: Machine = Machine()) -> Model:
     """Learn from whole labelled texts in one process; with one label only every score is that label's smoothed share."""
     found = machine.fit([sampled(t, per_doc) for t in texts], labels)
     return Model(*found, logistic(evidence([t.encode() for t in texts], *found), labels)) if found else constant(labels)
@@ -381,10 +399,12 @@ def fitted(docs: DataFrame, labels: DataFrame, column: str, per_class: int, per_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.string()))], ["doc_id", "label", "said"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(bags, f"doc_id {kind}, label int, said array<string>").toPandas()  # 2 * per_class documents, per_doc sentences of each, at most
-    rows = rows.iloc[np.argsort(rows["doc_id"].astype(str).to_numpy(), kind="stable")]
-    y = rows["label"].to_numpy(np.float64)
-    found = machine.fit([list(x) for x in rows["said"]], y)
+    rows = sample.mapInArrow(bags, f"doc_id {kind}, label int, said array<string>").toArrow()  # 2 * per_class documents, per_doc sentences of each, at most
+    order = np.argsort(rows.column("doc_id").cast(pa.string()).to_numpy(zero_copy_only=False).astype(str), kind="stable")
+    rows = rows.take(pa.array(order))
+    y = rows.column("label").to_numpy().astype(np.float64)
+    found = machine.fit(rows.column("said").to_pylist(), y)
+    del rows
     if found is None:
         return sc.broadcast(constant(y))
     sent = sc.broadcast(found)
@@ -400,7 +420,7 @@ def fitted(docs: DataFrame, labels: DataFrame, column: str, per_class: int, per_
     return sc.broadcast(Model(*found, logistic(shown[names].to_numpy(np.float64), shown["label"].to_numpy(np.float64))))
 
 
-def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, per_doc: int = 64, threshold: float = 0.5, machine: Machine = Machine()) -> DataFrame:
+def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, per_doc: int = 48, threshold: float = 0.5, machine: Machine = Machine()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
     The model learns from at most ``per_class`` labelled documents of each label,
@@ -423,7 +443,7 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_c
     return docs.select("doc_id", "text").mapInArrow(lambda it: (y for b in it if b.num_rows for y in score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, per_doc: int = 64, threshold: float = 0.5, machine: Machine = Machine()) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, per_doc: int = 48, threshold: float = 0.5, machine: Machine = Machine()) -> DataFrame:
     """``docs`` without the rows that :func:`toxicity_of` predicts as toxic, all columns as they are.
 
     Each row is judged by its own text, whatever its id: null and repeated ids,
