@@ -17,14 +17,14 @@ def community_mass(edges: DataFrame, part: DataFrame) -> DataFrame:
 def degree_share(edges: DataFrame, part: DataFrame, nodes: DataFrame, layers: list[str]) -> DataFrame:
     """(layer, node, c, w): each degree as a share of its community's; 0 where that is 0."""
     deg = degrees(edges, nodes, layers).join(part, "node")
-    total = F.sum("deg").over(Window.partitionBy("layer", "c"))
-    return deg.select("layer", "node", "c", safe_div(F.col("deg"), total).alias("w"))
+    total = community_mass(edges, part)
+    return deg.join(F.broadcast(total), ["layer", "c"], "left").select("layer", "node", "c", safe_div(F.col("deg"), F.coalesce("mass", F.lit(0.0))).alias("w"))  # layers * communities rows
 
 
 def unit_weights(weights: DataFrame) -> DataFrame:
     """Weights (layer, node, c, w) with norm 1 in each community of each layer; 0 where the norm is 0."""
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("layer", "c")))
-    return weights.select("layer", "node", "c", safe_div(F.col("w"), norm).alias("w"))
+    norm = weights.groupBy("layer", "c").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weights.join(F.broadcast(norm), ["layer", "c"]).select("layer", "node", "c", safe_div(F.col("w"), F.col("norm")).alias("w"))  # layers * communities rows
 
 
 def block_sums(edges: DataFrame, weights: DataFrame) -> DataFrame:
@@ -48,8 +48,17 @@ def block_means(edges: DataFrame, part: DataFrame) -> DataFrame:
 def degree_corrections(edges: DataFrame, part: DataFrame, nodes: DataFrame, layers: list[str]) -> DataFrame:
     """(layer, node, c, theta): degrees over the mean degree of their communities."""
     deg = degrees(edges, nodes, layers).join(part, "node")
-    mean = F.avg("deg").over(Window.partitionBy("layer", "c"))
-    return deg.select("layer", "node", "c", safe_div(F.col("deg"), mean).alias("theta"))
+    size = part.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    mean = community_mass(edges, part).join(size, "c").select("layer", "c", (F.col("mass") / F.col("size")).alias("mean"))
+    return deg.join(F.broadcast(mean), ["layer", "c"], "left").select("layer", "node", "c", safe_div(F.col("deg"), F.coalesce("mean", F.lit(0.0))).alias("theta"))
+
+
+def block_density(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """(layer, p, q, density): as :func:`block_means` for every two communities with p <= q, 0 where there are no edges."""
+    c = part.select("c").distinct()
+    cells = c.select(F.col("c").alias("p")).join(c.select(F.col("c").alias("q")), F.col("p") <= F.col("q"))  # pairs of communities
+    every = edges.select("layer").distinct().crossJoin(F.broadcast(cells))
+    return every.join(block_means(edges, part), ["layer", "p", "q"], "left").select("layer", "p", "q", F.coalesce("b", F.lit(0.0)).alias("density"))
 
 
 def normalized_blocks(means: DataFrame) -> DataFrame:

@@ -48,17 +48,30 @@ def updated(h: DataFrame, numerator: DataFrame, denominator: DataFrame, half: bo
     return h.join(n, ["node", "k"], "left").join(d, ["node", "k"], "left").select("node", "k", (F.col("value") * ((0.5 + 0.5 * ratio) if half else ratio)).alias("value"))
 
 
-def symmetric(edges: DataFrame, nodes: DataFrame, settings: Settings) -> Factorization:
-    """X ~ H H'; the rows of H sum to 1 in the end."""
+def symmetric(edges: DataFrame, nodes: DataFrame, settings: Settings, more: list[tuple[float, DataFrame]] = ()) -> Factorization:
+    """X ~ H H'; the rows of H sum to 1 in the end.
+
+    more: X is the matrix of the edges plus a * A A' for each (a, A); those
+    products stay factored.
+    """
     edges, r = checked(edges), settings.rank
+
+    def product(h: DataFrame) -> DataFrame:
+        out = times(edges, h)
+        for a, f in more:
+            out = out.unionByName(turned(f, a * matrix(gram(f, h), r)))
+        return out.groupBy("node", "k").agg(F.sum("value").alias("value")) if more else out
+
     norm2 = float(edges.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0] or 0.0)
+    norm2 += sum(2 * a * float(np.trace(matrix(gram(f, times(edges, f)), r))) for a, f in more)
+    norm2 += sum(a * b * float((matrix(gram(f, g), r) ** 2).sum()) for a, f in more for b, g in more)
     h = cut(noise_factor(nodes, r, settings.seed))
     last, out = 1e10, Factorization(h, None)
     for i in range(settings.rounds):
-        xh, g = times(edges, h), matrix(gram(h, h), r)
+        xh, g = product(h), matrix(gram(h, h), r)
         h = cut(updated(h, xh, turned(h, g), half=True))
         if i % settings.every == 0 or i == settings.rounds - 1:
-            g, b = matrix(gram(h, h), r), matrix(gram(h, times(edges, h)), r)
+            g, b = matrix(gram(h, h), r), matrix(gram(h, product(h)), r)
             distance = float(np.sqrt(max(norm2 - 2 * np.trace(b) + (g * g).sum(), 0.0)))
             out.objective.append(distance * distance)
             if last - distance < settings.tolerance:
@@ -121,15 +134,12 @@ def tri(edges: DataFrame, nodes: DataFrame, settings: Settings, anchors: dict[st
 
 
 def collective_symmetric(edges: DataFrame, nodes: DataFrame, settings: Settings) -> Factorization:
-    """Each layer alone, then the mean of the layers and of their weighted H H' once more."""
+    """Each layer alone, then the mean of the layers and of their weighted H H' once more, which stay factored."""
     layers = [x.layer for x in edges.select("layer").distinct().orderBy("layer").collect()]
-    total = edges.select("src", "dst", "weight")
-    for layer in layers:
-        h = symmetric(edges.filter(F.col("layer") == layer).drop("layer"), nodes, settings).h.filter("value > 1e-6")
-        a, b = h.select(F.col("node").alias("src"), "k", F.col("value").alias("x")), h.select(F.col("node").alias("dst"), "k", F.col("value").alias("y"))
-        total = total.unionByName(a.join(b, "k").groupBy("src", "dst").agg((settings.alpha * F.sum(F.col("x") * F.col("y"))).alias("weight")))
-    mean = cut(total.groupBy("src", "dst").agg((F.sum("weight") / ((1 + settings.alpha) * len(layers))).alias("weight")))
-    return symmetric(mean, nodes, settings)
+    share = 1 / ((1 + settings.alpha) * max(1, len(layers)))
+    parts = [(settings.alpha * share, cut(symmetric(edges.filter(F.col("layer") == x).drop("layer"), nodes, settings).h)) for x in layers]
+    mean = cut(edges.groupBy("src", "dst").agg((F.sum("weight") * share).alias("weight")))
+    return symmetric(mean, nodes, settings, parts)
 
 
 def collective_tri(edges: DataFrame, nodes: DataFrame, settings: Settings) -> Factorization:

@@ -18,8 +18,8 @@ def uniform(*parts: Column) -> Column:
 class Planted:
     """A scenario: n nodes in K communities of equal size and some layers.
 
-    theta: ``exp`` (1 + 0.2 shifted exponential), ``pow`` (power law 2.5) or
-    ``two`` (0.15 and 0.8 by halves, swapped in even layers). B has p on and q off
+    theta: ``exp`` (1 + 0.2 shifted exponential), ``pow`` (power law 2.5), ``one``
+    (all alike) or ``two`` (0.15 and 0.8 by halves, swapped in even layers). B has p on and q off
     the diagonal; ``core``: one dense block, one sparse, and q between them;
     ``deficient``: ones but for one community's own block, another one in each layer.
     """
@@ -50,15 +50,21 @@ SCENARIOS = {
 }
 
 
-def planted(spark: SparkSession, s: Planted) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes): symmetric binary edges without loops, and (node, c) with the planted communities."""
+def planted(spark: SparkSession, s: Planted, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes): symmetric binary edges without loops, and (node, c) with the planted communities.
+
+    Over given nodes (node), s.n of them, the community is the remainder of the node by k.
+    """
     size = -(-s.n // s.k)
-    nodes = spark.range(s.n).select(F.col("id").alias("node"), F.floor(F.col("id") / size).cast("int").alias("c"))
+    if nodes is None:
+        nodes = spark.range(s.n).select(F.col("id").alias("node"), F.floor(F.col("id") / size).cast("int").alias("c"))
+    else:
+        nodes = nodes.select("node", F.pmod("node", F.lit(s.k)).cast("int").alias("c"))
     layer = F.explode(F.sequence(F.lit(1), F.lit(s.layers))).alias("layer")
     at = nodes.select("node", "c", layer)
     u = uniform(F.lit(s.seed), F.lit("theta"), F.col("node"), F.col("layer") if s.theta_by_layer else F.lit(0))
     half = F.when((F.col("node") % size) < size // 2, 0.15).otherwise(0.8)
-    raw = {"exp": -F.ln(u) + 0.2, "pow": F.pow(u, F.lit(-1 / 1.5)), "two": F.when(F.col("layer") % 2 == 1, half).otherwise(0.95 - half)}[s.theta]
+    raw = {"exp": -F.ln(u) + 0.2, "pow": F.pow(u, F.lit(-1 / 1.5)), "one": F.lit(1.0), "two": F.when(F.col("layer") % 2 == 1, half).otherwise(0.95 - half)}[s.theta]
     at = at.withColumn("t", raw)
     mean = at.groupBy("layer", "c").agg(F.avg("t").alias("m"))
     at = at.join(mean, ["layer", "c"]).select("layer", "node", "c", (F.col("t") / F.col("m")).alias("theta"))

@@ -7,11 +7,17 @@ matrices come to the driver.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.functions.assignment import cheapest_assignment, k_means
+from lamella.functions.sparse import Sparse, leading_pairs
 from lamella.plans.lineage import cut
 
+#: Entries of a matrix, and rows of a factor, up to which a problem is solved on the driver.
+LOCAL_ENTRIES, LOCAL_ROWS = 2_000_000, 50_000
+
 
 def times(edges: DataFrame, h: DataFrame) -> DataFrame:
     """X H: (node, k, value), by layer if ``h`` has one."""
@@ -50,15 +56,19 @@ def noise_factor(nodes: DataFrame, r: int, seed: int = 0) -> DataFrame:
     return cells.withColumn("value", (F.pmod(F.xxhash64("node", "k", F.lit(seed)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30))
 
 
-def eigenpairs(edges: DataFrame, nodes: DataFrame, r: int, by_size: bool = True, extra: int = 4, seed: int = 0, tolerance: float = 1e-6, degree: int = 8, rounds: int = 100) -> tuple[np.ndarray, DataFrame]:
+def eigenpairs(edges: DataFrame, nodes: DataFrame, r: int, by_size: bool = True, extra: int = 4, seed: int = 0, tolerance: float = 1e-6, degree: int = 8, rounds: int = 100, local: int = LOCAL_ENTRIES) -> tuple[np.ndarray, DataFrame]:
     """Leading eigenvalues and (node, k, value) eigenvectors of a symmetric matrix (src, dst, weight).
 
     Block iteration with some extra columns, filtered by a Chebyshev polynomial of
     ``degree`` and orthonormalised through Gram matrices, until the residuals of the
     r pairs are below ``tolerance`` times the largest eigenvalue; more than
     ``rounds`` filters are an error. by_size: largest magnitudes, else largest values.
-    Nodes without edges have no rows.
+    Nodes without edges have no rows. A matrix of ``local`` entries at most is
+    solved on the driver, in the same way.
     """
+    small = edges.select("src", "dst", "weight").limit(local + 1)
+    if local and small.count() <= local:
+        return _solved(edges, r, by_size, seed)
     b = r + extra
     bound = float(edges.groupBy("src").agg(F.sum(F.abs("weight")).alias("s")).agg(F.max("s")).first()[0] or 0.0)
     ends = edges.select(F.col("src").alias("node")).distinct()
@@ -87,6 +97,22 @@ def eigenpairs(edges: DataFrame, nodes: DataFrame, r: int, by_size: bool = True,
     raise ArithmeticError(f"eigenvectors have not converged in {rounds} rounds")
 
 
+def _solved(edges: DataFrame, r: int, by_size: bool, seed: int) -> tuple[np.ndarray, DataFrame]:
+    found = edges.select("src", "dst", "weight").toArrow()
+    i, j, x = (found.column(c).to_numpy() for c in ("src", "dst", "weight"))
+    order = np.lexsort((j, i))
+    names = np.unique(np.concatenate([i, j]))
+    values, vectors = leading_pairs(Sparse(len(names), np.searchsorted(names, i[order]), np.searchsorted(names, j[order]), x[order].astype(float)), r, by_size, seed=seed)
+    return values, as_factor(edges.sparkSession, names, vectors)
+
+
+def as_factor(spark, names: np.ndarray, h: np.ndarray) -> DataFrame:
+    """(node, k, value) of an array with a row for each of ``names``."""
+    n, r = h.shape
+    table = pa.table({"node": pa.array(np.repeat(names, r), pa.int64()), "k": pa.array(np.tile(np.arange(r, dtype=np.int32), n)), "value": pa.array(np.asarray(h, dtype=float).ravel())})
+    return spark.createDataFrame(table)
+
+
 def combined(*parts: tuple[float, DataFrame]) -> DataFrame:
     """The sum of factors (node, k, value), each with a coefficient."""
     out = None
@@ -106,12 +132,18 @@ def vectors_of(h: DataFrame, r: int) -> DataFrame:
     return h.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m")).select("node", F.transform(F.sequence(F.lit(0), F.lit(r - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("v"))
 
 
-def clustered(h: DataFrame, r: int, dims: int | None = None, restarts: int = 5, mixture: bool = False) -> DataFrame:
-    """(node, c): k-means (or a Gaussian mixture) on the rows of a factor, the best of some starts."""
+def clustered(h: DataFrame, r: int, dims: int | None = None, restarts: int = 5, mixture: bool = False, local: int = LOCAL_ROWS) -> DataFrame:
+    """(node, c): k-means (or a Gaussian mixture) on the rows of a factor, the best of some starts; up to ``local`` rows on the driver."""
     from pyspark.ml.clustering import GaussianMixture, KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = cut(vectors_of(h, dims or r)).select("node", array_to_vector("v").alias("features"))
+    found = cut(vectors_of(h, dims or r))
+    if not mixture and local and found.limit(local + 1).count() <= local:
+        table = found.orderBy("node").toArrow()
+        names, points = table.column("node").to_numpy(), np.array(table.column("v").to_pylist(), dtype=float).reshape(table.num_rows, -1)
+        labels = k_means(points, r, max(restarts, 20)) if len(points) else np.zeros(0, dtype=int)
+        return h.sparkSession.createDataFrame(pa.table({"node": pa.array(names, pa.int64()), "c": pa.array(labels.astype(np.int32))}))
+    rows = found.select("node", array_to_vector("v").alias("features"))
     if mixture:
         model = GaussianMixture(k=r, seed=1).fit(rows)
     else:
@@ -119,6 +151,80 @@ def clustered(h: DataFrame, r: int, dims: int | None = None, restarts: int = 5,
     return model.transform(rows).select("node", F.col("prediction").cast("int").alias("c"))
 
 
+def expected_adjacency(h: DataFrame, signs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight): X D X' for a factor (node, k, value) and signs (k, sign); of all pairs of nodes or of given ones (src, dst)."""
+    a = h.join(F.broadcast(signs), "k").select(F.col("node").alias("src"), "k", (F.col("value") * F.col("sign")).alias("x"))
+    b = h.select(F.col("node").alias("dst"), "k", F.col("value").alias("y"))
+    both = a.join(b, "k") if pairs is None else pairs.select("src", "dst").join(a, "src").join(b, ["dst", "k"])
+    return both.groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("weight"))
+
+
+def absolute_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(distance): the sum of |A - B| over the cells of two matrices (src, dst, weight)."""
+    both = a.select("src", "dst", "weight").unionAll(b.select("src", "dst", -F.col("weight"))).groupBy("src", "dst").agg(F.abs(F.sum("weight")).alias("d"))
+    return both.agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("distance"))
+
+
+def largest_rows(edges: DataFrame, n: int) -> DataFrame:
+    """(node, norm2): the n rows of largest norm, ties to the smaller node."""
+    norm = edges.groupBy(F.col("src").alias("node")).agg(F.round(F.sum(F.col("weight") * F.col("weight")), 9).alias("norm2"))
+    return norm.orderBy(F.desc("norm2"), "node").limit(n)
+
+
+def column_average(edges: DataFrame, chosen: DataFrame, how: str = "mean") -> DataFrame:
+    """(node, value): the mean or the median of some columns (column), cells that are not there counting as 0."""
+    p = chosen.agg(F.count(F.lit(1)).alias("p"))
+    own = edges.join(chosen.withColumnRenamed("column", "dst"), "dst").groupBy(F.col("src").alias("node"))
+    if how == "mean":
+        return own.agg(F.sum("weight").alias("s")).join(F.broadcast(p)).select("node", (F.col("s") / F.col("p")).alias("value"))
+    filled = own.agg(F.collect_list("weight").alias("w")).join(F.broadcast(p))  # a row's cells in the chosen columns
+    every = F.array_sort(F.concat("w", F.array_repeat(F.lit(0.0), (F.col("p") - F.size("w")).cast("int"))))
+    at = lambda i: F.element_at("v", i.cast("int"))
+    return filled.select("node", "p", every.alias("v")).select("node", ((at(F.floor((F.col("p") + 1) / 2)) + at(F.floor((F.col("p") + 2) / 2))) / 2).alias("value"))
+
+
+def singular_average(columns: np.ndarray) -> np.ndarray:
+    """The leading left singular vector of some columns, scaled so that it stands for their mean."""
+    u, s, vt = np.linalg.svd(columns, full_matrices=False)
+    return u[:, 0] * s[0] * vt[0].mean()
+
+
+def above(values: DataFrame, rank: int, value: str = "value") -> DataFrame:
+    """Rows whose size is that of the ``rank``-th largest one or more."""
+    least = values.select(F.abs(value).alias("_s")).orderBy(F.desc("_s")).limit(rank).agg(F.min("_s").alias("_least"))
+    return values.join(F.broadcast(least)).filter(F.abs(value) >= F.col("_least")).drop("_least")
+
+
+def singular_triplets(cells: DataFrame, r: int, local: int = LOCAL_ENTRIES) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """(values, left (node, k, value), right) of a rectangular matrix (src, dst, weight), the r largest.
+
+    The right vectors are eigenvectors of X'X; only skinny factors are formed.
+    """
+    shift = cells.agg(F.max("src").alias("m")).first()[0]
+    both = cells.select("src", (F.col("dst") + F.lit((shift or 0) + 1)).alias("dst"), "weight")
+    values, vectors = eigenpairs(cut(both.unionAll(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))), both.select(F.col("src").alias("node")).unionAll(both.select("dst")).distinct(), r, False, local=local)
+    root = F.col("value") * float(np.sqrt(2))
+    left = vectors.filter(F.col("node") <= (shift or 0)).withColumn("value", root)
+    right = vectors.filter(F.col("node") > (shift or 0)).select((F.col("node") - ((shift or 0) + 1)).alias("node"), "k", root.alias("value"))
+    return values, left, right
+
+
+def matched_columns(a: DataFrame, b: DataFrame, r: int) -> DataFrame:
+    """(k, j, angle): the one-to-one matching of the columns of two factors with the least sum of angles, from 0 to 1, means removed."""
+    sums = lambda h, name: h.groupBy("k").agg(F.sum("value").alias("s" + name), F.sum(F.col("value") * F.col("value")).alias("q" + name))
+    n = a.select("node").unionAll(b.select("node")).distinct().count()
+    cells = {(x.p, x.q): x.value for x in gram(a, b).collect()}  # r * r rows
+    one, two = ({x.k: x for x in sums(h, "").collect()} for h in (a, b))
+    cost = np.zeros((r, r))
+    for i in range(r):
+        for j in range(r):
+            x, y = one[i], two[j]
+            size = np.sqrt(max(x.q - x.s**2 / n, 0) * max(y.q - y.s**2 / n, 0))
+            cost[i, j] = np.arccos(np.clip((cells.get((i, j), 0.0) - x.s * y.s / n) / size if size else 0.0, -1, 1)) / np.pi
+    columns, _ = cheapest_assignment(cost)
+    return a.sparkSession.createDataFrame([(i, int(j), float(cost[i, j])) for i, j in enumerate(columns)], "k int, j int, angle double")
+
+
 def orthogonal_nnls(edges: DataFrame, u: DataFrame) -> DataFrame:
     """(node, c, w): each column of X goes to the column of U at the least angle, ties to the smaller one, with its best weight."""
     norm = u.groupBy("k").agg(F.sum(F.col("value") * F.col("value")).alias("n2"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
-from lamella.queries import R
+from lamella.operators.generate import Planted
+from lamella.plans.experiments import REAL
+from lamella.plans.methods import METHODS
+from lamella.queries import DRAWN, PLANTED, R
 
 _EDGES = """
     seen AS (SELECT DISTINCT event_type AS layer, date_trunc('hour', ts) AS h, user_id AS node FROM events WHERE user_id IS NOT NULL),
@@ -94,22 +97,43 @@ _MOVED = """,
 _RECON = "SELECT n.layer, norm2, coalesce(s2, 0) AS s2, sqrt(greatest(0, 1e-9 + norm2 - coalesce(s2, 0))) AS error FROM (SELECT layer, sum(weight * weight) AS norm2 FROM edges GROUP BY layer) n LEFT JOIN (SELECT layer, sum(s * s) AS s2 FROM {s} GROUP BY layer) m USING (layer)"
 
 
-def _planted(n: int, k: int, layers: int, p: float, q: float, degree: float, seed: int) -> str:
-    size = -(-n // k)
+def _planted(s: Planted, name: str = "") -> str:
+    """CTEs half{name} (layer, src, dst) with src < dst of a planted graph."""
+    size, x = -(-s.n // s.k), name
+    u = _uniform(str(s.seed), "'theta'", "node", "layer" if s.theta_by_layer else "0")
+    near = f"CASE WHEN node % {size} < {size // 2} THEN 0.15 ELSE 0.8 END"
+    t = {"exp": f"-ln({u}) + 0.2", "pow": f"pow({u}, {-1 / 1.5})", "one": "1.0", "two": f"CASE WHEN layer % 2 = 1 THEN {near} ELSE 0.95 - {near} END"}[s.theta]
+    block = {
+        "same": f"CASE WHEN a.c = b.c THEN {s.p} ELSE {s.q} END",
+        "random": f"CASE WHEN a.c = b.c THEN {s.q} + {_uniform(str(s.seed), "'p'", 'a.layer')} * {2 * s.p - s.q} ELSE {s.q} END",
+        "core": "CASE WHEN a.c = b.c AND a.c = 0 THEN 1.0 WHEN a.c = b.c THEN 0.05 ELSE 0.5 END",
+        "deficient": f"CASE WHEN a.c = b.c AND a.c = (a.layer - 1) % {s.k} THEN {s.p} ELSE {s.q} END",
+    }[s.blocks]
     return f"""
-        WITH nodes AS (SELECT i AS node, CAST(i // {size} AS BIGINT) AS c FROM range({n}) t(i)),
-        raw AS (SELECT layer, node, c, -ln({_uniform(str(seed), "'theta'", "node", "0")}) + 0.2 AS t FROM nodes, (SELECT i + 1 AS layer FROM range({layers}) t(i))),
-        th AS MATERIALIZED (SELECT layer, node, c, t / avg(t) OVER (PARTITION BY layer, c) AS theta FROM raw),
-        own AS (SELECT layer, c, sum(theta) AS t FROM th GROUP BY ALL),
-        tot AS (SELECT a.layer, sum(a.t * b.t * CASE WHEN a.c = b.c THEN {p} ELSE {q} END) AS total FROM own a JOIN own b ON a.layer = b.layer GROUP BY ALL),
-        half AS (
-            SELECT a.layer, a.node AS src, b.node AS dst FROM th a JOIN th b ON a.layer = b.layer AND a.node < b.node JOIN tot ON tot.layer = a.layer
-            WHERE {_uniform(str(seed), "a.layer", "a.node", "b.node")} < least(1.0, a.theta * b.theta * CASE WHEN a.c = b.c THEN {p} ELSE {q} END * {degree * n} / total)
+        n{x} AS (SELECT i AS node, CAST(i // {size} AS BIGINT) AS c FROM range({s.n}) t(i)),
+        raw{x} AS (SELECT layer, node, c, {t} AS t FROM n{x}, (SELECT i + 1 AS layer FROM range({s.layers}) t(i))),
+        th{x} AS MATERIALIZED (SELECT layer, node, c, t / avg(t) OVER (PARTITION BY layer, c) AS theta FROM raw{x}),
+        own{x} AS (SELECT layer, c, sum(theta) AS t FROM th{x} GROUP BY ALL),
+        tot{x} AS (SELECT a.layer, sum(a.t * b.t * {block}) AS total FROM own{x} a JOIN own{x} b ON a.layer = b.layer GROUP BY ALL),
+        half{x} AS (
+            SELECT a.layer, a.node AS src, b.node AS dst FROM th{x} a JOIN th{x} b ON a.layer = b.layer AND a.node < b.node JOIN tot{x} ON tot{x}.layer = a.layer
+            WHERE {_uniform(str(s.seed), "a.layer", "a.node", "b.node")} < least(1.0, a.theta * b.theta * {block} * {s.degree * s.n} / total)
         )
-        SELECT CAST(layer AS VARCHAR) AS layer, src, dst FROM half UNION ALL SELECT CAST(layer AS VARCHAR), dst, src FROM half
     """
 
 
+def _elbow(ranked: str, out: str) -> str:
+    """CTEs that end with ``out`` (layer, q, base) from ranked values (layer, v, base, i)."""
+    sigma = "greatest(e, 0) / nullif(p - 1 - CASE WHEN q < p THEN 1 ELSE 0 END, 0)"
+    return f""",
+        cum_{out} AS MATERIALIZED (SELECT layer, base, i AS q, count(*) OVER w AS p, sum(v) OVER a AS s, sum(v * v) OVER a AS s2, sum(v) OVER w AS ts, sum(v * v) OVER w AS ts2 FROM {ranked} WINDOW w AS (PARTITION BY layer), a AS (PARTITION BY layer ORDER BY i ROWS UNBOUNDED PRECEDING)),
+        spread_{out} AS (SELECT *, s2 - s * s / q + CASE WHEN p > q THEN ts2 - s2 - (ts - s) * (ts - s) / (p - q) ELSE 0 END AS e FROM cum_{out}),
+        {out} AS MATERIALIZED (SELECT layer, q, base FROM (SELECT layer, q, base, round(-p / 2.0 * ln({2 * math.pi} * nullif({sigma}, 0)) - e / (2 * nullif({sigma}, 0)), 9) AS l FROM spread_{out}) WHERE l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY layer ORDER BY l DESC, q) = 1)"""
+
+
+_TRADE = """trade AS MATERIALIZED (
+        SELECT l_returnflag AS layer, CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_returnflag, c_nationkey, s_nationkey)"""
 _DAILY = "seen AS (SELECT DISTINCT date_trunc('hour', ts) AS h, user_id AS node FROM events WHERE user_id IS NOT NULL), half AS (SELECT DISTINCT strftime(a.h, '%Y-%m-%d') AS layer, a.node AS src, b.node AS dst FROM seen a JOIN seen b ON a.h = b.h AND a.node < b.node)"
 _COS = "u AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings), sims AS (SELECT a.id AS src, b.id AS dst, round(list_dot_product(a.v, b.v) / nullif(a.n * b.n, 0), 9) AS sim FROM u a JOIN u b ON a.id <> b.id), near AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM sims QUALIFY rank <= 20)"
 
@@ -189,7 +213,7 @@ ORACLE_SQL: dict[str, str] = {
     "mean_removed_angle": f"""
         WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x - list_avg(CAST(embedding AS DOUBLE[]))) AS v FROM embeddings)
         SELECT a.vec_id AS a, {_r('acos(greatest(-1, least(1, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))))) / pi()')} AS angle
-        FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0
+        FROM v a JOIN v b ON b.vec_id = a.vec_id + 1
     """,
     "coassoc_pairs": _g("SELECT a.node AS src, b.node AS dst, count(*) AS n FROM base a JOIN base b ON a.layer = b.layer AND a.c = b.c AND a.node <= b.node GROUP BY ALL", _BASE),
     "bipartite_wy": _g(f"SELECT a.layer AS pl, a.c AS pc, b.layer AS ql, b.c AS qc, {_r('sum(1.0 / n)')} AS w FROM base a JOIN base b USING (node) JOIN (SELECT node, count(*) AS n FROM base GROUP BY node) d USING (node) GROUP BY a.layer, a.c, b.layer, b.c", _BASE),
@@ -222,7 +246,88 @@ ORACLE_SQL: dict[str, str] = {
     "summary_mean_sd_se": f"WITH {_PROFILE} SELECT parameter, method, {_r('avg(ari)')} AS mean, {_r('stddev_samp(ari)')} AS sd, {_r('stddev_samp(ari) / sqrt(count(*))')} AS se FROM profile GROUP BY parameter, method",
     "pivot_methods": f"WITH {_PROFILE}, m AS (SELECT parameter, method, round(avg(error), 6) AS e FROM profile GROUP BY ALL) SELECT parameter, max(e) FILTER (method = 'A') AS \"A\", max(e) FILTER (method = 'N') AS \"N\", max(e) FILTER (method = 'R') AS \"R\" FROM m GROUP BY parameter",
     "melt_methods": f"WITH {_PROFILE} SELECT parameter, method, CAST(seed AS BIGINT) AS seed, 'error' AS metric, round(error, 6) AS value FROM profile UNION ALL SELECT parameter, method, CAST(seed AS BIGINT), 'nmi', round(nmi, 6) FROM profile",
-    "best_restart": f"WITH {_PROFILE} SELECT parameter, CAST(seed AS BIGINT) AS seed FROM profile WHERE method = 'N' QUALIFY row_number() OVER (PARTITION BY parameter ORDER BY round(error, 9), seed) = 1",
-    "gen_sbm_edges": _planted(90, 3, 3, 0.10, 0.04, 10.0, 1),
+    "best_restart": f"WITH {_PROFILE} SELECT parameter, method, CAST(seed AS BIGINT) AS seed FROM profile QUALIFY row_number() OVER (PARTITION BY parameter, method ORDER BY round(error, 9), seed) = 1",
+    "gen_sbm_edges": f"WITH {_planted(Planted(n=90, layers=3))} SELECT CAST(layer AS VARCHAR) AS layer, src, dst FROM half UNION ALL SELECT CAST(layer AS VARCHAR), dst, src FROM half",
+    "gen_scenarios": "WITH " + ", ".join(_planted(Planted(n=60, layers=2, **own), f"_{i}") for i, own in enumerate(DRAWN.values())) + " UNION ALL ".join(f"{' ' * (i > 0)} SELECT CAST(layer AS VARCHAR) AS layer, 2 * count(*) AS n, CAST(2 * sum(src * dst) AS BIGINT) AS cells, '{name}' AS scenario FROM half_{i} GROUP BY layer" for i, name in enumerate(DRAWN)),
     "daily_layers": f"WITH {_DAILY} SELECT layer, 2 * count(*) AS n FROM half GROUP BY layer",
+    "layer_table": _g(
+        "SELECT s.layer, components, printf('%.3f ± %.3f', avg_degree, degree_sd) AS degree, " + _r("CASE WHEN triples > 0 THEN 3 * coalesce(triangles, 0) / triples END") + " AS clustering FROM stats s JOIN comp USING (layer) LEFT JOIN triples USING (layer) LEFT JOIN tri USING (layer)",
+        _STATS + """,
+        triples AS (SELECT layer, sum(d * (d - 1) / 2) AS triples FROM (SELECT layer, src, CAST(count(*) AS DOUBLE) AS d FROM edges GROUP BY ALL) GROUP BY layer),
+        tri AS (SELECT a.layer, CAST(count(*) AS DOUBLE) AS triangles FROM half a JOIN half b ON a.layer = b.layer AND a.dst = b.src JOIN half c ON c.layer = a.layer AND c.src = a.src AND c.dst = b.dst GROUP BY ALL),
+        reach(layer, node, root) AS (SELECT layer, node, node FROM grid UNION SELECT e.layer, e.dst, r.root FROM reach r JOIN edges e ON e.layer = r.layer AND e.src = r.node),
+        comp AS (SELECT layer, count(DISTINCT root) AS components FROM (SELECT layer, node, min(root) AS root FROM reach GROUP BY ALL) GROUP BY layer)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "fit_parallel": _g(
+        f"SELECT CAST(0 AS BIGINT) AS iteration, {_r('any_value(total_error)')} AS error, {_r('sqrt(sum(CASE WHEN w2.c = w0.c THEN (w2.w - w0.w) * (w2.w - w0.w) ELSE w2.w * w2.w + w0.w * w0.w END) / sum(w0.w * w0.w))')} AS z_change, {_r('avg(CASE WHEN w2.c <> w0.c THEN 1.0 ELSE 0.0 END)')} AS frac_changed FROM w2 JOIN w0 USING (layer, node), after",
+        _STATE + _SWEEP + _SOLVE.format(src="co") + _MOVED + f", after AS (SELECT sqrt(sum(error * error) / sum(norm2)) AS total_error FROM ({_RECON.format(s='s2')}))",
+    ),
+    "snmf_step": _g(
+        f"SELECT h.node, h.k, {_r('h.value * (0.5 + 0.5 * coalesce(xh.value, 0) / (d.v + 1e-10))')} AS value FROM h LEFT JOIN xh USING (node, k) JOIN (SELECT h.node, g.q AS k, sum(h.value * g.v) AS v FROM h JOIN (SELECT a.k AS p, b.k AS q, sum(a.value * b.value) AS v FROM h a JOIN h b USING (node) GROUP BY a.k, b.k) g ON g.p = h.k GROUP BY h.node, g.q) d ON d.node = h.node AND d.k = h.k",
+        _H,
+    ),
+    "mean_similarity": _g(
+        f"SELECT {_r('avg(1 - (a.n + b.n - 2 * coalesce(m, 0)) / (CAST(size.n AS DOUBLE) * size.n))')} AS similarity FROM counts a JOIN counts b ON a.layer < b.layer CROSS JOIN size LEFT JOIN common ON common.a = a.layer AND common.b = b.layer",
+        ", counts AS (SELECT layer, count(*) AS n FROM edges GROUP BY layer), common AS (SELECT x.layer AS a, y.layer AS b, count(*) AS m FROM edges x JOIN edges y ON x.src = y.src AND x.dst = y.dst AND x.layer < y.layer GROUP BY ALL)",
+    ),
+    "upper_weight": _g(f"SELECT layer, {_r('sum(weight)')} AS weight FROM half GROUP BY layer"),
+    "block_density": _g(f"SELECT l.layer, x.c AS p, y.c AS q, {_r('coalesce(b, 0)')} AS density FROM layers l JOIN (SELECT DISTINCT c FROM part) x ON true JOIN (SELECT DISTINCT c FROM part) y ON x.c <= y.c LEFT JOIN bm ON bm.layer = l.layer AND bm.p = x.c AND bm.q = y.c", _BM),
+    "largest_rows": _g(f"SELECT src AS node, {_r('n2')} AS norm2 FROM (SELECT src, round(sum(weight * weight), 9) AS n2 FROM (SELECT src, dst, sum(weight) AS weight FROM edges GROUP BY ALL) GROUP BY src) ORDER BY n2 DESC, src LIMIT 10"),
+    "column_means": _g(
+        f"SELECT r.src AS node, {_r('avg(coalesce(w, 0))')} AS mean, {_r('median(coalesce(w, 0))')} AS median FROM (SELECT DISTINCT src FROM t JOIN chosen ON chosen.node = t.dst) r CROSS JOIN chosen LEFT JOIN t ON t.src = r.src AND t.dst = chosen.node GROUP BY r.src",
+        ", t AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM edges GROUP BY ALL), chosen AS (SELECT node FROM nodes WHERE node % 3 = 0)",
+    ),
+    "expected_adjacency": _g(f"SELECT src, dst, {_r(f'sum(a.value * b.value * CASE WHEN a.k = {R - 1} THEN -1 ELSE 1 END)')} AS weight FROM total_edges JOIN h a ON a.node = src JOIN h b ON b.node = dst AND b.k = a.k GROUP BY src, dst", _H),
+    "matrix_distance": _g(
+        f"SELECT {_r('sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)))')} AS distance FROM (SELECT * FROM edges WHERE layer = (SELECT min(layer) FROM layers)) a FULL JOIN (SELECT * FROM edges WHERE layer = (SELECT min(layer) FROM layers WHERE layer > (SELECT min(layer) FROM layers))) b ON a.src = b.src AND a.dst = b.dst"
+    ),
+    "matched_columns": _g(
+        f"SELECT k, j, {_r('angle')} AS angle FROM cost JOIN (SELECT x.j AS j0, y.j AS j1, z.j AS j2 FROM cost x, cost y, cost z WHERE x.k = 0 AND y.k = 1 AND z.k = 2 AND x.j <> y.j AND x.j <> z.j AND y.j <> z.j ORDER BY x.angle + y.angle + z.angle LIMIT 1) ON j = CASE k WHEN 0 THEN j0 WHEN 1 THEN j1 ELSE j2 END",
+        f""",
+        a AS (SELECT node, k, {_uniform("'h'", "node", "k")} AS v FROM nodes, (SELECT CAST(i AS BIGINT) AS k FROM range(3) t(i))),
+        b AS (SELECT node, (k + 1) % 3 AS j, v + 0.1 * {_uniform("'e'", "node", "k")} AS v FROM a),
+        ca AS (SELECT node, k, v - avg(v) OVER (PARTITION BY k) AS v FROM a), cb AS (SELECT node, j, v - avg(v) OVER (PARTITION BY j) AS v FROM b),
+        cost AS MATERIALIZED (SELECT k, j, acos(greatest(-1, least(1, sum(ca.v * cb.v) / sqrt(sum(ca.v * ca.v) * sum(cb.v * cb.v))))) / pi() AS angle FROM ca JOIN cb USING (node) GROUP BY k, j)""",
+    ),
+    "large_values": _g("SELECT node, " + _r("v") + " AS value FROM x WHERE abs(v) >= (SELECT min(s) FROM (SELECT abs(v) AS s FROM x ORDER BY s DESC LIMIT 10))", f", x AS MATERIALIZED (SELECT node, round({_uniform(chr(39) + 'v' + chr(39), 'node')} - 0.5, 9) AS v FROM nodes)"),
+    "parts_of": _g(
+        "SELECT node, greatest(v, 0.0) AS positive, greatest(-v, 0.0) + 0.0 AS negative, CASE WHEN node % 3 = 0 OR v / (node % 3) < 1e-6 THEN 1e-6 ELSE v / (node % 3) END AS guarded FROM x",
+        f", x AS MATERIALIZED (SELECT node, round({_uniform(chr(39) + 'v' + chr(39), 'node')} - 0.5, 6) AS v FROM nodes)",
+    ),
+    "elbows": _g(
+        "SELECT layer, CAST(1 AS BIGINT) AS number, q FROM f1 UNION ALL SELECT layer, CAST(2 AS BIGINT), q + base FROM f2",
+        ", ranked1 AS (SELECT layer, deg AS v, CAST(0 AS BIGINT) AS base, row_number() OVER (PARTITION BY layer ORDER BY deg DESC, node) AS i FROM own)" + _elbow("ranked1", "f1")
+        + ", ranked2 AS (SELECT layer, v, q AS base, i - q AS i FROM ranked1 JOIN f1 USING (layer) WHERE i > q)" + _elbow("ranked2", "f2"),
+    ),
+    "dense_ids": "SELECT dense_rank() OVER (ORDER BY p_name) - 1 AS node_id, p_name AS name FROM (SELECT DISTINCT p_name FROM part)",
+    "contact_days": """
+        WITH log AS (SELECT strftime(ts, '%Y-%m-%d') AS layer, user_id AS a, user_id // 10 AS b FROM events WHERE user_id IS NOT NULL),
+        classes AS (SELECT class, row_number() OVER (ORDER BY class) AS label FROM (SELECT DISTINCT CASE WHEN id % 4 = 0 THEN 'teachers' ELSE 'c' || (id % 4) END AS class FROM (SELECT a AS id FROM log UNION SELECT b FROM log))),
+        people AS (SELECT id, label FROM (SELECT DISTINCT id, CASE WHEN id % 4 = 0 THEN 'teachers' ELSE 'c' || (id % 4) END AS class FROM (SELECT a AS id FROM log UNION SELECT b FROM log)) JOIN classes USING (class)),
+        pairs AS (SELECT layer, a, b FROM log WHERE a <> b UNION SELECT layer, b, a FROM log WHERE a <> b)
+        SELECT layer, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, x.label AS la, y.label AS lb, 1.0 AS weight FROM pairs JOIN people x ON x.id = a JOIN people y ON y.id = b
+    """,
+    "citation_graph": f"""
+        WITH papers AS (SELECT * FROM embeddings WHERE label IN (1, 2, 5)), {_COS.replace("FROM embeddings", "FROM papers").replace("rank <= 20", "rank <= 5")},
+        labels AS (SELECT label, row_number() OVER (ORDER BY CAST(label AS VARCHAR)) AS n FROM (SELECT DISTINCT label FROM papers)),
+        cites AS (SELECT a.vec_id // 2 AS a, a.vec_id AS b FROM papers a WHERE a.vec_id // 2 IN (SELECT vec_id FROM papers) AND a.vec_id // 2 <> a.vec_id),
+        e AS (SELECT 'cites' AS layer, a, b FROM cites UNION SELECT 'cites', b, a FROM cites UNION SELECT 'similar', src, dst FROM near UNION SELECT 'similar', dst, src FROM near)
+        SELECT layer, a, b, n AS la, 1.0 AS weight FROM e JOIN papers ON vec_id = a JOIN labels USING (label)
+    """,
+    "triples_text": f"WITH {_TRADE}, one AS (SELECT CASE layer WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END AS layer, src, dst FROM trade WHERE src <> dst) SELECT layer, src, dst, 1.0 AS weight FROM one UNION SELECT layer, dst, src, 1.0 FROM one",
+    "triplet_cells": f"WITH {_TRADE} SELECT layer, src, dst, weight - 30 AS weight FROM trade WHERE weight > 30 AND src <> dst",
+    "known_labels": "SELECT c_custkey AS node, CAST(c_nationkey AS DOUBLE) AS label FROM customer WHERE c_nationkey <> 7",
+    "one_layer": f"WITH {_TRADE} SELECT DISTINCT '0' AS layer, src, dst, 1.0 AS weight FROM trade",
+    "shared_names": "SELECT c_custkey AS key FROM customer INTERSECT SELECT s_suppkey FROM supplier",
+    "column_slices": f"SELECT vec_id, {_r('CAST(embedding[1] AS DOUBLE)')} AS first, {_r('CAST(embedding[-1] AS DOUBLE)')} AS last, {_r('list_sum(CAST(embedding[2:-2] AS DOUBLE[]))')} AS middle FROM embeddings",
+    "written_back": f"WITH {_PROFILE} SELECT 'error' AS metric, 3 * count(*) AS n, {_r('3 * sum(round(error, 6))')} AS value FROM profile UNION ALL SELECT 'nmi', 3 * count(*), {_r('3 * sum(round(nmi, 6))')} FROM profile",
+    "convergence_stats": f"WITH {_PROFILE} SELECT CAST(seed AS BIGINT) AS iteration, {_r('avg(error)')} AS mean, {_r('stddev_samp(error)')} AS sd, {_r('min(error)')} AS least, {_r('max(error)')} AS most FROM profile GROUP BY seed",
+    "final_states": f"WITH {_PROFILE} SELECT CAST(parameter AS BIGINT) AS trial, CAST(max(seed) AS BIGINT) AS iterations, {_r('arg_max(error, seed)')} AS error FROM profile WHERE method = 'R' GROUP BY parameter",
+    "results_text": f"WITH {_PROFILE} SELECT method, printf('%.3f ± %.3f', avg(error), stddev_samp(error)) AS error, printf('%.3f ± %.3f', avg(ari), stddev_samp(ari)) AS ari FROM profile GROUP BY method",
+    "real_study": "SELECT method, '0.000 ± 0.000' AS error, '1.000 ± 0.000' AS nmi, '1.000 ± 0.000' AS ari FROM (VALUES " + ", ".join(f"('{m}')" for m in REAL) + ") t(method)",
+    "convergence_study": "SELECT 'usenc' AS start, CAST(i AS BIGINT) AS trial, 1.0 AS nmi, 1.0 AS ari FROM range(2) t(i)",
+    "scalability_study": "SELECT CAST(i AS BIGINT) AS trial, true AS swept, 1.0 AS nmi, 1.0 AS ari FROM range(2) t(i)",
+} | {
+    name: f"SELECT node, min(node) OVER (PARTITION BY node % {PLANTED}) AS community FROM (SELECT DISTINCT user_id AS node FROM events WHERE user_id IS NOT NULL)"
+    for name in ["fit_exact", "fit_shared", "fit_restarts", "consensus_labels", "consensus_matrix_free", *(f"method_{m.replace('-', '_')}" for m in METHODS)]
 }

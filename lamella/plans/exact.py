@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from lamella.functions.assignment import k_means
+from lamella.functions.sparse import Sparse, leading_pairs
 
 
 @dataclass(frozen=True)
@@ -46,11 +47,8 @@ class Layers:
             a, b, c = i[off][order], j[off][order], x[off][order]
             self.rows.append((np.searchsorted(a, np.arange(n + 1)), b, c))
 
-    def dense(self, k: int) -> np.ndarray:
-        out = np.zeros((self.n, self.n))
-        i, j, x = self.edges[k]
-        np.add.at(out, (i, j), x)
-        return out
+    def layer(self, k: int) -> Sparse:
+        return Sparse(self.n, *self.edges[k])
 
 
 def least_on_half_line(a: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +57,7 @@ def least_on_half_line(a: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.
     flat = np.abs(a) < 1e-12
     with np.errstate(all="ignore"):
         p, q = c / a, d / a
+        none = (np.abs(p) < 1e-12) & (np.abs(q) < 1e-12)  # a triple root at zero
         delta = 4 * p**3 + 27 * q**2
         s = np.sqrt(np.maximum(delta, 0) / 27)
         one = np.cbrt((-q + s) / 2) + np.cbrt((-q - s) / 2)
@@ -67,8 +66,8 @@ def least_on_half_line(a: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.
         three = [radius * np.cos(angle + k * 2 * np.pi / 3) for k in range(3)]
         same = np.abs(delta) < 1e-12
         roots = [
-            np.where(flat, np.where(np.abs(c) > 1e-12, -d / c, 0), np.where(same, np.where(p == 0, np.cbrt(-q), 3 * q / p), np.where(delta > 0, one, three[0]))),
-            np.where(flat, 0, np.where(same, np.where(p == 0, 0, -3 * q / (2 * p)), np.where(delta > 0, 0, three[1]))),
+            np.where(flat, np.where(np.abs(c) > 1e-12, -d / c, 0), np.where(same, np.where(none, 0, np.where(p == 0, np.cbrt(-q), 3 * q / p)), np.where(delta > 0, one, three[0]))),
+            np.where(flat, 0, np.where(same, np.where(none | (p == 0), 0, -3 * q / (2 * p)), np.where(delta > 0, 0, three[1]))),
             np.where(flat | same | (delta > 0), 0, three[2]),
         ]
     x, f = np.zeros(a.shape), np.zeros(a.shape)
@@ -139,27 +138,26 @@ def sweep(g: Layers, s: np.ndarray, w: np.ndarray, v: np.ndarray, rng: np.random
     return normalize(w, v, r), v
 
 
-def one_layer(x: np.ndarray, r: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def one_layer(x: Sparse, r: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """(weights, labels) of one layer: means of extreme columns, then the nearest one for each column."""
-    n = len(x)
-    values, vectors = np.linalg.eigh(x)
-    u = vectors[:, np.argsort(-np.abs(values))[:r]]
+    n = x.n
+    u = leading_pairs(x, r)[1]
     p = min(n, max(2, int(0.1 * n / r)))
     basis, means = np.zeros((n, 0)), []
     for _ in range(r):
         look = u @ rng.standard_normal(u.shape[1])
         look -= basis @ (basis.T @ look)
-        score = look @ x
+        score = x.times(look[:, None])[:, 0]
         order = np.argsort(score, kind="stable")
         low, high = order[:p], order[::-1][:p]
-        mean = x[:, low if abs(np.median(score[low])) >= abs(np.median(score[high])) else high].mean(axis=1)
+        mean = x.column_mean(low if abs(np.median(score[low])) >= abs(np.median(score[high])) else high)
         means.append(mean)
         fresh = mean - basis @ (basis.T @ mean)
         if (size := np.linalg.norm(fresh)) > 1e-12:
             basis = np.column_stack([basis, fresh / size])
     m = np.column_stack(means)
     length = np.linalg.norm(m, axis=0)
-    dots = x.T @ m
+    dots = x.times(m)
     labels = np.argmax(dots / (length + 1e-16), axis=1)
     w = dots[np.arange(n), labels] / np.maximum(length[labels] ** 2, 1e-300)
     empty = w <= 0
@@ -194,12 +192,12 @@ def start(g: Layers, o: Options, rng: np.random.Generator) -> tuple[np.ndarray,
         rng.shuffle(v)
     elif init == "one-layer":
         k = int(rng.integers(g.l))
-        own, v = one_layer(g.dense(k), o.r, rng)
+        own, v = one_layer(g.layer(k), o.r, rng)
         w = degree_shares(g, v, o.r)
         w[k] = own
         return w, v
     elif init in ("usenc", "co-association"):
-        v = agreed(np.stack([one_layer(g.dense(k), o.r, rng)[1] for k in range(g.l)]), o.r, o.repeats, init == "co-association")
+        v = agreed(np.stack([one_layer(g.layer(k), o.r, rng)[1] for k in range(g.l)]), o.r, o.repeats, init == "co-association")
     else:
         raise ValueError(f"unknown start {init!r}")
     return degree_shares(g, v, o.r), v
@@ -212,10 +210,11 @@ class Fit:
     s: np.ndarray
     error: float
     history: list[tuple[int, float, float, float, float]]  # round, seconds, error, change of Z, share of moved nodes
+    labels: list[np.ndarray]  # after each round, if they were asked for
 
 
-def trial(g: Layers, o: Options, number: int, partition: np.ndarray | None = None) -> Fit:
-    """One restart; a given partition takes the place of the start."""
+def trial(g: Layers, o: Options, number: int, partition: np.ndarray | None = None, watched: bool = False) -> Fit:
+    """One restart; a given partition takes the place of the start. watched: keep the labels of every round."""
     began = time.monotonic()
     rng = np.random.default_rng([o.seed, number])
     if partition is not None:
@@ -229,7 +228,7 @@ def trial(g: Layers, o: Options, number: int, partition: np.ndarray | None = Non
         w = np.repeat(w.mean(axis=0, keepdims=True), g.l, axis=0)
     w = normalize(w, v, o.r)
     s = block_sums(g, w, v, o.r)
-    error, history = relative_error(g, s), []
+    error, history, labels = relative_error(g, s), [], []
     for i in range(o.rounds):
         if o.seconds and time.monotonic() - began > o.seconds:
             break
@@ -241,9 +240,11 @@ def trial(g: Layers, o: Options, number: int, partition: np.ndarray | None = Non
         s, last = block_sums(g, w, v, o.r), error
         error = relative_error(g, s)
         history.append((i, time.monotonic() - began, error, float(np.sqrt(change / size)) if size else 0.0, moved))
+        if watched:
+            labels.append(v)
         if o.delta and (error < o.delta or abs(last - error) < o.delta):
             break
-    return Fit(w, v, s, error, history)
+    return Fit(w, v, s, error, history, labels)
 
 
 def best_of(g: Layers, o: Options, partition: np.ndarray | None = None) -> Fit:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,7 +74,41 @@ def fit_exact(edges: DataFrame, nodes: DataFrame, options: exact.Options, partit
     )
 
 
-def fit_parallel(edges: DataFrame, nodes: DataFrame, partition: DataFrame, r: int, rounds: int = 10, delta: float = 1e-5, shared: bool = False) -> FitResult:
+def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, partition: DataFrame | None = None) -> FitResult:
+    """The best of some fits of :func:`fit_parallel`, for graphs that no task holds.
+
+    Each starts from the consensus of partitions of the layers (``random``: from
+    hashed labels), or all from ``partition``; no fit begins after the time limit,
+    and none sweeps beyond it.
+    """
+    from lamella.operators.consensus import consensus
+    from lamella.plans.methods import base_partitions
+
+    began, best, histories = time.monotonic(), None, []
+    edges = cut(edges.select("layer", "src", "dst", "weight"))
+    for trial in range(1 if partition is not None else options.trials):
+        left = options.seconds - (time.monotonic() - began) if options.seconds else None
+        if best is not None and left is not None and left <= 0:
+            break
+        seed = options.seed + trial
+        if partition is not None:
+            start = partition
+        elif options.init == "random":
+            start = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(options.r)).cast("int").alias("c"))
+        else:
+            start = consensus(base_partitions(edges, nodes, options.r, seed), options.r, matrix_free=options.init == "co-association")
+        found = fit_parallel(edges, nodes, cut(start), options.r, options.rounds, options.delta, options.shared, left)
+        histories.append(found.history.withColumn("trial", F.lit(trial)))
+        if best is None or found.error < best.error:
+            best = found
+    history = histories[0]
+    for h in histories[1:]:
+        history = history.unionByName(h)
+    best.history = history
+    return best
+
+
+def fit_parallel(edges: DataFrame, nodes: DataFrame, partition: DataFrame, r: int, rounds: int = 10, delta: float = 1e-5, shared: bool = False, seconds: float | None = None) -> FitResult:
     """Parallel sweeps from a partition: all nodes move at once given the last state; the best state is kept.
 
     Edges stay where they are, in a checkpoint by source; only sums by node and
@@ -85,8 +120,10 @@ def fit_parallel(edges: DataFrame, nodes: DataFrame, partition: DataFrame, r: in
     w = cut(unit_weights(degree_share(edges, partition, nodes, layers)))
     s = cut(block_sums(edges, w))
     error = relative_error(reconstruction(edges, s)).first()[0] or 0.0
-    best, history = (error, w, s), []
+    best, history, began = (error, w, s), [], time.monotonic()
     for i in range(rounds):
+        if seconds is not None and time.monotonic() - began > seconds:
+            break
         moved = cut(moves(coefficients(edges, w, s, r, shared), nodes))
         now = cut(unit_weights(moved_weights(moved, layers)))
         s = cut(block_sums(edges, now))

@@ -12,7 +12,7 @@ from lamella.operators.consensus import consensus
 from lamella.operators.edges import augmented, layer_sum, layers_of, normalized, squared_without_degrees
 from lamella.operators.linear import clustered, eigenpairs, gram, matrix, orthogonal_nnls, row_normalized, smoothed_vertices, turned
 from lamella.plans import exact
-from lamella.plans.fit import fit_exact
+from lamella.plans.fit import TASK_EDGES, fit_exact, fit_restarts
 from lamella.plans.lineage import cut
 
 Method = Callable[[DataFrame, DataFrame, int, int], DataFrame]
@@ -104,12 +104,56 @@ def kernel_sum(edges: DataFrame, nodes: DataFrame, r: int, seed: int) -> DataFra
     d = r * len(layers_of(edges))
     values, vectors = np.linalg.eigh(matrix(gram(wide, wide), d))
     top = np.argsort(-values)[:r]
-    return clustered(row_normalized(turned(wide, vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12)))), r)
+    return clustered(turned(wide, vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))), r)
 
 
 def laplacian_mean(edges: DataFrame, nodes: DataFrame, r: int, seed: int) -> DataFrame:
-    """Spectral clustering of the sum of the normalised layers."""
-    return clustered(row_normalized(embedded(layer_sum(normalized(edges, nodes.count())), nodes, r, False, by_size=False)), r)
+    """Clusters of the leading vectors of the sum of the normalised layers."""
+    return clustered(embedded(layer_sum(normalized(edges, nodes.count())), nodes, r, False, by_size=False), r)
+
+
+def mean_adjacency(edges: DataFrame, nodes: DataFrame, r: int, seed: int) -> DataFrame:
+    return clustered(embedded(layer_sum(edges), nodes, r, False, by_size=False), r)
+
+
+def regularised(edges: DataFrame, nodes: DataFrame, r: int, seed: int) -> DataFrame:
+    """Row-normalised leading vectors of the normalised sum of the layers."""
+    total = layer_sum(edges).withColumn("layer", F.lit("sum"))
+    return clustered(row_normalized(embedded(cut(normalized(total, nodes.count())).drop("layer"), nodes, r, False, by_size=False)), r)
+
+
+def by_size(name: str, far: Method) -> Method:
+    """The dense method up to DENSE_NODES nodes, beyond it the distributed one: hundreds of rounds cost a job each there."""
+    return lambda e, n, r, seed: dense(name)(e, n, r, seed) if n.limit(DENSE_NODES + 1).count() <= DENSE_NODES else far(e, n, r, seed)
+
+
+def single(edges: DataFrame, nodes: DataFrame, r: int, seed: int) -> DataFrame:
+    """Clusters of the scaled embedding of a graph of one layer."""
+    if len(layers_of(edges)) != 1:
+        raise ValueError("the embedding of several layers at once is not defined; use mase or dcmase")
+    return clustered(embedded(augmented(edges, nodes.count()).drop("layer"), nodes, r, True), r)
+
+
+#: Nodes that the dense methods hold in one task.
+DENSE_NODES = 5000
+
+
+def dense(name: str) -> Method:
+    """A method of functions.small_graphs in one task, which holds layers * nodes^2 numbers; larger graphs are an error."""
+
+    def run(edges, nodes, r, seed):
+        from lamella.functions.small_graphs import SMALL
+        from lamella.plans.experiments import _trials
+
+        if (n := nodes.limit(DENSE_NODES + 1).count()) > DENSE_NODES:
+            raise ValueError(f"over {DENSE_NODES} nodes; {name} is a method for small graphs")
+        order = [x.node for x in nodes.select("node").orderBy("node").collect()]  # DENSE_NODES at most
+        tags = edges.sparkSession.createDataFrame([(seed,)], "seed int")
+        blank = nodes.select("node", F.lit(None).cast("long").alias("label"))
+        solve = lambda tag, g, known: [(node, int(c)) for node, c in zip(order, SMALL[name]([g.layer(i).dense() for i in range(g.l)], r, tag["seed"]), strict=True)]
+        return _trials(edges, blank, tags, solve, "node long, c int").select("node", "c")
+
+    return run
 
 
 def base_partitions(edges: DataFrame, nodes: DataFrame, r: int, seed: int, successive: bool = False) -> DataFrame:
@@ -123,11 +167,16 @@ def base_partitions(edges: DataFrame, nodes: DataFrame, r: int, seed: int, succe
     return cut(out)
 
 
-def joint(init: str = "usenc", shared: bool = False, warm: Method | None = None, trials: int = 3, normalised: bool = False) -> Method:
+def joint(init: str = "usenc", shared: bool = False, warm: Method | None = None, trials: int = 10, normalised: bool = False, rounds: int = 50) -> Method:
+    """The joint factorization: node by node where a task holds the edges, else all nodes at once."""
+
     def run(e, n, r, seed):
         start = warm(e, n, r, seed) if warm else None
-        own = normalized(e, n.count()) if normalised else e
-        return fit_exact(own, n, exact.Options(r=r, trials=1 if warm else trials, init=init, shared=shared, seed=seed), start).assign
+        own = cut(normalized(e, n.count()) if normalised else e)
+        options = exact.Options(r=r, trials=1 if warm else trials, init=init, shared=shared, seed=seed, rounds=rounds)
+        if own.limit(TASK_EDGES + 1).count() > TASK_EDGES:
+            return fit_restarts(own, n, options, start).assign
+        return fit_exact(own, n, options, start).assign
 
     return run
 
@@ -147,16 +196,23 @@ METHODS: dict[str, Method] = {
     "score-onenetwork": picked("score"),
     "spherical-onenetwork": picked("spherical"),
     "speck": kernel_sum,
-    "meanadj": laplacian_mean,
+    "meancluster": laplacian_mean,
+    "meanadj": mean_adjacency,
+    "dcspectral": regularised,
+    "omni": single,
+    "lmfo": dense("lmfo"),
+    "coreg": dense("coreg"),
+    "co-osntf": dense("co-osntf"),
     "consensus": lambda e, n, r, seed: consensus(base_partitions(e, n, r, seed), r),
     "co-association": lambda e, n, r, seed: consensus(base_partitions(e, n, r, seed), r, matrix_free=True),
-    "snmf": lambda e, n, r, seed: factors.strongest(factors.symmetric(layer_sum(e), n, factors.Settings(r, rounds=60, seed=seed)).h),
-    "csnmf": lambda e, n, r, seed: factors.strongest(factors.collective_symmetric(e, n, factors.Settings(r, rounds=40, seed=seed)).h),
-    "csnmtf": lambda e, n, r, seed: factors.strongest(factors.collective_tri(e, n, factors.Settings(r, rounds=40, seed=seed, alpha=0.1, restarts=1)).h),
+    "snmf": by_size("snmf", lambda e, n, r, seed: factors.strongest(factors.symmetric(layer_sum(e), n, factors.Settings(r, seed=seed)).h)),
+    "csnmf": by_size("csnmf", lambda e, n, r, seed: factors.strongest(factors.collective_symmetric(e, n, factors.Settings(r, seed=seed)).h)),
+    "csnmtf": by_size("csnmtf", lambda e, n, r, seed: factors.strongest(factors.collective_tri(e, n, factors.Settings(r, seed=seed, alpha=0.1)).h)),
     "joint": joint(),
     "joint-dcmase": joint(warm=dcmase()),
     "joint-shared": joint(shared=True),
     "joint-shared-normalized": joint(shared=True, normalised=True),
+    "us": joint(rounds=0),
 }
 
 

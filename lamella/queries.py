@@ -8,17 +8,18 @@ places, so that float order cannot change them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.functions.scalars import quartic_minimum, shown, spectral_angle
+from lamella.functions.scalars import guarded, mean_sd, negative_part, positive_part, quartic_minimum, shown, spectral_angle
 from lamella.operators import blocks, consensus, edges, factors, generate, linear, metrics, statistics, sweep, windows
 from lamella.plans import exact, experiments, fit, methods
-from lamella.plans.lineage import cut
-from lamella.sources import graphs
+from lamella.plans.lineage import cut, shared_dir
+from lamella.sources import graphs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,18 +28,24 @@ R = 5
 
 
 class Graph:
-    """The co-activity graph of one query, built once and kept while the query's plan is made."""
+    """The co-activity graph of the events; its edges are made when they are first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.edges = cut(graphs.coactivity(spark, sf_dir))
+        self.spark, self.sf_dir = spark, sf_dir
         self.nodes = graphs.users(spark, sf_dir)
         self.part = self.nodes.select("node", (F.col("node") % R).cast("int").alias("c"))
 
-    @property
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut(graphs.coactivity(self.spark, self.sf_dir))
+
+    @cached_property
     def layers(self) -> list[str]:
-        return edges.layers_of(self.edges)
+        """The types of events: one row for each comes to the driver."""
+        rows = graphs.read(self.spark, self.sf_dir, "events").filter("user_id is not null").select("event_type").distinct().collect()
+        return sorted(r.event_type for r in rows)
 
-    @property
+    @cached_property
     def n(self) -> int:
         return self.nodes.count()
 
@@ -76,12 +83,78 @@ def layer_norm(g: Graph) -> DataFrame:
 
 
 def layer_stats(g: Graph) -> DataFrame:
-    out = statistics.layer_statistics(g.edges, g.n)
+    out = statistics.layer_statistics(g.edges, g.n, g.layers)
     return rounded(out, *(c for c in out.columns if c != "layer"))
 
 
 def layer_summary(g: Graph) -> DataFrame:
-    return rounded(statistics.across_layers(statistics.layer_statistics(g.edges, g.n)), "mean", "sd")
+    return rounded(statistics.across_layers(statistics.layer_statistics(g.edges, g.n, g.layers)), "mean", "sd")
+
+
+def layer_table(g: Graph) -> DataFrame:
+    """All statistics of each layer, as text."""
+    every = statistics.multilayer_properties(g.edges, g.nodes, g.layers)
+    return every.select("layer", "components", mean_sd(F.col("avg_degree"), F.col("degree_sd")).alias("degree"), shown(F.col("clustering")).alias("clustering"))
+
+
+def mean_similarity(g: Graph) -> DataFrame:
+    return rounded(statistics.mean_similarity(statistics.layer_similarity(g.edges, g.n)), "similarity")
+
+
+def upper_weight(g: Graph) -> DataFrame:
+    return edges.upper(g.edges).groupBy("layer").agg(shown(F.sum("weight")).alias("weight"))
+
+
+def block_density(g: Graph) -> DataFrame:
+    return by_cell(rounded(blocks.block_density(g.edges, g.part), "density"), "layer", "p", "q", "density")
+
+
+def largest_rows(g: Graph) -> DataFrame:
+    return rounded(linear.largest_rows(edges.layer_sum(g.edges), 10), "norm2")
+
+
+def column_means(g: Graph) -> DataFrame:
+    """Mean and median of the columns of the nodes whose remainder by 3 is 0."""
+    total, chosen = cut(edges.layer_sum(g.edges)), g.nodes.filter("node % 3 = 0").select(F.col("node").alias("column"))
+    mean, median = linear.column_average(total, chosen), linear.column_average(total, chosen, "median").withColumnRenamed("value", "median")
+    return rounded(mean.withColumnRenamed("value", "mean").join(median, "node"), "mean", "median")
+
+
+def expected_adjacency(g: Graph) -> DataFrame:
+    """X D X' on the cells of the sum of the layers, where D is -1 for the last column."""
+    signs = g.spark.createDataFrame([(k, -1.0 if k == R - 1 else 1.0) for k in range(R)], "k int, sign double")
+    return rounded(linear.expected_adjacency(factor(g), signs, edges.layer_sum(g.edges)), "weight")
+
+
+def matrix_distance(g: Graph) -> DataFrame:
+    """Sum of the differences of the cells of the first two layers."""
+    a, b = (g.edges.filter(F.col("layer") == x) for x in g.layers[:2])
+    return rounded(linear.absolute_distance(a, b), "distance")
+
+
+def matched_columns(g: Graph) -> DataFrame:
+    """The columns of a factor against those of the same factor, shifted by one and with some noise."""
+    h = cut(factor(g).filter("k < 3"))
+    other = h.select("node", ((F.col("k") + 1) % 3).cast("int").alias("k"), (F.col("value") + 0.1 * generate.uniform(F.lit("e"), F.col("node"), F.col("k"))).alias("value"))
+    found = linear.matched_columns(h, cut(other), 3)
+    return found.select(F.col("k").cast("long").alias("k"), F.col("j").cast("long").alias("j"), shown(F.col("angle")).alias("angle"))
+
+
+def large_values(g: Graph) -> DataFrame:
+    """The nodes whose centred weight is as large in size as the tenth."""
+    centred = g.nodes.select("node", F.round(noise(F.col("node"), "v") - 0.5, 9).alias("value"))
+    return rounded(linear.above(centred, 10), "value")
+
+
+def parts_of(g: Graph) -> DataFrame:
+    """Positive and negative parts, and guarded values, of centred numbers."""
+    x = F.round(noise(F.col("node"), "v") - 0.5, 6)
+    return g.nodes.select("node", positive_part(x).alias("positive"), (negative_part(x) + F.lit(0.0)).alias("negative"), guarded(x / F.nullif(F.col("node") % 3, F.lit(0))).alias("guarded"))
+
+
+def elbows(g: Graph) -> DataFrame:
+    found = windows.elbows(edges.degrees(g.edges).withColumnRenamed("deg", "value"), 2)
+    return found.select("layer", F.col("number").cast("long").alias("number"), F.col("q").cast("long").alias("q"))
 
 
 def transitivity(g: Graph) -> DataFrame:
@@ -223,11 +296,83 @@ def knn_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_removed_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angle of every vector with the next one."""
     v = graphs.read(spark, sf_dir, "embeddings")
-    a, b = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), v.filter("vec_id % 50 = 1").select((F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("vb"))
+    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), v.select((F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("vb"))
     return rounded(a.join(b, "a").select("a", spectral_angle(F.col("va"), F.col("vb")).alias("angle")), "angle")
 
 
+def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.numbered(graphs.read(spark, sf_dir, "part").select(F.col("p_name").alias("node")))
+
+
+def contact_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contact log of the events: users with the type's user of the same number by ten."""
+    e = graphs.read(spark, sf_dir, "events").filter("user_id is not null")
+    log = e.select(F.unix_timestamp("ts").cast("double").alias("time"), F.col("user_id").cast("string").alias("id1"), F.floor(F.col("user_id") / 10).cast("string").alias("id2"))
+    ids = log.select(F.col("id1").alias("id")).unionAll(log.select("id2")).distinct()
+    people = ids.withColumn("class", F.when(F.col("id").cast("long") % 4 == 0, " Teachers ").otherwise(F.concat(F.lit("c"), F.col("id").cast("long") % 4))).withColumn("gender", F.lit("u"))
+    found, nodes = graphs.contact_layers(log, people, "UTC")
+    named = nodes.select("node_id", "name", "label")
+    a, b = named.select(F.col("node_id").alias("src"), F.col("name").alias("a"), F.col("label").cast("long").alias("la")), named.select(F.col("node_id").alias("dst"), F.col("name").alias("b"), F.col("label").cast("long").alias("lb"))
+    return found.join(a, "src").join(b, "dst").select("layer", "a", "b", "la", "lb", "weight")
+
+
+def citation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of three labels as papers; each cites the one whose id is half of its own."""
+    v = graphs.read(spark, sf_dir, "embeddings")
+    papers = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"), F.col("label").cast("string").alias("class"))
+    cites = v.select(F.floor(F.col("vec_id") / 2).alias("cited"), F.col("vec_id").alias("citing"))
+    found, nodes = graphs.citation_layers(papers, cites, ["1", "2", "5"], 5)
+    name = nodes.select("node_id", F.col("name").cast("long").alias("id"), F.col("label").cast("long").alias("label"))
+    a, b = name.select(F.col("node_id").alias("src"), F.col("id").alias("a"), F.col("label").alias("la")), name.select(F.col("node_id").alias("dst"), F.col("id").alias("b"))
+    return found.join(a, "src").join(b, "dst").select("layer", "a", "b", "la", "weight")
+
+
+def triples_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade graph as lines of text, read back."""
+    e = graphs.trade(spark, sf_dir)
+    number = F.when(F.col("layer") == "A", 1).when(F.col("layer") == "N", 2).otherwise(3)
+    return graphs.layered_triples(e.select(F.format_string("  %d %d\t%d ", number, F.col("src") + 1, F.col("dst") + 1).alias("value")))
+
+
+def triplet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade graph as exported cells, some of them negative."""
+    cells = graphs.trade(spark, sf_dir).select("layer", F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("weight") - 30).alias("x"))
+    return graphs.triplets(cells, binary=False)
+
+
+def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.known_labels(graphs.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_nationkey") == 7, 1e300).otherwise(F.col("c_nationkey").cast("double")).alias("label")))
+
+
+def one_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade graph without layers, its edges binary by default."""
+    return graphs.single_layer(graphs.trade(spark, sf_dir).select("src", "dst").distinct())
+
+
+def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are both customers and suppliers."""
+    return graphs.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).intersect(graphs.read(spark, sf_dir, "supplier").select("s_suppkey"))
+
+
+def column_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, last and middle parts of the vectors."""
+    v = graphs.read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    total = lambda x: shown(F.aggregate(x, F.lit(0.0), lambda s, y: s + y))
+    return v.select("vec_id", total(F.slice("v", 1, 1)).alias("first"), total(F.slice("v", -1, 1)).alias("last"), total(F.slice("v", F.lit(2), F.size("v") - 2)).alias("middle"))
+
+
+def written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A results table written as Parquet, CSV and tab-separated text, and read again."""
+    rows, to = cut(melt_methods(spark, sf_dir)), f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    sinks.write_results(rows, f"{to}/parquet")
+    sinks.write_table(rows, f"{to}/csv")
+    sinks.write_table(rows, f"{to}/tsv", tab=True)
+    every = [spark.read.parquet(f"{to}/parquet")] + [spark.read.csv(f"{to}/{kind}", header=True, sep=sep, schema=rows.schema) for kind, sep in (("csv", ","), ("tsv", "\t"))]
+    return reduce(DataFrame.unionAll, every).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), shown(F.sum("value")).alias("value"))
+
+
 def base(g: Graph) -> DataFrame:
     """A base partition of each layer: its number of letters moves the labels."""
     return edges.everywhere(g.nodes, g.layers).select("layer", "node", ((F.col("node") * F.length("layer") + F.floor(F.col("node") / 7)) % 4).cast("int").alias("c"))
@@ -313,17 +458,38 @@ def melt_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row of least error for each parameter, ties to the smaller seed."""
-    p = profile(spark, sf_dir).filter("method = 'N'").withColumn("error", F.round("error", 9))
-    return p.groupBy("parameter").agg(F.min_by("seed", F.struct("error", "seed")).cast("long").alias("seed"))
+    """The row of least error for each parameter and method, ties to the smaller seed."""
+    p = profile(spark, sf_dir).withColumn("error", F.round("error", 9))
+    return p.groupBy("parameter", "method").agg(F.min_by("seed", F.struct("error", "seed")).cast("long").alias("seed"))
+
+
+def convergence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error by line number over suppliers and flags, as sweeps over trials."""
+    history = profile(spark, sf_dir).select((F.col("parameter") * 10).cast("int").alias("trial"), F.col("seed").alias("iteration"), "error")
+    out = experiments.convergence(history)
+    return rounded(out, "mean", "sd", "least", "most").withColumn("iteration", F.col("iteration").cast("long"))
+
+
+def final_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last line number of each supplier group's returned items."""
+    history = profile(spark, sf_dir).filter("method = 'R'").select(F.col("parameter").cast("long").alias("trial"), F.col("seed").cast("long").alias("iteration"), "error")
+    return rounded(experiments.final_states(history), "error")
+
+
+def results_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.report(profile(spark, sf_dir), ["method"], ["error", "ari"])
 
 
 def gen_sbm_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.planted(spark, generate.Planted(n=90, layers=3))[0].select("layer", "src", "dst")
 
 
+#: Planted scenarios that are counted: the generator's, one of power-law weights, and one with more edges.
+DRAWN = generate.SCENARIOS | {"power": {"theta": "pow"}, "dense": {"degree": 24.0}}
+
+
 def gen_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = [generate.planted(spark, generate.Planted(n=60, layers=2, **own))[0].groupBy("layer").agg(F.count(F.lit(1)).alias("n")).withColumn("scenario", F.lit(name)) for name, own in generate.SCENARIOS.items()]
+    drawn = [generate.planted(spark, generate.Planted(n=60, layers=2, **own))[0].groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("src") * F.col("dst")).alias("cells")).withColumn("scenario", F.lit(name)) for name, own in DRAWN.items()]
     return reduce(DataFrame.unionByName, drawn)
 
 
@@ -331,37 +497,91 @@ def daily_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.daily(spark, sf_dir).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit_exact(g: Graph) -> DataFrame:
-    return by_cell(fit.fit_exact(g.edges, g.nodes, exact.Options(r=3, trials=4, rounds=20)).assign, "node", "c")
+def fit_parallel(g: Graph) -> DataFrame:
+    """The first sweep of the distributed solver: error, change of weights, share of moved nodes."""
+    found = fit.fit_parallel(g.edges, g.nodes, g.part, R, rounds=1).history
+    return rounded(found, "error", "z_change", "frac_changed").select(F.col("iteration").cast("long").alias("iteration"), "error", "z_change", "frac_changed")
+
 
+def snmf_step(g: Graph) -> DataFrame:
+    """H after one update of the symmetric factorization of the sum of the layers."""
+    total, h = cut(edges.layer_sum(g.edges)), cut(factor(g))
+    new = factors.updated(h, linear.times(total, h), linear.turned(h, linear.matrix(linear.gram(h, h), R)), half=True)
+    return by_cell(rounded(new, "value"), "node", "k", "value")
 
-def fit_shared(g: Graph) -> DataFrame:
-    return by_cell(fit.fit_exact(g.edges, g.nodes, exact.Options(r=3, trials=2, rounds=10, shared=True)).assign, "node", "c")
 
+#: Communities of the graph planted over the users.
+PLANTED = 3
 
-def fit_parallel(g: Graph) -> DataFrame:
-    return rounded(fit.fit_parallel(g.edges, g.nodes, g.part, R, rounds=3).history, "error", "z_change", "frac_changed")
+
+class PlantedGraph:
+    """A graph drawn over the users of the events: three layers, the community of a user its number mod 3, a fifth of all pairs joined, ten times as many inside."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, layers: int = 3):
+        users = cut(graphs.users(spark, sf_dir))
+        n = users.count()
+        e, nodes = generate.planted(spark, generate.Planted(n=n, k=PLANTED, layers=layers, degree=n / 5, theta="one", p=0.5, q=0.05), users)
+        self.spark, self.edges, self.truth = spark, cut(e), cut(nodes)
+        self.nodes = self.truth.select("node")
+        self.labels = self.truth.select("node", F.col("c").alias("label"))
 
 
-def consensus_labels(g: Graph) -> DataFrame:
-    return by_cell(consensus.consensus(cut(base(g)), 3), "node", "c")
+def named(found: DataFrame) -> DataFrame:
+    """(node, community): labels (node, c) by the smallest node of each community, so that their numbers do not matter."""
+    least = found.groupBy("c").agg(F.min("node").alias("community"))
+    return found.join(least, "c").select("node", "community")
 
 
-def consensus_matrix_free(g: Graph) -> DataFrame:
-    return by_cell(consensus.consensus(cut(base(g)), 3, matrix_free=True), "node", "c")
+def on_planted(f: Callable[[PlantedGraph], DataFrame], layers: int = 3) -> Query:
+    return lambda spark, sf_dir: f(PlantedGraph(spark, sf_dir, layers))
 
 
-def snmf_labels(g: Graph) -> DataFrame:
-    found = factors.symmetric(edges.layer_sum(g.edges), g.nodes, factors.Settings(3, rounds=6, every=3))
-    return by_cell(factors.strongest(found.h), "node", "c")
+def by_method(name: str) -> Query:
+    return on_planted(lambda g: named(methods.detect(name, g.edges, g.nodes, PLANTED, 1)), 1 if name == "omni" else 3)
 
 
-def by_method(name: str, r: int = 3) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e, n = generate.planted(spark, generate.Planted(n=90, layers=3, p=0.2))
-        return by_cell(methods.detect(name, cut(e), cut(n.select("node")), r, 1), "node", "c")
+def fit_exact(g: PlantedGraph) -> DataFrame:
+    return named(fit.fit_exact(g.edges, g.nodes, exact.Options(r=PLANTED)).assign)
 
-    return run
+
+def fit_shared(g: PlantedGraph) -> DataFrame:
+    return named(fit.fit_exact(g.edges, g.nodes, exact.Options(r=PLANTED, shared=True)).assign)
+
+
+def fit_restarts(g: PlantedGraph) -> DataFrame:
+    """The distributed solver from consensus starts."""
+    return named(fit.fit_restarts(g.edges, g.nodes, exact.Options(r=PLANTED, trials=2, rounds=5)).assign)
+
+
+def noisy_base(g: PlantedGraph) -> DataFrame:
+    """Five partitions: the planted one with other numbers, a tenth of the nodes elsewhere."""
+    many = g.truth.select("node", "c", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i"))
+    wrong = generate.uniform(F.lit("base"), F.col("node"), F.col("i")) < 0.1
+    return cut(many.select(F.col("i").cast("string").alias("layer"), "node", ((F.col("c") + F.col("i") + F.when(wrong, 1).otherwise(0)) % PLANTED).cast("int").alias("c")))
+
+
+def consensus_labels(g: PlantedGraph) -> DataFrame:
+    return named(consensus.consensus(noisy_base(g), PLANTED))
+
+
+def consensus_matrix_free(g: PlantedGraph) -> DataFrame:
+    return named(consensus.consensus(noisy_base(g), PLANTED, matrix_free=True))
+
+
+def real_study(g: PlantedGraph) -> DataFrame:
+    """Methods of the study of real networks, two trials, as text."""
+    return experiments.report(experiments.real_study(g.edges, g.labels, trials=2), ["method"], ["error", "nmi", "ari"])
+
+
+def convergence_study(g: PlantedGraph) -> DataFrame:
+    """Agreement after six sweeps from consensus starts."""
+    found = experiments.convergence_study(g.edges, g.labels, trials=2, rounds=6, starts=["usenc"])
+    return found.filter("iteration = 5").select("start", F.col("trial").cast("long").alias("trial"), shown(F.col("nmi")).alias("nmi"), shown(F.col("ari")).alias("ari"))
+
+
+def scalability_study(g: PlantedGraph) -> DataFrame:
+    found = experiments.scalability_study(g.edges, g.labels, trials=2)
+    return found.select(F.col("trial").cast("long").alias("trial"), (F.col("iterations") > 0).alias("swept"), shown(F.col("nmi")).alias("nmi"), shown(F.col("ari")).alias("ari"))
 
 
 def simulation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,18 +590,31 @@ def simulation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.summary(found, ["scenario", "parameter", "method"])
 
 
+def main_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main study, two repetitions of a few layers."""
+    return experiments.summary(experiments.main_study(spark, 2, [2, 5], scenarios=["sim1", "sim3"]), ["scenario", "parameter", "method"])
+
+
+def sparsity_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study of densities, two repetitions of a few."""
+    return experiments.summary(experiments.sparsity_study(spark, 2, [4, 16], scenarios=["sim1"], methods=["dcmase", "ave_spherical", "lmfo", "us"]), ["scenario", "parameter", "method"])
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: on_graph(f)
     for f in (
-        deg_by_layer, layer_norm, layer_stats, layer_summary, transitivity, layer_similarity, sum_graph, mean_graph, norm_adj_tau, diag_augmented, bias_adjusted_square,
-        community_mass, degree_share, unit_weights, block_sum_s, block_mean_b, block_normalized, degree_correction, recon_error, sweep_coeffs, quartic, sweep_assign,
-        sweep_assign_shared, sweep_error, modularity, coassoc_pairs, bipartite_wy, lap_matvec, skinny_product, gram_matrix, orth_nnls_assign, sspa_pick1, snmtf_iter1, elbow,
-        relabel_by_degree, fit_exact, fit_shared, fit_parallel, consensus_labels, consensus_matrix_free, snmf_labels,
+        deg_by_layer, layer_norm, layer_stats, layer_summary, layer_table, transitivity, layer_similarity, mean_similarity, sum_graph, mean_graph, upper_weight, norm_adj_tau, diag_augmented, bias_adjusted_square,
+        community_mass, degree_share, unit_weights, block_sum_s, block_mean_b, block_normalized, block_density, degree_correction, recon_error, sweep_coeffs, quartic, sweep_assign,
+        sweep_assign_shared, sweep_error, modularity, coassoc_pairs, bipartite_wy, lap_matvec, skinny_product, gram_matrix, orth_nnls_assign, sspa_pick1, snmtf_iter1, elbow, elbows,
+        relabel_by_degree, largest_rows, column_means, expected_adjacency, matrix_distance, matched_columns, large_values, parts_of, fit_parallel, snmf_step,
     )
 } | {
     f.__name__: f
     for f in (
         components, symmetrize_binarize, contingency, nmi, ari, misclass, knn_layer, knn_symmetric, mean_removed_angle, summary_mean_sd, summary_mean_sd_se, pivot_methods, melt_methods,
-        best_restart, gen_sbm_edges, gen_scenarios, daily_layers, simulation_grid,
+        best_restart, gen_sbm_edges, gen_scenarios, daily_layers, simulation_grid, main_study, sparsity_study, dense_ids, contact_days, citation_graph, triples_text, triplet_cells, known_labels,
+        one_layer, shared_names, column_slices, written_back, convergence_stats, final_states, results_text,
     )
-} | {f"method_{name.replace('-', '_')}": by_method(name) for name in ("dcmase", "sq-bias-adjusted", "joint")}
+} | {
+    f.__name__: on_planted(f) for f in (fit_exact, fit_shared, fit_restarts, consensus_labels, consensus_matrix_free, real_study, convergence_study, scalability_study)
+} | {f"method_{name.replace('-', '_')}": by_method(name) for name in methods.METHODS}

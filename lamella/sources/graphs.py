@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.functions.scalars import dot, length2
 from lamella.operators.edges import mirrored, symmetrized, topmost
+from lamella.plans.lineage import cut
 
 EDGE_LIST = T.StructType([T.StructField(x, T.StringType()) for x in ("source", "target", "layer")])
 NODE_LIST = T.StructType([T.StructField(x, T.StringType()) for x in ("node", "group", "role")])
@@ -48,22 +50,70 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("l_returnflag").alias("layer"), "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def nearest_by_cosine(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(src, dst, sim): the k nearest other rows of each row; ties by the smaller id.
+#: Bytes of vectors that are sent to every task at once.
+BLOCK_BYTES = 32 << 20
 
-    All pairs are compared, which suits feature tables of a layer's size.
+
+def nearest_by_cosine(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(src, dst, sim, rank): the k nearest other rows of each row; ties by the smaller id.
+
+    Exact: all rows meet all blocks of rows, a block of bounded size at a time, as
+    products of matrices; each task keeps its rows' k nearest of a block. A vector
+    of zeros is near to none and has a similarity of null, last in order.
     """
-    unit = vectors.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).withColumn("n", length2(F.col("v")))
-    a, b = unit.select(F.col("id").alias("src"), F.col("v").alias("va"), F.col("n").alias("na")), unit.select(F.col("id").alias("dst"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-    sims = a.join(b, F.col("src") != F.col("dst")).select("src", "dst", F.round(dot(F.col("va"), F.col("vb")) / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0)), 9).alias("sim"))
-    return topmost(sims, "src", ["sim"], "dst", k)
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = max(1, -(-size.n * (size.d or 1) * 8 // block_bytes))
+    block_of, sc, out = F.pmod(F.xxhash64("id"), F.lit(blocks)), rows.sparkSession.sparkContext, None
+
+    def unit(table) -> tuple[np.ndarray, np.ndarray]:
+        ids = table.column(0).to_numpy()
+        x = np.array(table.column(1).to_pylist(), dtype=float).reshape(len(ids), -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return ids, x / norm
+
+    for b in range(blocks):
+        ids, x = unit(rows.filter(block_of == b).orderBy("id").toArrow())
+        sent = sc.broadcast((ids, x))
+
+        def nearest(batches, sent=sent):
+            ids, x = sent.value
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(ids) else 0, 512):
+                    own, y = unit(batch.slice(at, 512))
+                    sim = np.round(y @ x.T, 9)
+                    sim[own[:, None] == ids[None, :]] = -np.inf
+                    sim = np.where(np.isnan(sim), -2.0, sim)
+                    top = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # ids are in order, so ties go to the smaller one
+                    found = np.take_along_axis(sim, top, axis=1)
+                    kept = np.isfinite(found)
+                    values = found[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, top.shape[1])[kept.ravel()]), pa.array(ids[top][kept]), pa.array(values, mask=values == -2.0)], ["src", "dst", "sim"])
+
+        part = rows.mapInArrow(nearest, "src long, dst long, sim double")
+        part = cut(part) if blocks > 1 else part
+        out = part if out is None else out.unionAll(part)
+    return topmost(out, "src", ["sim"], "dst", k)
 
 
 def numbered(nodes: DataFrame, name: str = "node") -> DataFrame:
-    """(node_id, name): dense ids from 0 in the order of the names, without a single global window."""
+    """(node_id, name): dense ids from 0 in the order of the names.
+
+    Names are dealt out by ranges; a range's first id is the count of the names
+    before it, so no task sees more than a range.
+    """
     names = nodes.select(F.col(name).alias("name")).distinct()
-    ranged = names.repartitionByRange(max(1, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "name").sortWithinPartitions("name").rdd
-    return ranged.map(lambda r: r[0]).zipWithIndex().toDF("name string, node_id long").select("node_id", "name")
+    parts = max(1, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(names.repartitionByRange(parts, "name").sortWithinPartitions("name").withColumn("part", F.spark_partition_id()))
+    sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
+    first, total = [], 0
+    for part in sorted(sizes):
+        first.append((part, total))
+        total += sizes[part]
+    starts = names.sparkSession.createDataFrame(first, "part int, first long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("name"))
+    return ranged.withColumn("place", place).join(F.broadcast(starts), "part").select((F.col("first") + F.col("place") - 1).alias("node_id"), "name")
 
 
 def read_edge_list(spark: SparkSession, edge_file: str, node_file: str) -> tuple[DataFrame, DataFrame]:

@@ -33,3 +33,8 @@ def write_trace(history: DataFrame, path: str) -> None:
     """One JSON line for each trial, with its iterations in order."""
     columns = [c for c in history.columns if c != "trial"]
     history.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("iteration", *(c for c in columns if c != "iteration")))).alias("iterations")).write.mode("overwrite").json(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Parquet, with the types of the columns."""
+    results.write.mode("overwrite").parquet(path)
