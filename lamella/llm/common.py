@@ -7,7 +7,6 @@ that a partition of very long texts costs no more than one of short texts.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.plans.lineage import cut, shared_dir
+
 #: Bytes of text that the vectorised kernels take at once.
 SLICE_BYTES = 1 << 20
 
@@ -27,33 +28,13 @@ WORD_END = re.compile(rb"[^ \n]{2}[ \n]")
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lamella-checkpoint-"))  # one process
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """:func:`cut` for tables of ids and numbers, in an eighth of the shuffle partitions.
 
-    The result is a plan of its own: what the optimizer knew about the old one
-    (its constraints name columns that are gone, its partitioning keeps joins from
-    splitting hot keys) is left behind.
+    Partitions are as many as texts ask for; rows of a few numbers are a small part
+    of that, and each file of a checkpoint or a shuffle takes a disk block at least.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    kept = df.checkpoint(eager=True)
-    rows = kept._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    return cut(df.coalesce(max(8, partitions(df.sparkSession) // 8)))
 
 
 def rows_with_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
@@ -131,13 +112,11 @@ def splitmix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-
-
 def pieces(texts: list[bytes], most: int = SLICE_BYTES, docs: int = 512) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Slices of at most about ``most`` bytes and ``docs`` pieces: the pieces, and which text each is of.
 
-    A text above ``most`` is cut, after white space where there is some, so memory
-    does not grow with the longest text.
+    A text above ``most`` is cut, after a word of two bytes or more where there is
+    one near, so memory does not grow with the longest text.
     """
     held, of, total = [], [], 0
     for i, text in enumerate(texts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import cut
+from lamella.llm.common import cut_narrow as cut
 
 
 def components(edges: DataFrame) -> DataFrame:

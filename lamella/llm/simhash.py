@@ -27,10 +27,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import as_bytes, cut, map_batches, rows_with_key, splitmix64
+from lamella.llm.common import as_bytes, cut, cut_narrow, map_batches, rows_with_key, splitmix64
 from lamella.llm.components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -151,9 +151,9 @@ class SimHash:
 
             return map_batches(distinct.select("fp"), run, "key long, fp long")
 
-        near, every = cut(keys(0)), keys(1)
+        near, every = cut_narrow(keys(0)), keys(1)
         counts = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        hot = cut(counts.filter(F.col("n") > self.joined).select("key"))
+        hot = cut_narrow(counts.filter(F.col("n") > self.joined).select("key"))
         joined = near.withColumnRenamed("fp", "a")
         crowded = bool(hot.limit(1).count())
         if crowded:
@@ -202,7 +202,8 @@ class NearCopies:
 
     words: of a shingle. similarity: least Jaccard similarity of a link. bands of
     ``rows`` minima each. joined: texts under one band whose pairs are all looked
-    at; those of larger bands meet in an exact join (:meth:`crowded`). agreeing:
+    at; those of larger bands meet in an exact join (:meth:`crowded`). more: rounds
+    of other pivots before it, which only make it smaller. agreeing:
     minima, of all, that texts must share before their sets are compared; at a
     similarity of 0.8 fewer are shared by two pairs in ten million.
 
@@ -212,9 +213,11 @@ class NearCopies:
     candidate is verified on the whole sets.
 
     The search goes from few pairs to many, and leaves out what is in one group by
-    then: each text with the least text of its bands, with the least of each band,
-    with all texts of its small bands, and the exact join of crowded ones. Whole
-    texts are never shuffled: a Bloom filter of bounded size picks those whose sets
+    then: each text with one of the pivots of its bands, with three more, with all
+    of them, with all texts of its small bands, and the exact join of crowded ones.
+    A band's pivot is the text whose hash with the band's key is least, so a text
+    meets as many members of a large group as it shares bands with it. Whole texts
+    are never shuffled: a Bloom filter of bounded size picks those whose sets
     are needed, and only the sets travel.
     """
 
@@ -224,6 +227,7 @@ class NearCopies:
     rows: int = 2
     joined: int = 32
     agreeing: int = 13
+    more: int = 1
 
     def shingles(self, text: bytes) -> np.ndarray:
         """Distinct shingle hashes in order; a text without words has the hash zero."""
@@ -277,13 +281,13 @@ class NearCopies:
         return F.least(x, y) >= F.floor(self.similarity * F.greatest(x, y))
 
     def stars(self, sketches: DataFrame, bands: DataFrame) -> DataFrame:
-        """(a, b): each text a with the least text b of each of its bands, if their sizes are close."""
-        own = sketches.select("doc_id", "n", F.explode("keys").alias("key")).join(bands.select("key", "least"), "key")
-        return own.filter((F.col("doc_id") != F.col("least.doc_id")) & self.close("n", "least.n")).select(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b"))
+        """(a, b): each text a with the pivot b of each of its bands, if their sizes are close."""
+        own = sketches.select("doc_id", "n", F.explode("keys").alias("key")).join(bands.select("key", "pivot"), "key")
+        return own.filter((F.col("doc_id") != F.col("pivot.doc_id")) & self.close("n", "pivot.n")).select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b"))
 
     def golay(self, sketches: DataFrame) -> DataFrame:
         """(a, b) of fingerprints that differ in two bits at most."""
-        prints = cut(sketches.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        prints = cut_narrow(sketches.groupBy("fp").agg(F.min("doc_id").alias("least")))
         links = SimHash(self.words).links(prints.select("fp"))
         of = lambda name: prints.select(F.col("fp").alias("_" + name), F.col("least").alias("d" + name))
         linked = links.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select(F.greatest("da", "db").alias("a"), F.least("da", "db").alias("b"))
@@ -294,27 +298,48 @@ class NearCopies:
         """(doc_id, component_id) of the documents that are near copies of another one; component_id is the smallest id of the group. Ids must be distinct and not null."""
         sketches = cut(self.sketches(docs))
         banded = sketches.select("doc_id", "n", F.explode("keys").alias("key"))
-        bands = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "n")).alias("least")).filter("m > 1"))
-        stars = cut(self.stars(sketches, bands).unionAll(self.golay(sketches)).distinct())
-        links = cut(self.verified(docs, sketches, stars.groupBy("a").agg(F.min("b").alias("b"))))
-        found = cut(components(links))
-        links = links.unionAll(cut(self.verified(docs, sketches, self.apart(stars, found))))
-        found = cut(components(links))
-        # Bands whose texts are in different groups by now.
-        rooted = banded.join(bands.select("key", "m"), "key").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        mixed = rooted.groupBy("key").agg(F.max("m").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        rooted = cut(rooted.drop("m").join(cut(mixed.select("key", "m")), "key"))
+        bands = cut_narrow(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id", "n")).alias("pivot")).filter("m > 1"))
+        stars = self.stars(sketches, bands).unionAll(self.golay(sketches)).distinct()
+        turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))  # of a text's few pivots
+        stars = cut_narrow(stars.withColumn("turn", turn))
+        found = cut_narrow(components(self.verified(docs, sketches, stars.filter("turn = 1"))))
+        for some in ("turn between 2 and 4", "turn > 4"):
+            found = self.grown(found, docs, sketches, self.apart(stars.filter(some), found))
+        banded = banded.join(bands.select("key", "m"), "key")
+        rooted = self.mixed(banded, found)
+        for salt in range(1, 1 + self.more):  # other pivots of crowded bands, while they find links
+            many = rooted.filter(F.col("m") > self.joined)
+            pivots = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(salt)).alias("h"), "doc_id", "n", "root")).alias("pivot"))
+            pairs = many.join(pivots, "key").filter((F.col("root") != F.col("pivot.root")) & self.close("n", "pivot.n"))
+            now = self.grown(found, docs, sketches, pairs.select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).distinct())
+            if now is found:
+                break
+            found, rooted = now, self.mixed(rooted.drop("root"), now)
         few = rooted.filter(F.col("m") <= self.joined)
         x, y = (few.select("key", F.col("doc_id").alias(i), F.col("n").alias("n" + i), F.col("root").alias("r" + i)) for i in "ab")
         pairs = x.join(y, "key").filter("a > b and ra <> rb").filter(self.close("na", "nb")).select("a", "b").distinct()
-        links = links.unionAll(cut(self.verified(docs, sketches, pairs)))
-        hot = cut(rooted.filter(F.col("m") > self.joined).select("doc_id").distinct())
+        found = self.grown(found, docs, sketches, pairs)
+        hot = cut_narrow(rooted.filter(F.col("m") > self.joined).select("doc_id").distinct())
         if hot.limit(1).count():
-            found = cut(components(links))
-            links = links.unionAll(cut(self.verified(docs, sketches, self.crowded(docs, hot, found))))
-        found = components(links)
+            found = self.grown(found, docs, sketches, self.crowded(docs, hot, found))
         return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
+    def mixed(self, banded: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of bands whose texts are in different groups, with their root."""
+        rooted = banded.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        kept = cut_narrow(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"))
+        return cut_narrow(rooted.join(kept, "key"))
+
+    def grown(self, found: DataFrame, docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The groups (node, root) after those of the pairs (a, b) that are alike have joined theirs."""
+        pairs = cut_narrow(pairs)
+        if not pairs.limit(1).count():
+            return found
+        alike = self.verified(docs, sketches, pairs)
+        if not alike.limit(1).count():
+            return found
+        return cut_narrow(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionAll(alike)))
+
     def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """The pairs whose texts are in different groups."""
         of = lambda name: found.select(F.col("node").alias(name), F.col("root").alias("r" + name))
@@ -362,7 +387,7 @@ class NearCopies:
         kind = docs.schema["doc_id"].dataType.simpleString()
         rows = self.chosen(docs, hot, prefixes, f"doc_id {kind}, n long, both long, shingle long")
         rows = cut(rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
-        mixed = cut(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle"))
+        mixed = cut_narrow(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle"))
         rows = cut(rows.join(mixed, "shingle"))
         of_size = lambda n: F.floor(F.log(n) / float(np.log(1.02)))
         x = rows.filter(F.col("both") >= 2 * F.col("n")).withColumn("size", F.explode(F.sequence(of_size(F.col("n")), of_size(F.col("both") - F.col("n")))))
@@ -382,7 +407,7 @@ class NearCopies:
         kind = docs.schema["doc_id"].dataType.simpleString()
         of = lambda i: sketches.select(F.col("doc_id").alias(i), F.col("sig").alias("s" + i))
         signed_pairs = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
-        likely = cut(map_batches(signed_pairs, agree, f"a {kind}, b {kind}"))
+        likely = cut_narrow(map_batches(signed_pairs, agree, f"a {kind}, b {kind}"))
         taken = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
         def run(batch):
@@ -392,7 +417,7 @@ class NearCopies:
         sets = cut(self.chosen(docs, taken, run, f"doc_id {kind}, own array<long>"))
         both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("oa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("ob")), "b")
         shared = F.size(F.array_intersect("oa", "ob"))
-        return both.filter(shared >= self.similarity * (F.size("oa") + F.size("ob") - shared)).select("a", "b")
+        return cut_narrow(both.filter(shared >= self.similarity * (F.size("oa") + F.size("ob") - shared)).select("a", "b"))
 
 
 #: Bits of a Bloom filter of ids: 8 MB for every task, however many ids there are.
@@ -434,6 +459,6 @@ def drop_near_copies(docs: DataFrame, near: NearCopies = NearCopies()) -> DataFr
         found = cut(found.join(own.select("doc_id", "_id"), "doc_id"))
         best = found.groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.col("_id").isNull(), "_id", "doc_id")).alias("best"))
         gone = found.join(cut(best), "component_id").filter("doc_id <> best").select(F.col("doc_id").alias("_gone"))
-    gone = cut(gone)
+    gone = cut_narrow(gone)
     left = rows.join(gone, rows[key] == gone["_gone"], "left_anti")
     return left if key == "doc_id" else left.drop(key)

@@ -345,6 +345,166 @@ def test_long_texts_and_repeated_labels(spark):
     assert kept == len(rows) - got.predicted.sum()
 
 
+def test_word_vectors_are_the_direct_sum(spark):
+    """Random indexing against a plain loop over the words, from tasks that each see a part."""
+    rng = np.random.default_rng(21)
+    texts = [sentence(rng, int(n)) + rng.choice([". 12 12", " !!", "", " WORD Word"]) for n in rng.integers(0, 30, 40)] + [None, "", "x"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    known, got = quality.word_vectors(docs, words=12)
+    sums, count = {}, {}
+    for t in texts:
+        digest, kind, _, shape, again = quality.runs([(t or "").encode()])
+        words = re.findall(r"[a-zA-Z]+|[0-9]+|[^a-zA-Z0-9\s]+", t or "")
+        assert len(words) == len(digest) and [("a" if w[0].isalpha() else "0" if w[0].isdigit() else ".") for w in words] == ["a0."[k] for k in kind]
+        vectors = quality.index_vectors(digest).astype(int)
+        marks = quality.mark_vectors().astype(int)
+        for i, d in enumerate(digest.tolist()):
+            count[d] = count.get(d, 0) + 1
+            total = sums.setdefault(d, np.zeros(quality.DIM, dtype=int))
+            total += marks[shape[i]] + marks[again[i]]
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(digest):
+                    total += vectors[j]
+    first = sorted(count, key=lambda d: (-count[d], np.uint64(d).astype(np.int64)))[:12]
+    assert known.tolist() == sorted(first)
+    for d, v in zip(known.tolist(), got, strict=False):
+        assert np.allclose(v, sums[d] / max(np.linalg.norm(sums[d]), 1e-9), atol=1e-6)
+    assert not got[-1].any()
+
+
+def test_pooled_rows_do_not_depend_on_their_batch():
+    rng = np.random.default_rng(22)
+    texts = [sentence(rng, int(n)).encode() for n in rng.integers(0, 50, 20)] + [b"", b"  ", b"\xc3\xa9 12 !!"]
+    known = np.unique(quality.runs(texts)[0])[::2]
+    vectors = np.vstack([rng.random((len(known), quality.DIM)), np.zeros((1, quality.DIM))]).astype(np.float32)
+    every = quality.pooled(texts, known, vectors)
+    assert every.shape == (len(texts), quality.FEATURES)
+    assert np.allclose(every, np.vstack([quality.pooled([t], known, vectors) for t in texts]))
+
+
+def test_language_masks_are_sets_and_errors(spark):
+    """Every n-gram's own languages are in its mask, and few others; seventy languages take two words."""
+    rng = np.random.default_rng(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{i:02d}": ["".join(rng.choice(list(letters), 5)) for _ in range(6)] for i in range(70)}
+    rows = [(i, " ".join(rng.choice(own[lang], 40)), lang, "s", 0) for i, lang in enumerate(sorted(own) * 6)] + [(9000, "q" * 3000 + " ", None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    settings = langid.LanguageFilters()
+    model = settings.fit(docs)
+    assert model.languages == sorted(own) and model.table.shape[1] == 2
+    counts = {}
+    for i, text, lang, *_ in rows:
+        if lang and crc32_of(i) % 4 != 2:
+            for g in langid.ngrams([text.encode()], 3)[0].tolist():
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = {}
+    for c in share.values():
+        for g, x in c.items():
+            best[g] = max(best.get(g, 0), x)
+    ids = np.array(sorted(best), dtype=np.uint32)
+    masks = model.masks(ids)
+    extra = 0
+    for g, mask in zip(ids.tolist(), masks, strict=True):
+        found = {lang for i, lang in enumerate(model.languages) if int(mask[i // 64]) >> (i % 64) & 1}
+        want = {lang for lang, c in share.items() if c.get(g, 0) >= max(settings.least_share, settings.of_best * best[g])}
+        assert want <= found
+        extra += len(found - want)
+    assert extra <= 0.01 * 70 * len(ids)
+    got = {r.doc_id: r for r in langid.languages_of(docs).collect()}
+    assert np.mean([got[i].lang_pred == lang for i, _, lang, *_ in rows if lang]) > 0.98
+
+
+def test_chunks_are_those_of_a_plain_loop():
+    c = fingerprint.Chunking()
+    gear = [int(x) for x in (fingerprint.splitmix64(np.arange(256, dtype=np.uint64)) >> np.uint64(48))]
+
+    def plain(text):
+        out, start = [], 0
+        for i in range(len(text)):
+            h = sum(gear[text[i - j]] << j for j in range(min(16, i + 1))) & 0xFFFF
+            size = i + 1 - start
+            if size >= c.most or size >= c.normal and h >> (16 - c.bits_after) == 0 or size >= c.least and h >> (16 - c.bits_before) == 0:
+                out.append(text[start : i + 1])
+                start = i + 1
+        return out + [text[start:]] * (start < len(text))
+
+    rng = np.random.default_rng(24)
+    texts = [sentence(rng, int(n)).encode() for n in (0, 3, 60, 900)] + [bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), b"a" * 1000, "é".encode() * 700]
+    for text, found in zip(texts, c.sets(texts), strict=True):
+        own = plain(text)
+        assert b"".join(own) == text and found == {(xxhash.xxh64_intdigest(x) & 0xFFFFFFFF) << 8 | len(x) - 1 for x in own}
+
+
+def test_likeness_is_plain_containment(spark):
+    rng = np.random.default_rng(25)
+    texts = [sentence(rng, int(n)) for n in (0, 20, 200, 500)]
+    texts += [texts[3] + " and more", "new start " + texts[3], None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    c = fingerprint.Chunking()
+
+    def like(a, b):
+        x, y = c.sets([a.encode(), b.encode()])
+        size = lambda s: sum((v & 255) + 1 for v in s)
+        return size(x & y) / size(x) if x else float(not y)
+
+    whole = [t or "" for t in texts]
+    for r in fingerprint.edited_likeness(docs).collect():
+        t, after = whole[r.doc_id], whole[r.doc_id - 1]
+        h = len(t) // 2
+        edited = t[: len(t) - h] + after[:h]
+        assert (r.near_edited, r.near_next) == pytest.approx((like(t, edited), like(t, after)))
+        assert r.fingerprint == fingerprint.written(c.sets([t.encode()])[0]) and r.edited_fingerprint == fingerprint.written(c.sets([edited.encode()])[0])
+
+
+def test_topics_are_those_of_a_plain_k_means(spark, docs, rows):
+    t = mixing.Topics(topics=3, keywords=9, common=0.5)
+    counts = [dict.fromkeys((), 0) for _ in rows]
+    for own, (_, text, *_) in zip(counts, rows, strict=True):
+        for w in re.findall("[a-z\x80-\U0010ffff]{4,}", low(text)):
+            own[w] = own.get(w, 0) + 1
+    tf, df = {}, {}
+    for own in counts:
+        for w, n in own.items():
+            tf[w], df[w] = tf.get(w, 0) + n, df.get(w, 0) + 1
+    rare = {w: np.log(len(rows) / n) for w, n in df.items() if 2 <= n <= 0.5 * len(rows)}
+    keys = sorted(rare, key=lambda w: (-round(tf[w] * rare[w], 6), w))[:9]
+    words, weights = t.chosen(docs)
+    assert words == keys and np.allclose(weights, [rare[w] for w in keys])
+    x = np.array([[own.get(w, 0) * rare[w] for w in keys] for own in counts])
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    centres = np.eye(len(keys))[[i * len(keys) // 3 for i in range(3)]]
+    for _ in range(4):
+        near = np.argmax(np.round(x @ centres.T, 9), axis=1)
+        fresh = np.array([x[(near == i) & x.any(axis=1)].sum(axis=0) for i in range(3)])
+        size = np.linalg.norm(fresh, axis=1, keepdims=True)
+        centres = np.where(size > 0, fresh / np.maximum(size, 1e-300), centres)
+    want = sorted(("none" if not v.any() else str(np.argmax(np.round(centres @ v, 9)))) for v in x)
+    counted = t.counts(docs, words, "doc_id")
+    assert sorted(r.topic for r in t.of(counted, weights, "doc_id").collect()) == want
+
+
+def test_stages_decide_by_row(spark):
+    """Null and repeated ids with texts of their own, columns whose names clash, and empty tables."""
+    rng = np.random.default_rng(26)
+    long = sentence(rng, 200)
+    near = long.replace(" the ", " thee ", 2)
+    rows = [(None, long, "en", "a", 0), (None, "alone here", "de", "b", 1), (7, near, "en", "a", 2), (7, "another text of its own", "en", None, 3), (7, "another text of its own", "en", None, 4), (1, None, None, None, 5), (2, "", "en", "a", 6)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"_row": F.lit(1), "a": F.lit(2), "root": F.lit(3), "key": F.lit("k"), "tokens": F.lit(4), "topic": F.lit("t"), "counts": F.lit(5)}).repartition(2)
+    left = simhash.drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted(r.n_chars for r in left.collect()) in ([1, 2, 3, 5], [1, 2, 4, 5])
+    exact = exact_dedup.drop_copies(docs)
+    assert exact.columns == docs.columns and len(exact.collect()) == 5
+    drawn = mixing.mixed(docs, mixing.Mixture(powers={"source": 1.0, "lang": 1.0, "topic": 1.0}))
+    assert drawn.columns == docs.columns and {r.n_chars for r in drawn.collect()} >= {0, 1, 2, 3, 4}
+    empty = spark.createDataFrame([], DOCS)
+    for f in (simhash.drop_near_copies, exact_dedup.drop_copies, mixing.mixed):
+        assert f(empty).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(empty, labels).count() == 0 and pieces.Sampler(MODEL).encode(empty).count() == 0
+
+
 def test_slices_keep_every_byte():
     texts = [b"", b"ab cd" * 100, "é".encode() * 300, b"x"]
     joined = [b""] * len(texts)
