@@ -281,9 +281,9 @@ def csnmf(layers: Layers, r: int, seed: int, alpha: float = 0.5) -> np.ndarray:
     return symmetric_factor(mean, r, seed).argmax(axis=1)
 
 
-def tri_factor(layers: Layers, r: int, seed: int = 0, anchors: Layers = (), starts: Layers | None = None, alpha: float = 0.1, rounds: int = 300, tolerance: float = 1e-6) -> tuple[np.ndarray, Layers, float]:
-    """(H, cores, objective) of X_l ~ H S_l H' with one H, which leans on the projections of ``anchors``."""
-    h = np.random.default_rng(seed).random((len(layers[0]), r))
+def tri_factor(layers: Layers, r: int, seed: int = 0, anchors: Layers = (), starts: Layers | None = None, alpha: float = 0.1, rounds: int = 300, tolerance: float = 1e-6, first: np.ndarray | None = None) -> tuple[np.ndarray, Layers, float]:
+    """(H, cores, objective) of X_l ~ H S_l H' with one H, which leans on the projections of ``anchors`` and starts at ``first`` or anywhere."""
+    h = np.random.default_rng(seed).random((len(layers[0]), r)) if first is None else np.maximum(first, 1e-4)
     cores = [np.ones((r, r)) for _ in layers] if starts is None else [s.copy() for s in starts]
     fitted = lambda: [s * (h.T @ x @ h) / np.maximum(h.T @ h @ s @ h.T @ h, 1e-10) for x, s in zip(layers, cores, strict=True)]
     for _ in range(20 if starts is None else 0):
@@ -302,10 +302,12 @@ def tri_factor(layers: Layers, r: int, seed: int = 0, anchors: Layers = (), star
 
 
 def csnmtf(layers: Layers, r: int, seed: int, restarts: int = 3) -> np.ndarray:
-    """Each layer alone, the best of some starts, then one factor near all of theirs, the best again."""
-    alone = [min((tri_factor([x], r, seed + k) for k in range(restarts)), key=lambda f: f[2]) for x in layers]
-    anchors, starts = [f[0] for f in alone], [f[1][0] for f in alone]
-    return min((tri_factor(layers, r, seed + 100 + k, anchors, starts) for k in range(restarts)), key=lambda f: f[2])[0].argmax(axis=1)
+    """Each normalised layer alone, the best of some starts, then one factor near all of theirs, the best again; starts are means of columns."""
+    layers = [laplacian(a) for a in layers]
+    alone = [min((tri_factor([x], r, first=factor_start(x, r, "rnda", seed + k)) for k in range(restarts)), key=lambda f: f[2]) for x in layers]
+    anchors, starts, mean = [f[0] for f in alone], [f[1][0] for f in alone], sum(layers) / len(layers)
+    fits = (tri_factor(layers, r, anchors=anchors, starts=starts, first=factor_start(mean, r, "rnda", seed + 100 + k)) for k in range(restarts))
+    return min(fits, key=lambda f: f[2])[0].argmax(axis=1)
 
 
 def spectral_clusterer(x: np.ndarray, k: int = 2, seed: int = 0) -> np.ndarray:

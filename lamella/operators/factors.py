@@ -83,8 +83,18 @@ def symmetric(edges: DataFrame, nodes: DataFrame, settings: Settings, more: list
     return out
 
 
+def column_starts(edges: DataFrame, nodes: DataFrame, r: int, seed: int = 0) -> DataFrame:
+    """(node, k, value): for each k the mean of a fifth of the columns of (src, dst, weight), by a hash; a small value where that is 0."""
+    cells = nodes.select(F.col("node").alias("dst"), F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("k"))
+    chosen = cells.filter(F.pmod(F.xxhash64("dst", "k", F.lit(seed)), F.lit(5)) == 0)
+    count = chosen.groupBy("k").agg(F.count(F.lit(1)).alias("p"))
+    sums = edges.join(chosen, "dst").groupBy(F.col("src").alias("node"), "k").agg(F.sum("weight").alias("s"))
+    mean = sums.join(F.broadcast(count), "k").select("node", "k", (F.col("s") / F.col("p")).alias("m"))
+    return cells.select(F.col("dst").alias("node"), "k").join(mean, ["node", "k"], "left").select("node", "k", F.greatest(F.coalesce("m", F.lit(0.0)), F.lit(1e-4)).alias("value"))
+
+
 def tri(edges: DataFrame, nodes: DataFrame, settings: Settings, anchors: dict[str, DataFrame] | None = None, starts: dict[str, np.ndarray] | None = None) -> Factorization:
-    """X_l ~ H S_l H' with one H for all layers.
+    """X_l ~ H S_l H' with one H for all layers, which starts at means of columns of the layers' sum.
 
     anchors: factors of the layers alone, that H is drawn to with strength alpha.
     """
@@ -92,7 +102,8 @@ def tri(edges: DataFrame, nodes: DataFrame, settings: Settings, anchors: dict[st
     layers = [x.layer for x in edges.select("layer").distinct().orderBy("layer").collect()]
     own = {layer: edges.filter(F.col("layer") == layer).drop("layer") for layer in layers}
     norm2 = {x.layer: x.n for x in edges.groupBy("layer").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()}
-    h = cut(noise_factor(nodes, r, settings.seed))
+    total = edges.groupBy("src", "dst").agg((F.sum("weight") / max(1, len(layers))).alias("weight"))
+    h = cut(column_starts(total, nodes, r, settings.seed))
     s = {layer: np.ones((r, r)) if starts is None else starts[layer].copy() for layer in layers}
 
     def cells(h: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -143,9 +154,12 @@ def collective_symmetric(edges: DataFrame, nodes: DataFrame, settings: Settings)
 
 
 def collective_tri(edges: DataFrame, nodes: DataFrame, settings: Settings) -> Factorization:
-    """Each layer alone, the best of some starts, then one H for all layers that stays near theirs, the best again."""
+    """Each normalised layer alone, the best of some starts, then one H for all layers that stays near theirs, the best again."""
     from dataclasses import replace
 
+    from lamella.operators.edges import normalized
+
+    edges = cut(normalized(edges, nodes.count()))
     layers = [x.layer for x in edges.select("layer").distinct().orderBy("layer").collect()]
     best = None
     for k in range(settings.restarts):
