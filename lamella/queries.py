@@ -28,7 +28,19 @@ R = 5
 
 
 class Graph:
-    """The co-activity graph of the events; its edges are made when they are first asked for."""
+    """The co-activity graph of the events; its edges are made when they are first asked for.
+
+    kept: graphs by application and folder, for sessions that run many queries on
+    one; None: every query makes its own.
+    """
+
+    kept: dict[tuple[str, str], Graph] | None = None
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Graph:
+        if cls.kept is None:
+            return cls(spark, sf_dir)
+        return cls.kept.setdefault((spark.sparkContext.applicationId, sf_dir), cls(spark, sf_dir))
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -63,7 +75,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def on_graph(f: Callable[[Graph], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(Graph(spark, sf_dir))
+    return lambda spark, sf_dir: f(Graph.of(spark, sf_dir))
 
 
 def by_cell(df: DataFrame, *names: str) -> DataFrame:
