@@ -227,7 +227,7 @@ class NearCopies:
     rows: int = 2
     joined: int = 32
     agreeing: int = 13
-    more: int = 1
+    more: int = 4
 
     def shingles(self, text: bytes) -> np.ndarray:
         """Distinct shingle hashes in order; a text without words has the hash zero."""
