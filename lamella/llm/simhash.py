@@ -205,7 +205,7 @@ class NearCopies:
     at; those of larger bands meet in an exact join (:meth:`crowded`). more: rounds
     of other pivots before it, which only make it smaller. agreeing:
     minima, of all, that texts must share before their sets are compared; at a
-    similarity of 0.8 fewer are shared by two pairs in ten million.
+    similarity of 0.8 fewer are shared with a probability of 2e-07.
 
     At a similarity of 0.8 fingerprints of 64 bits differ in 6 to 18 bits, beyond
     what Golay keys of that length can find. So the Golay links (two bits) are
