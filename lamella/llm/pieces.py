@@ -31,10 +31,12 @@ from lamella.llm.common import as_texts, by_size, splitmix64
 #: The character that stands for a space in pieces, and what stands for it in texts that have it.
 MARK, FOREIGN = 0x2581, 0x10FFFE
 PARTS = re.compile(r"\n| *[^ \n]+| +")
-#: Characters that a slice takes; a longer text is a slice of its own.
-SLICE = 1 << 20
+#: Characters that a slice takes; a longer text is a slice of its own. A slice's arrays take some 500 bytes a character.
+SLICE = 1 << 17
 #: Arcs of lattices that a task keeps for the parts of later slices.
-KEPT = 4_000_000
+KEPT = 1_000_000
+#: Rows whose texts a task holds as strings at once.
+ROWS = 512
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -257,7 +259,7 @@ class Sampler:
 
         def run(batches):
             lattice = Lattice(sent.value, theta, seed)
-            for batch in batches:
+            for batch in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
                 texts = as_texts(batch.column(1))
                 for a, b in by_size(texts, 4 * SLICE):
                     own = texts[a:b]

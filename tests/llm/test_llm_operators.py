@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -568,3 +570,15 @@ def test_control_strings_and_ties(spark):
     assert got[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert got[None].loss_sha256 == hashlib.sha256("é\\|<|".encode()).hexdigest()
     assert chat.digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_sampler_memory_stays_small_on_many_distinct_words():
+    lattice = pieces.Lattice(pieces.Vocabulary.load(MODEL))
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(250)) for _ in range(750)]
+    tracemalloc.start()
+    found = lattice.encode([str(i) for i in range(len(texts))], texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [lattice.decode(x) for x in found] == texts
+    assert peak < 100e6
