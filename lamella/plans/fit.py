@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators.blocks import block_sums, degree_share, reconstruction, relative_error, unit_weights
 from lamella.operators.edges import layers_of
+from lamella.operators.incidence import Incidence
 from lamella.operators.metrics import weight_change
 from lamella.operators.sweep import coefficients, moved_weights, moves
 from lamella.plans import exact
@@ -108,14 +109,15 @@ def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, par
     return best
 
 
-def fit_parallel(edges: DataFrame, nodes: DataFrame, partition: DataFrame, r: int, rounds: int = 10, delta: float = 1e-5, shared: bool = False, seconds: float | None = None) -> FitResult:
+def fit_parallel(edges: DataFrame | Incidence, nodes: DataFrame, partition: DataFrame, r: int, rounds: int = 10, delta: float = 1e-5, shared: bool = False, seconds: float | None = None) -> FitResult:
     """Parallel sweeps from a partition: all nodes move at once given the last state; the best state is kept.
 
     Edges stay where they are, in a checkpoint by source; only sums by node and
     community are shuffled in a sweep.
     """
-    spark = edges.sparkSession
-    edges = cut(edges.select("layer", "src", "dst", "weight"))
+    spark = nodes.sparkSession
+    if not isinstance(edges, Incidence):
+        edges = cut(edges.select("layer", "src", "dst", "weight"))
     layers = layers_of(edges)
     w = cut(unit_weights(degree_share(edges, partition, nodes, layers)))
     s = cut(block_sums(edges, w))
