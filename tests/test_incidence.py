@@ -8,6 +8,7 @@ from lamella.sources import graphs
 DATA = "/root/testdata/sf0.001"
 NAMES = """
 elbows
+recon_error
 """
 
 
