@@ -9,6 +9,7 @@ DATA = "/root/testdata/sf0.001"
 NAMES = """
 elbows
 recon_error
+quartic
 """
 
 
