@@ -10,6 +10,7 @@ NAMES = """
 elbows
 recon_error
 quartic
+sweep_error
 """
 
 
