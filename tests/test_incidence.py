@@ -11,6 +11,7 @@ elbows
 recon_error
 quartic
 sweep_error
+snmtf_iter1
 """
 
 
