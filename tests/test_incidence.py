@@ -12,6 +12,7 @@ recon_error
 quartic
 sweep_error
 snmtf_iter1
+snmf_step
 """
 
 
