@@ -13,6 +13,7 @@ quartic
 sweep_error
 snmtf_iter1
 snmf_step
+transitivity
 """
 
 
