@@ -14,6 +14,7 @@ sweep_error
 snmtf_iter1
 snmf_step
 transitivity
+bias_adjusted_square
 """
 
 
