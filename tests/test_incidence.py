@@ -15,6 +15,7 @@ snmtf_iter1
 snmf_step
 transitivity
 bias_adjusted_square
+components
 """
 
 
