@@ -16,6 +16,7 @@ snmf_step
 transitivity
 bias_adjusted_square
 components
+layer_table
 """
 
 
