@@ -17,6 +17,7 @@ transitivity
 bias_adjusted_square
 components
 layer_table
+column_means
 """
 
 
