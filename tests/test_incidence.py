@@ -18,6 +18,7 @@ bias_adjusted_square
 components
 layer_table
 column_means
+layer_similarity
 """
 
 
