@@ -19,6 +19,7 @@ components
 layer_table
 column_means
 layer_similarity
+daily_layers
 """
 
 
