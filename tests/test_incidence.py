@@ -20,6 +20,7 @@ layer_table
 column_means
 layer_similarity
 daily_layers
+sspa_pick1
 """
 
 
