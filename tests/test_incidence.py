@@ -21,6 +21,7 @@ column_means
 layer_similarity
 daily_layers
 sspa_pick1
+mean_similarity
 """
 
 
