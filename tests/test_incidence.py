@@ -22,6 +22,7 @@ layer_similarity
 daily_layers
 sspa_pick1
 mean_similarity
+fit_parallel
 """
 
 
