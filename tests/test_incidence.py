@@ -23,6 +23,7 @@ daily_layers
 sspa_pick1
 mean_similarity
 fit_parallel
+sweep_coeffs
 """
 
 
