@@ -24,6 +24,7 @@ sspa_pick1
 mean_similarity
 fit_parallel
 sweep_coeffs
+sweep_assign
 """
 
 
