@@ -25,6 +25,7 @@ mean_similarity
 fit_parallel
 sweep_coeffs
 sweep_assign
+sweep_assign_shared
 """
 
 
