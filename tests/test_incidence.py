@@ -26,6 +26,7 @@ fit_parallel
 sweep_coeffs
 sweep_assign
 sweep_assign_shared
+norm_adj_tau
 """
 
 
