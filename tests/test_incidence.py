@@ -27,6 +27,7 @@ sweep_coeffs
 sweep_assign
 sweep_assign_shared
 norm_adj_tau
+expected_adjacency
 """
 
 
