@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import as_bytes, cut, cut_narrow, map_batches, rows_with_key, splitmix64
+from lamella.llm.common import as_bytes, cut, cut_narrow, map_batches, release, rows_with_key, splitmix64
 from lamella.llm.components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -39,6 +39,8 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints that decode to one key and are still joined with each other.
 JOINED = 256
+#: Buckets of shingles whose parities are kept of each text.
+PARITY = 1024
 #: Most frequent shingles that are told to every task, to put them last.
 COMMON = 1 << 20
 
@@ -114,6 +116,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(hashes)))
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each bucket: whether an odd number of the distinct shingles falls into it."""
+    return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -205,7 +212,11 @@ class NearCopies:
     at; those of larger bands meet in an exact join (:meth:`crowded`). more: rounds
     of other pivots before it, which only make it smaller. agreeing:
     minima, of all, that texts must share before their sets are compared; at a
-    similarity of 0.8 fewer are shared with a probability of 2e-07.
+    similarity of 0.8 fewer are shared with a probability of 2e-07. PARITY: a bit
+    tells whether a bucket of shingles holds an odd number of them. Each bit in which
+    two texts differ stands for a shingle that only one of them has, so pairs that
+    differ in more bits than a link allows go without a look at their sets, and none
+    that is alike does.
 
     At a similarity of 0.8 fingerprints of 64 bits differ in 6 to 18 bits, beyond
     what Golay keys of that length can find. So the Golay links (two bits) are
@@ -249,7 +260,7 @@ class NearCopies:
         return key.view(np.int64)
 
     def sketches(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, fp, n, keys, sig): sig has sixteen bits of each minimum."""
+        """(doc_id, fp, n, keys, sig): sig has sixteen bits of each minimum, then the parities."""
 
         def run(batch):
             ids, prints, sizes, keys, signs = batch.column(0), [], [], [], []
@@ -260,7 +271,7 @@ class NearCopies:
                 prints.append(signed(fingerprint(hashes)))
                 sizes.append(len(own))
                 keys.append(self.keys(least))
-                signs.append((least & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                signs.append((least & np.uint64(0xFFFF)).astype("<u2").tobytes() + parities(own))
             yield pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "fp", "n", "keys", "sig"])
 
         return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n long, keys array<long>, sig binary")
@@ -296,6 +307,7 @@ class NearCopies:
 
     def groups(self, docs: DataFrame) -> DataFrame:
         """(doc_id, component_id) of the documents that are near copies of another one; component_id is the smallest id of the group. Ids must be distinct and not null."""
+        release(docs.sparkSession)
         sketches = cut(self.sketches(docs))
         banded = sketches.select("doc_id", "n", F.explode("keys").alias("key"))
         bands = cut_narrow(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id", "n")).alias("pivot")).filter("m > 1"))
@@ -332,6 +344,7 @@ class NearCopies:
 
     def grown(self, found: DataFrame, docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
         """The groups (node, root) after those of the pairs (a, b) that are alike have joined theirs."""
+        release(docs.sparkSession)
         pairs = cut_narrow(pairs)
         if not pairs.limit(1).count():
             return found
@@ -401,12 +414,16 @@ class NearCopies:
 
         def agree(batch):
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for i in (2, 3))
-            kept = pa.array((x == y).sum(axis=1) >= self.agreeing)
+            m = self.bands * self.rows
+            kept = (x[:, :m] == y[:, :m]).sum(axis=1) >= self.agreeing
+            least = np.bitwise_count(x[:, m:] ^ y[:, m:]).sum(axis=1, dtype=np.int64)  # shingles that one of the two has, or more
+            both = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            kept = pa.array(kept & (least <= (1 - self.similarity) / (1 + self.similarity) * both + 1e-6))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        of = lambda i: sketches.select(F.col("doc_id").alias(i), F.col("sig").alias("s" + i))
-        signed_pairs = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
+        of = lambda i: sketches.select(F.col("doc_id").alias(i), F.col("sig").alias("s" + i), F.col("n").alias("n" + i))
+        signed_pairs = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
         likely = cut_narrow(map_batches(signed_pairs, agree, f"a {kind}, b {kind}"))
         taken = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
 

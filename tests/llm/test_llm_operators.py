@@ -179,6 +179,25 @@ def test_near_copies_under_a_common_passage(spark):
     assert kept == set(range(len(texts))) - {b for _, b in alike}
 
 
+def test_unlike_pairs_go_by_their_parities(spark, monkeypatch):
+    """Texts that share most minima but less than a link asks for never ask for sets, and alike ones still do."""
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(1 << 40, size=n)]
+    passage = fresh(120)
+    texts = [" ".join(passage + fresh(30)) for _ in range(30)]
+    texts += [" ".join([*t.split()[:-2], *fresh(2)]) for t in texts[:5]]
+    near = simhash.NearCopies()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    asked, chosen = [], simhash.NearCopies.chosen
+    monkeypatch.setattr(simhash.NearCopies, "chosen", lambda self, docs, ids, *rest: (asked.append(ids.count()), chosen(self, docs, ids, *rest))[1])
+    pairs = spark.createDataFrame([(b, a) for a, b in itertools.combinations(range(len(texts)), 2)], "a long, b long")
+    alike = near.verified(docs, near.sketches(docs), pairs).collect()
+    assert {(r.a, r.b) for r in alike} == {(30 + i, i) for i in range(5)} and asked == [2 * 5]
+    sets = [near.shingles(t.encode()) for t in texts]
+    odd = [np.frombuffer(simhash.parities(x), dtype=np.uint8) for x in sets]
+    assert all(np.bitwise_count(odd[i] ^ odd[j]).sum() <= len(np.setxor1d(sets[i], sets[j])) for i, j in itertools.combinations(range(len(texts)), 2))
+
+
 def test_mixing_meets_its_targets(spark, docs):
     rng = np.random.default_rng(3)
     every = [(i, sentence(rng, int(rng.integers(5, 60))), lang, source, 0, topic) for i, (lang, source, topic) in enumerate(itertools.product(["en", "de"], ["a", "b", "c"], ["t", "u"] * 4))]
