@@ -198,6 +198,25 @@ def test_unlike_pairs_go_by_their_parities(spark, monkeypatch):
     assert all(np.bitwise_count(odd[i] ^ odd[j]).sum() <= len(np.setxor1d(sets[i], sets[j])) for i, j in itertools.combinations(range(len(texts)), 2))
 
 
+def test_mixing_by_the_subjects_of_whole_texts(spark):
+    """Topics follow what texts say, not their first line; their targets hold within each language and leave enough to draw."""
+    rng = np.random.default_rng(8)
+    words = {s: [f"{s}{''.join(rng.choice(list('abcdefgh'), 6))}" for _ in range(30)] for s in ("sea", "tax", "mehl", "wald")}
+    rows = []
+    for i in range(400):
+        lang, subject = [("en", "sea"), ("en", "sea"), ("en", "tax"), ("de", "mehl"), ("de", "wald")][i % 5]
+        rows.append((i, f"line {i}\n" + " ".join(rng.choice(words[subject], 12)), lang, f"s{i % 2}", 0))
+    said = {r[0]: [("en", "sea"), ("en", "sea"), ("en", "tax"), ("de", "mehl"), ("de", "wald")][r[0] % 5][1] for r in rows}
+    drawn = mixing.Mixture(rounds=30).draws(spark.createDataFrame(rows, DOCS)).toPandas()
+    subjects = drawn.assign(said=drawn.doc_id.map(said)).groupby(["lang", "topic"]).said.agg(lambda x: x.value_counts(normalize=True).iloc[0])
+    assert len(drawn) == 400 and (subjects > 0.9).all() and drawn.sampled.mean() > 0.5
+    drawn["raked"] = drawn.tokens * drawn.weight
+    flat = drawn.groupby(["lang", "topic"]).tokens.sum() ** 0.7
+    share = drawn.groupby(["lang", "topic"]).raked.sum()
+    for lang, n in (drawn.groupby("lang").tokens.sum() ** 0.7).pipe(lambda x: x / x.sum()).items():
+        assert (share[lang] / share.sum()).to_numpy() == pytest.approx((n * flat[lang] / flat[lang].sum()).to_numpy(), abs=1e-5)
+
+
 def test_mixing_meets_its_targets(spark, docs):
     rng = np.random.default_rng(3)
     every = [(i, sentence(rng, int(rng.integers(5, 60))), lang, source, 0, topic) for i, (lang, source, topic) in enumerate(itertools.product(["en", "de"], ["a", "b", "c"], ["t", "u"] * 4))]
