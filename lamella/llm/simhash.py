@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import as_bytes, cut, cut_narrow, map_batches, release, rows_with_key, splitmix64
+from lamella.llm.common import HELD_ROWS, as_bytes, cut, cut_narrow, map_batches, narrowed, release, rows_with_key, splitmix64, told
 from lamella.llm.components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -314,7 +314,7 @@ class NearCopies:
         stars = self.stars(sketches, bands).unionAll(self.golay(sketches)).distinct()
         turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))  # of a text's few pivots
         stars = cut_narrow(stars.withColumn("turn", turn))
-        found = cut_narrow(components(self.verified(docs, sketches, stars.filter("turn = 1"))))
+        found = cut_narrow(components(self.verified(docs, sketches, cut_narrow(stars.filter("turn = 1"))), HELD_ROWS))
         for some in ("turn between 2 and 4", "turn > 4"):
             found = self.grown(found, docs, sketches, self.apart(stars.filter(some), found))
         banded = banded.join(bands.select("key", "m"), "key")
@@ -338,7 +338,7 @@ class NearCopies:
 
     def mixed(self, banded: DataFrame, found: DataFrame) -> DataFrame:
         """The rows of bands whose texts are in different groups, with their root."""
-        rooted = banded.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        rooted = banded.join(told(found).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         kept = cut_narrow(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"))
         return cut_narrow(rooted.join(kept, "key"))
 
@@ -351,10 +351,11 @@ class NearCopies:
         alike = self.verified(docs, sketches, pairs)
         if not alike.limit(1).count():
             return found
-        return cut_narrow(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionAll(alike)))
+        return cut_narrow(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionAll(alike), HELD_ROWS))
 
     def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """The pairs whose texts are in different groups."""
+        found = told(found)
         of = lambda name: found.select(F.col("node").alias(name), F.col("root").alias("r" + name))
         both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
@@ -399,7 +400,7 @@ class NearCopies:
 
         kind = docs.schema["doc_id"].dataType.simpleString()
         rows = self.chosen(docs, hot, prefixes, f"doc_id {kind}, n long, both long, shingle long")
-        rows = cut(rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+        rows = cut(rows.join(told(found).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
         mixed = cut_narrow(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle"))
         rows = cut(rows.join(mixed, "shingle"))
         of_size = lambda n: F.floor(F.log(n) / float(np.log(1.02)))
@@ -423,7 +424,9 @@ class NearCopies:
 
         kind = docs.schema["doc_id"].dataType.simpleString()
         of = lambda i: sketches.select(F.col("doc_id").alias(i), F.col("sig").alias("s" + i), F.col("n").alias("n" + i))
-        signed_pairs = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+        few = told(pairs := pairs.select("a", "b"))
+        half = of("a").join(few, "a")
+        signed_pairs = of("b").join(half if few is pairs else F.broadcast(half), "b").select("a", "b", "sa", "sb", "na", "nb")
         likely = cut_narrow(map_batches(signed_pairs, agree, f"a {kind}, b {kind}"))
         taken = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
@@ -432,7 +435,7 @@ class NearCopies:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "own"])
 
         sets = cut(self.chosen(docs, taken, run, f"doc_id {kind}, own array<long>"))
-        both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("oa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("ob")), "b")
+        both = told(likely).join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("oa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("ob")), "b")
         shared = F.size(F.array_intersect("oa", "ob"))
         return cut_narrow(both.filter(shared >= self.similarity * (F.size("oa") + F.size("ob") - shared)).select("a", "b"))
 
@@ -444,7 +447,8 @@ BLOOM_BITS = 26
 def bloom(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of the column doc_id, two places for each id: at most 2**BLOOM_BITS / 64 words come to the driver."""
     places = ids.select(F.xxhash64("doc_id").alias("h")).select(F.explode(F.array(F.col("h").bitwiseAND((1 << BLOOM_BITS) - 1), F.shiftright("h", 32).bitwiseAND((1 << BLOOM_BITS) - 1))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    words = narrowed(words).toPandas()
     out = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.view(np.uint64)

@@ -620,3 +620,21 @@ def test_sampler_memory_stays_small_on_many_distinct_words():
     tracemalloc.stop()
     assert [lattice.decode(x) for x in found] == texts
     assert peak < 100e6
+
+
+def test_components_of_few_edges(spark):
+    from lamella.llm.components import components
+
+    rng = np.random.default_rng(2)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (25, 2))] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = sorted(components(edges).collect())
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        found = components(edges, held=len(pairs))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found.collect()) == want and found.dtypes == [("node", "bigint"), ("root", "bigint")]
+    assert len(jobs) <= 8  # no rounds of joins
+    assert sorted(components(edges, held=3).collect()) == want
