@@ -14,6 +14,10 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
 
 
+#: Pairs of nodes that a task draws at least.
+PAIRS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Planted:
     """A scenario: n nodes in K communities of equal size and some layers.
@@ -69,7 +73,8 @@ def planted(spark: SparkSession, s: Planted, nodes: DataFrame | None = None) ->
     mean = at.groupBy("layer", "c").agg(F.avg("t").alias("m"))
     at = at.join(mean, ["layer", "c"]).select("layer", "node", "c", (F.col("t") / F.col("m")).alias("theta"))
     a, b = (at.select("layer", F.col("node").alias(x), F.col("c").alias(y), F.col("theta").alias(z)) for x, y, z in (("src", "p", "ts"), ("dst", "q", "td")))
-    pairs = a.join(b, "layer").filter("src < dst")  # the sampler draws every pair
+    tasks = min(4 * spark.sparkContext.defaultParallelism, 1 + s.n * s.n * s.layers // PAIRS)
+    pairs = a.repartition(tasks).join(F.broadcast(b), "layer").filter("src < dst")  # the sampler draws every pair
     same = F.col("p") == F.col("q")
     if s.blocks == "random":
         drawn = uniform(F.lit(s.seed), F.lit("p"), F.col("layer"))
@@ -86,6 +91,6 @@ def planted(spark: SparkSession, s: Planted, nodes: DataFrame | None = None) ->
     total = x.join(y, "layer").withColumn("b", b_pq).groupBy("layer").agg(F.sum(F.col("b") * F.col("tp") * F.col("tq")).alias("total"))
     chance = raw_p.join(F.broadcast(total), "layer").withColumn("chance", F.least(F.lit(1.0), F.col("w") * s.degree * s.n / F.col("total")))
     hit = chance.filter(uniform(F.lit(s.seed), F.col("layer"), F.col("src"), F.col("dst")) < F.col("chance"))
-    half_edges = hit.select(F.col("layer").cast("string").alias("layer"), "src", "dst", F.lit(1.0).alias("weight"))
-    back = half_edges.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return half_edges.unionAll(back), nodes
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")  # drawn once for both directions
+    edges = hit.select(F.col("layer").cast("string").alias("layer"), both).select("layer", "e.src", "e.dst", F.lit(1.0).alias("weight"))
+    return edges, nodes

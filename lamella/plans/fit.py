@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.functions.sparse import Rows, leading_pairs
 from lamella.operators.blocks import block_sums, degree_share, reconstruction, relative_error, unit_weights
 from lamella.operators.edges import layers_of
 from lamella.operators.incidence import Incidence
@@ -18,8 +20,8 @@ from lamella.operators.sweep import coefficients, moved_weights, moves
 from lamella.plans import exact
 from lamella.plans.lineage import cut
 
-#: Edges that one task of the exact solver may hold.
-TASK_EDGES = 20_000_000
+#: Edges that one task of the exact solver may hold: 4 bytes each, 8 more where the weights of a layer differ.
+TASK_EDGES = 100_000_000
 
 
 @dataclass
@@ -34,36 +36,50 @@ class FitResult:
 
 
 def fit_exact(edges: DataFrame, nodes: DataFrame, options: exact.Options, partition: DataFrame | None = None) -> FitResult:
-    """Sequential sweeps; every restart is a task that holds the edges. Larger graphs need :func:`fit_parallel`."""
+    """Sequential sweeps; every restart is a task that holds the edges, sent through the driver. Larger graphs need :func:`fit_parallel`."""
     spark = edges.sparkSession
     layers = layers_of(edges)
     if (m := edges.count()) > TASK_EDGES:
         raise ValueError(f"{m} edges do not fit a task; use the parallel solver")
-    given = nodes.select("node").join(partition, "node", "left").select("node", "c") if partition is not None else nodes.select("node", F.lit(None).cast("int").alias("c"))
-    tagged = edges.select("layer", "src", "dst", "weight").unionByName(given.select(F.lit(None).cast("string").alias("layer"), F.col("node").alias("src"), F.col("c").cast("long").alias("dst"), F.lit(0.0).alias("weight")))
-    copies = tagged.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(options.trials - 1))))
-    use = partition is not None
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows["trial"].iloc[0])
-        own = rows[rows["layer"].isna()].sort_values("src")
-        names = own["src"].to_numpy()
-        inner = rows[rows["layer"].notna()].sort_values(["src", "dst"])
-        parts = []
-        for layer in layers:
-            x = inner[inner["layer"] == layer]
-            parts.append((np.searchsorted(names, x["src"].to_numpy()), np.searchsorted(names, x["dst"].to_numpy()), x["weight"].to_numpy(float)))
-        f = exact.trial(exact.Layers(len(names), parts), options, number, own["dst"].to_numpy(np.int64) if use else None)
+    table = (nodes.select("node").join(partition, "node", "left").select("node", "c") if partition is not None else nodes.select("node")).orderBy("node").toArrow()
+    names = table.column("node").to_numpy()
+    given = table.column("c").to_numpy().astype(np.int64) if partition is not None else None
+    parts = [rows_of(edges.filter(F.col("layer") == layer), names) for layer in layers]
+    sent = spark.sparkContext.broadcast(parts)
+
+    def graph() -> exact.Layers:
+        return exact.Layers(len(names), [Rows(start, columns, np.broadcast_to(x, len(columns))) for start, columns, x in sent.value])
+
+    def vectors(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                start, columns, x = sent.value[k]
+                u = leading_pairs(Rows(start, columns, np.broadcast_to(x, len(columns))), options.r)[1]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.ascontiguousarray(u).tobytes()])], ["k", "u"])
+
+    leading = {}
+    if given is None and options.init != "random" and layers:  # alike in all restarts
+        for x in spark.range(0, len(layers), 1, len(layers)).mapInArrow(vectors, "k long, u binary").collect():
+            leading[x.k, options.r] = np.frombuffer(x.u).reshape(len(names), -1)
+
+    def solve(batches):
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                g = graph()
+                g.leading |= leading
+                yield pa.RecordBatch.from_pandas(result(number, exact.trial(g, options, number, given)), preserve_index=False)
+
+    def result(number: int, f: exact.Fit) -> pd.DataFrame:
         out = [("assign", None, int(a), int(b), 0, 0.0, 0.0, 0.0) for a, b in zip(names, f.v, strict=True)]
         out += [("weight", layer, int(a), 0, 0, float(f.w[k, i]), 0.0, 0.0) for k, layer in enumerate(layers) for i, a in enumerate(names)]
         out += [("block", layer, 0, p, q, float(f.s[k, p, q]), 0.0, 0.0) for k, layer in enumerate(layers) for p in range(options.r) for q in range(options.r)]
         out += [("history", None, i, 0, 0, error, change, moved) for i, _, error, change, moved in f.history]
         out.append(("error", None, 0, 0, 0, f.error, 0.0, 0.0))
-        frame = pd.DataFrame(out, columns=["kind", "layer", "node", "p", "q", "x", "y", "z"])
-        frame.insert(0, "trial", number)
+        frame = pd.DataFrame(out, columns=["kind", "layer", "node", "p", "q", "x", "y", "z"]).astype({"p": "int32", "q": "int32"})
+        frame.insert(0, "trial", np.full(len(frame), number, dtype=np.int32))
         return frame
 
-    found = cut(copies.groupBy("trial").applyInPandas(solve, "trial int, kind string, layer string, node long, p int, q int, x double, y double, z double"))
+    found = cut(spark.range(0, options.trials, 1, options.trials).mapInArrow(solve, "trial int, kind string, layer string, node long, p int, q int, x double, y double, z double"))
     best = found.filter("kind = 'error'").agg(F.min(F.struct(F.col("x").alias("error"), "trial")).alias("b")).first().b
     own = found.filter(F.col("trial") == best.trial)
     return FitResult(
@@ -75,6 +91,25 @@ def fit_exact(edges: DataFrame, nodes: DataFrame, options: exact.Options, partit
     )
 
 
+def rows_of(edges: DataFrame, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(start, columns, weights) of one layer, nodes by their number among ``names``; one weight if all are alike."""
+    n, sent = len(names), edges.sparkSession.sparkContext.broadcast(names)
+    least, most = edges.agg(F.min("weight"), F.max("weight")).first()
+
+    def cells(batches):
+        for batch in batches:
+            i, j = (np.searchsorted(sent.value, batch.column(x).to_numpy()) for x in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(i * n + j), *batch.columns[2:]], ["cell", *batch.schema.names[2:]])
+
+    weights = [] if least == most else ["weight"]
+    found = edges.select("src", "dst", *weights).mapInArrow(cells, "cell long" + ", weight double" * len(weights)).toArrow()
+    cell = found.column("cell").to_numpy()
+    order = np.argsort(cell, kind="stable") if weights else None
+    cell = cell[order] if weights else np.sort(cell)
+    x = found.column("weight").to_numpy()[order] if weights else float(most)
+    return np.searchsorted(cell, np.arange(n + 1) * n), (cell % n).astype(np.int32), x
+
+
 def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, partition: DataFrame | None = None) -> FitResult:
     """The best of some fits of :func:`fit_parallel`, for graphs that no task holds.
 
