@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.scalars import residual, safe_div
-from lamella.operators.edges import degrees, norms
+from lamella.operators.edges import degrees, norms, without_loops
 from lamella.operators.incidence import Incidence
+from lamella.operators.packed import Packed
 
 
-def community_mass(edges: DataFrame | Incidence, part: DataFrame) -> DataFrame:
+def community_mass(edges: DataFrame | Incidence | Packed, part: DataFrame) -> DataFrame:
     """(layer, c, mass): degrees summed by community."""
     return degrees(edges).join(part, "node").groupBy("layer", "c").agg(F.sum("deg").alias("mass"))
 
 
-def degree_share(edges: DataFrame | Incidence, part: DataFrame, nodes: DataFrame, layers: list[str]) -> DataFrame:
+def degree_share(edges: DataFrame | Incidence | Packed, part: DataFrame, nodes: DataFrame, layers: list[str]) -> DataFrame:
     """(layer, node, c, w): each degree as a share of its community's; 0 where that is 0."""
     deg = degrees(edges, nodes, layers).join(part, "node")
     total = community_mass(edges, part)
@@ -28,15 +29,17 @@ def unit_weights(weights: DataFrame) -> DataFrame:
     return weights.join(F.broadcast(norm), ["layer", "c"]).select("layer", "node", "c", safe_div(F.col("w"), F.col("norm")).alias("w"))  # layers * communities rows
 
 
-def gathered(edges: DataFrame | Incidence, weights: DataFrame) -> DataFrame:
-    """(layer, node, p, g): the neighbours of each node, summed by their community."""
-    if isinstance(edges, Incidence):
-        return edges.times(weights.select("layer", "node", F.col("c").alias("k"), F.col("w").alias("value"))).select("layer", "node", F.col("k").alias("p"), F.col("value").alias("g"))
+def gathered(edges: DataFrame | Incidence | Packed, weights: DataFrame, loops: bool = True) -> DataFrame:
+    """(layer, node, p, g): the neighbours of each node, summed by their community. loops: a node with a loop is its own neighbour."""
+    if not isinstance(edges, DataFrame):
+        own = weights.select("layer", "node", F.col("c").alias("k"), F.col("w").alias("value"))
+        return (edges.times(own) if isinstance(edges, Incidence) else edges.times(own, loops)).select("layer", "node", F.col("k").alias("p"), F.col("value").alias("g"))
+    edges = edges if loops else without_loops(edges)
     near = weights.select("layer", F.col("node").alias("dst"), F.col("c").alias("p"), "w")
     return edges.join(near, ["layer", "dst"]).groupBy("layer", F.col("src").alias("node"), "p").agg(F.sum(F.col("weight") * F.col("w")).alias("g"))
 
 
-def block_sums(edges: DataFrame | Incidence, weights: DataFrame) -> DataFrame:
+def block_sums(edges: DataFrame | Incidence | Packed, weights: DataFrame) -> DataFrame:
     """(layer, p, q, s): sum of w_i w_j x_ij between communities, Z'XZ."""
     a = weights.select("layer", "node", F.col("c").alias("p"), F.col("w").alias("wp"))
     # Summed by source node and community first, the second join has a row for each node and community, not for each edge.
@@ -82,7 +85,7 @@ def normalized_corrections(theta: DataFrame, means: DataFrame) -> DataFrame:
     return theta.join(diagonal, ["layer", "c"], "left").select("layer", "node", "c", (F.col("theta") * F.sqrt(F.coalesce("b", F.lit(0.0)))).alias("theta"))
 
 
-def reconstruction(edges: DataFrame | Incidence, blocks: DataFrame) -> DataFrame:
+def reconstruction(edges: DataFrame | Incidence | Packed, blocks: DataFrame) -> DataFrame:
     """(layer, norm2, s2, error): how far Z S Z' is from each layer, without forming it."""
     s2 = blocks.groupBy("layer").agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
     both = norms(edges).join(s2, "layer", "left").withColumn("s2", F.coalesce("s2", F.lit(0.0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.scalars import safe_div
 from lamella.operators.incidence import Incidence
+from lamella.operators.packed import Packed
 
 
 def symmetrized(half: DataFrame, how: str = "sum") -> DataFrame:
@@ -40,9 +41,9 @@ def clamped(edges: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.greatest("weight", F.lit(0.0))).filter("weight > 0")
 
 
-def layers_of(edges: DataFrame | Incidence) -> list[str]:
+def layers_of(edges: DataFrame | Incidence | Packed) -> list[str]:
     """The layers in order: one row for each comes to the driver."""
-    if isinstance(edges, Incidence):
+    if not isinstance(edges, DataFrame):
         return edges.layers
     return [r.layer for r in edges.select("layer").distinct().orderBy("layer").collect()]
 
@@ -52,17 +53,17 @@ def everywhere(nodes: DataFrame, layers: list[str]) -> DataFrame:
     return nodes.select(F.explode(F.array(*map(F.lit, layers))).alias("layer"), "node") if layers else nodes.select(F.lit(None).cast("string").alias("layer"), "node").limit(0)
 
 
-def degrees(edges: DataFrame | Incidence, nodes: DataFrame | None = None, layers: list[str] | None = None) -> DataFrame:
+def degrees(edges: DataFrame | Incidence | Packed, nodes: DataFrame | None = None, layers: list[str] | None = None) -> DataFrame:
     """(layer, node, deg): row sums; with ``nodes`` also those without edges, as 0."""
-    own = edges.degrees() if isinstance(edges, Incidence) else edges.groupBy("layer", F.col("src").alias("node")).agg(F.sum("weight").alias("deg"))
+    own = edges.degrees() if not isinstance(edges, DataFrame) else edges.groupBy("layer", F.col("src").alias("node")).agg(F.sum("weight").alias("deg"))
     if nodes is None:
         return own
     return everywhere(nodes, layers if layers is not None else layers_of(edges)).join(own, ["layer", "node"], "left").withColumn("deg", F.coalesce("deg", F.lit(0.0)))
 
 
-def norms(edges: DataFrame | Incidence) -> DataFrame:
+def norms(edges: DataFrame | Incidence | Packed) -> DataFrame:
     """(layer, norm2): squared Frobenius norms."""
-    if isinstance(edges, Incidence):
+    if not isinstance(edges, DataFrame):
         return edges.norms()
     return edges.groupBy("layer").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lamella.functions.scalars import quartic_minimum
 from lamella.operators.blocks import gathered
-from lamella.operators.edges import degrees, without_loops
+from lamella.operators.edges import degrees
 from lamella.operators.incidence import Incidence
+from lamella.operators.packed import Packed
 
 
-def coefficients(edges: DataFrame | Incidence, weights: DataFrame, blocks: DataFrame, r: int, shared: bool = False) -> DataFrame:
+def coefficients(edges: DataFrame | Incidence | Packed, weights: DataFrame, blocks: DataFrame, r: int, shared: bool = False) -> DataFrame:
     """(layer, node, k, a4, c1, c0): the quartic of each node with edges, for each community k.
 
     Neighbours are summed by their community before they meet the interactions,
@@ -25,13 +26,13 @@ def coefficients(edges: DataFrame | Incidence, weights: DataFrame, blocks: DataF
     norm = weights.groupBy("layer", F.col("c").alias("p")).agg(F.sum(F.col("w") * F.col("w")).alias("n2"))
     total = norm.join(s, ["layer", "p"]).groupBy("layer", F.col("q").alias("k")).agg(F.sum(F.col("n2") * F.col("s") * F.col("s")).alias("total"))
     diagonal = s.filter("p = q").select("layer", F.col("p").alias("k"), F.col("s").alias("skk"))
-    pull = gathered(edges if isinstance(edges, Incidence) else without_loops(edges), weights).join(s, ["layer", "p"]).groupBy("layer", "node", F.col("q").alias("k")).agg((-4 * F.sum(F.col("g") * F.col("s"))).alias("c0"))
+    pull = gathered(edges, weights, loops=False).join(s, ["layer", "p"]).groupBy("layer", "node", F.col("q").alias("k")).agg((-4 * F.sum(F.col("g") * F.col("s"))).alias("c0"))
     live = degrees(edges).filter("deg <> 0").select("layer", "node")
     state = live.join(weights, ["layer", "node"])
     if isinstance(edges, Incidence):
         state = state.withColumn("loop", F.lit(0.0))
     else:
-        loops = edges.filter("src = dst").groupBy("layer", F.col("src").alias("node")).agg(F.sum("weight").alias("loop"))
+        loops = edges.loops() if isinstance(edges, Packed) else edges.filter("src = dst").groupBy("layer", F.col("src").alias("node")).agg(F.sum("weight").alias("loop"))
         state = state.join(loops, ["layer", "node"], "left").withColumn("loop", F.coalesce("loop", F.lit(0.0)))
     own = state.join(s.withColumnRenamed("q", "k").withColumnRenamed("p", "c"), ["layer", "c"])
     full = own.join(F.broadcast(total), ["layer", "k"]).join(F.broadcast(diagonal), ["layer", "k"]).join(pull, ["layer", "node", "k"], "left")

@@ -15,7 +15,9 @@ from lamella.functions.sparse import Rows, leading_pairs
 from lamella.operators.blocks import block_sums, degree_share, reconstruction, relative_error, unit_weights
 from lamella.operators.edges import layers_of
 from lamella.operators.incidence import Incidence
+from lamella.operators.linear import LOCAL_ENTRIES
 from lamella.operators.metrics import weight_change
+from lamella.operators.packed import Packed
 from lamella.operators.sweep import coefficients, moved_weights, moves
 from lamella.plans import exact
 from lamella.plans.lineage import cut
@@ -115,13 +117,19 @@ def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, par
 
     Each starts from the consensus of partitions of the layers (``random``: from
     hashed labels), or all from ``partition``; no fit begins after the time limit,
-    and none sweeps beyond it.
+    and none sweeps beyond it. Edges are packed by rows, and factors go through the
+    driver, as long as it can hold them (``LOCAL_ENTRIES`` for a layer, eight times
+    that for all).
     """
     from lamella.operators.consensus import consensus
     from lamella.plans.methods import base_partitions
 
     began, best, histories = time.monotonic(), None, []
-    edges = cut(edges.select("layer", "src", "dst", "weight"))
+    graph, rows = None, nodes.count() * (options.r + 4)
+    if rows <= LOCAL_ENTRIES:
+        graph = Packed(edges, nodes)
+    if graph is None or not graph.complete or rows * graph.l > 8 * LOCAL_ENTRIES:
+        graph = cut(edges.select("layer", "src", "dst", "weight"))
     for trial in range(1 if partition is not None else options.trials):
         left = options.seconds - (time.monotonic() - began) if options.seconds else None
         if best is not None and left is not None and left <= 0:
@@ -132,8 +140,8 @@ def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, par
         elif options.init == "random":
             start = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(options.r)).cast("int").alias("c"))
         else:
-            start = consensus(base_partitions(edges, nodes, options.r, seed), options.r, matrix_free=options.init == "co-association")
-        found = fit_parallel(edges, nodes, cut(start), options.r, options.rounds, options.delta, options.shared, left)
+            start = consensus((layer_partitions if isinstance(graph, Packed) else base_partitions)(graph, nodes, options.r, seed), options.r, matrix_free=options.init == "co-association")
+        found = fit_parallel(graph, nodes, cut(start), options.r, options.rounds, options.delta, options.shared, left)
         histories.append(found.history.withColumn("trial", F.lit(trial)))
         if best is None or found.error < best.error:
             best = found
@@ -144,14 +152,21 @@ def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, par
     return best
 
 
-def fit_parallel(edges: DataFrame | Incidence, nodes: DataFrame, partition: DataFrame, r: int, rounds: int = 10, delta: float = 1e-5, shared: bool = False, seconds: float | None = None) -> FitResult:
+def layer_partitions(graph: Packed, nodes: DataFrame, r: int, seed: int) -> DataFrame:
+    """(layer, node, c): a partition of each layer, as the exact solver starts from; its products run on the packed rows."""
+    rng = np.random.default_rng(seed)
+    parts = [pa.table({"layer": pa.array([name] * graph.n, pa.string()), "node": graph.names, "c": exact.one_layer(graph, k, r, rng)[1].astype(np.int32)}) for k, name in enumerate(graph.layers)]
+    return cut(nodes.sparkSession.createDataFrame(pa.concat_tables(parts)))
+
+
+def fit_parallel(edges: DataFrame | Incidence | Packed, nodes: DataFrame, partition: DataFrame, r: int, rounds: int = 10, delta: float = 1e-5, shared: bool = False, seconds: float | None = None) -> FitResult:
     """Parallel sweeps from a partition: all nodes move at once given the last state; the best state is kept.
 
     Edges stay where they are, in a checkpoint by source; only sums by node and
     community are shuffled in a sweep.
     """
     spark = nodes.sparkSession
-    if not isinstance(edges, Incidence):
+    if isinstance(edges, DataFrame):
         edges = cut(edges.select("layer", "src", "dst", "weight"))
     layers = layers_of(edges)
     w = cut(unit_weights(degree_share(edges, partition, nodes, layers)))

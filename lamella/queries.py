@@ -536,10 +536,14 @@ class PlantedGraph:
         users = cut(graphs.users(spark, sf_dir))
         n = users.count()
         e, nodes = generate.planted(spark, generate.Planted(n=n, k=PLANTED, layers=layers, degree=n / 5, theta="one", p=0.5, q=0.05), users)
-        self.spark, self.edges, self.truth = spark, cut(e), cut(nodes)
+        self.spark, self.drawn, self.truth = spark, e, cut(nodes)
         self.nodes = self.truth.select("node")
         self.labels = self.truth.select("node", F.col("c").alias("label"))
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut(self.drawn)
+
 
 def named(found: DataFrame) -> DataFrame:
     """(node, community): labels (node, c) by the smallest node of each community, so that their numbers do not matter."""
@@ -565,7 +569,7 @@ def fit_shared(g: PlantedGraph) -> DataFrame:
 
 def fit_restarts(g: PlantedGraph) -> DataFrame:
     """The distributed solver from consensus starts."""
-    return named(fit.fit_restarts(g.edges, g.nodes, exact.Options(r=PLANTED, trials=2, rounds=5)).assign)
+    return named(fit.fit_restarts(g.drawn, g.nodes, exact.Options(r=PLANTED, trials=2, rounds=5)).assign)
 
 
 def noisy_base(g: PlantedGraph) -> DataFrame:
