@@ -7,6 +7,7 @@ each node, to the blocks of rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,7 @@ class Packed:
         apart = listed.mapInArrow(dealt, schema).repartition(max(1, -(-n // width)), "layer", "first").sortWithinPartitions("layer", "first")
         found = cut(apart.mapInArrow(joined, schema))
         #: (layer, first, start, columns, weights): some rows of a layer from number ``first`` on.
-        self.blocks = found.filter("layer is not null")
+        self.blocks = found.filter("layer is not null").coalesce(2 * sc.defaultParallelism)
         kinds = [r.layer for r in found.select("layer").distinct().collect()]
         self.layers, self.complete = sorted(x for x in kinds if x is not None), None not in kinds
         self.n, self.l = n, len(self.layers)
@@ -155,6 +156,46 @@ class Packed:
 
         return self.mapped(run, "layer string, node long, k int, value double")
 
+    def labels(self, partition: DataFrame, r: int) -> np.ndarray | None:
+        """The labels of the nodes in order; None unless each has one, from 0 to r - 1."""
+        table = partition.select("node", "c").dropna().toArrow()
+        node, c = table.column("node").to_numpy(), table.column("c").to_numpy().astype(np.int64)
+        order = np.argsort(node)
+        return c[order] if np.array_equal(node[order], self.names) and ((c >= 0) & (c < r)).all() else None
+
+    @cached_property
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(degree, loop, norm2): degrees and loops by layer and node, squared norms by layer."""
+        n = self.n
+
+        def run(layer, first, own):
+            sums = own.times(np.ones((n, 1)))[:, 0], diagonal(first, own), np.full(own.n, sum((x * x).sum() for _, _, x in own.blocks()) / own.n)
+            yield filled(layer, first, np.column_stack(sums))
+
+        degree, loop, norm2 = np.moveaxis(self._collected(run, 3), 2, 0)
+        return degree, loop, norm2.sum(axis=1)
+
+    def gathered(self, w: np.ndarray, v: np.ndarray, r: int) -> np.ndarray:
+        """(layers, nodes, r): the weights (layers, nodes) of each node's neighbours, summed by their labels, a product for all layers."""
+        sent, n = self.spark.sparkContext.broadcast((dict(zip(self.layers, w, strict=True)), v)), self.n
+
+        def run(layer, first, own):
+            h = np.zeros((n, r))
+            h[np.arange(n), sent.value[1]] = sent.value[0][layer]
+            yield filled(layer, first, own.times(h))
+
+        out = self._collected(run, r)
+        sent.unpersist()
+        return out
+
+    def _collected(self, run: Callable[[str, int, Rows], Iterator[pa.RecordBatch]], r: int, layer: str | None = None) -> np.ndarray:
+        """(layers, nodes, r) from what ``run`` gives by :func:`filled`: r numbers for each node come to the driver."""
+        out = np.zeros((self.l, self.n, r))
+        for x in self.mapped(run, "layer string, first int, y binary", layer).collect():
+            y = np.frombuffer(x.y).reshape(-1, r)
+            out[self.layers.index(x.layer), x.first : x.first + len(y)] = y
+        return out
+
     def layer(self, k: int) -> Layer:
         return Layer(self, self.layers[k])
 
@@ -173,13 +214,9 @@ class Layer:
 
     def _filled(self, value: Callable[[Rows], np.ndarray], r: int) -> np.ndarray:
         def run(layer, first, own):
-            yield batch(first=pa.array([first], pa.int32()), y=[np.ascontiguousarray(value(own)).tobytes()])
+            yield filled(layer, first, value(own))
 
-        out = np.zeros((self.n, r))
-        for x in self.graph.mapped(run, "first int, y binary", self.name).collect():  # a row of r numbers for each node
-            y = np.frombuffer(x.y).reshape(-1, r)
-            out[x.first : x.first + len(y)] = y
-        return out
+        return self.graph._collected(run, r, self.name)[self.graph.layers.index(self.name)]
 
     def times(self, h: np.ndarray) -> np.ndarray:
         sent = self.graph.spark.sparkContext.broadcast(np.asarray(h, dtype=float))
@@ -200,6 +237,10 @@ class Layer:
         return self.times(np.eye(self.n))
 
 
+def filled(layer: str, first: int, y: np.ndarray) -> pa.RecordBatch:
+    return batch(layer=[layer], first=pa.array([first], pa.int32()), y=[np.ascontiguousarray(y, dtype=float).tobytes()])
+
+
 def diagonal(first: int, own: Rows) -> np.ndarray:
     """The loops of a block of rows."""
     out = np.zeros(own.n)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -118,7 +120,7 @@ def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, par
     Each starts from the consensus of partitions of the layers (``random``: from
     hashed labels), or all from ``partition``; no fit begins after the time limit,
     and none sweeps beyond it. Edges are packed by rows, and factors go through the
-    driver, as long as it can hold them (``LOCAL_ENTRIES`` for a layer, eight times
+    driver, as long as it can hold them (``LOCAL_ENTRIES`` for a layer, four times
     that for all).
     """
     from lamella.operators.consensus import consensus
@@ -128,7 +130,7 @@ def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, par
     graph, rows = None, nodes.count() * (options.r + 4)
     if rows <= LOCAL_ENTRIES:
         graph = Packed(edges, nodes)
-    if graph is None or not graph.complete or rows * graph.l > 8 * LOCAL_ENTRIES:
+    if graph is None or not graph.complete or rows * graph.l > 4 * LOCAL_ENTRIES:
         graph = cut(edges.select("layer", "src", "dst", "weight"))
     for trial in range(1 if partition is not None else options.trials):
         left = options.seconds - (time.monotonic() - began) if options.seconds else None
@@ -154,8 +156,14 @@ def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, par
 
 def layer_partitions(graph: Packed, nodes: DataFrame, r: int, seed: int) -> DataFrame:
     """(layer, node, c): a partition of each layer, as the exact solver starts from; its products run on the packed rows."""
-    rng = np.random.default_rng(seed)
-    parts = [pa.table({"layer": pa.array([name] * graph.n, pa.string()), "node": graph.names, "c": exact.one_layer(graph, k, r, rng)[1].astype(np.int32)}) for k, name in enumerate(graph.layers)]
+
+
+    def labels(k: int) -> pa.Table:
+        c = exact.one_layer(graph, k, r, np.random.default_rng([seed, k]))[1]
+        return pa.table({"layer": pa.array([graph.layers[k]] * graph.n, pa.string()), "node": graph.names, "c": c.astype(np.int32)})
+
+    with ThreadPoolExecutor(8) as pool:  # jobs of several layers at once
+        parts = list(pool.map(labels, range(graph.l)))
     return cut(nodes.sparkSession.createDataFrame(pa.concat_tables(parts)))
 
 
@@ -166,6 +174,8 @@ def fit_parallel(edges: DataFrame | Incidence | Packed, nodes: DataFrame, partit
     community are shuffled in a sweep.
     """
     spark = nodes.sparkSession
+    if isinstance(edges, Packed) and (v := edges.labels(partition, r)) is not None:
+        return fit_packed(edges, v, r, rounds, delta, shared, seconds)
     if isinstance(edges, DataFrame):
         edges = cut(edges.select("layer", "src", "dst", "weight"))
     layers = layers_of(edges)
@@ -190,3 +200,66 @@ def fit_parallel(edges: DataFrame | Incidence | Packed, nodes: DataFrame, partit
     error, w, s = best
     steps = spark.createDataFrame(history, "trial int, iteration int, error double, z_change double, frac_changed double")
     return FitResult(w.select("node", "c").distinct(), w.select("layer", "node", "w"), s, steps, float(error))
+
+
+def fit_packed(graph: Packed, v: np.ndarray, r: int, rounds: int, delta: float, shared: bool, seconds: float | None) -> FitResult:
+    """:func:`fit_parallel` with the state of the nodes on the driver and one product over all layers for each sweep."""
+    degree, loop, norm2 = graph.sums
+    g, at = SimpleNamespace(l=graph.l, n=graph.n, degree=degree, norm2=norm2), np.arange(graph.n)
+
+    def blocks(w: np.ndarray, v: np.ndarray, near: np.ndarray) -> np.ndarray:
+        out = np.zeros((graph.l, r, r))
+        for k in range(graph.l):
+            np.add.at(out[k], v, w[k][:, None] * near[k])
+        return out
+
+    def swept(w: np.ndarray, v: np.ndarray, s: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cost, parts, found = np.zeros((graph.n, r)), np.zeros((3, graph.n, r)), []
+        for k in range(graph.l):
+            live, own, skk = degree[k] != 0, near[k].copy(), np.diag(s[k])
+            own[at, v] -= loop[k] * w[k]
+            total = np.bincount(v, w[k] ** 2, minlength=r) @ s[k] ** 2
+            c1 = 2 * (total - (w[k][:, None] * s[k][v]) ** 2) - 2 * skk * loop[k][:, None]
+            terms = 4 * np.broadcast_to(skk**2, c1.shape), 2 * c1, -4 * own @ s[k]
+            if shared:
+                parts += [np.where(live[:, None], x, 0) for x in terms]
+            else:
+                x, f = exact.least_on_half_line(*terms)
+                cost += np.where(live[:, None], f, 0)
+                found.append(np.where(live[:, None], x, 0))
+        if shared:
+            x, cost = exact.least_on_half_line(*parts)
+            found = [x] * graph.l
+        best = np.argmin(np.round(cost, 9), axis=1)
+        best[~(degree != 0).any(axis=0)] = 0
+        return exact.normalize(np.stack([x[at, best] for x in found]), best, r), best
+
+    w = exact.normalize(exact.degree_shares(g, v, r), v, r)
+    near = graph.gathered(w, v, r)
+    s = blocks(w, v, near)
+    error = exact.relative_error(g, s)
+    best, history, began = (error, w, v, s), [], time.monotonic()
+    for i in range(rounds):
+        if seconds is not None and time.monotonic() - began > seconds:
+            break
+        w2, v2 = swept(w, v, s, near)
+        change, size = np.where(v2 == v, (w2 - w) ** 2, w2**2 + w**2).sum(), (w**2).sum()
+        moved = float((v2 != v).mean())
+        w, v, near = w2, v2, graph.gathered(w2, v2, r)
+        s, last = blocks(w, v, near), error
+        error = exact.relative_error(g, s)
+        history.append((0, i, error, float(np.sqrt(change / size)) if size else 0.0, moved))
+        if error < best[0]:
+            best = (error, w, v, s)
+        if delta and (error < delta or abs(last - error) < delta):
+            break
+    error, w, v, s = best
+    spark, layer = graph.spark, lambda m: pa.array(np.repeat(graph.layers, m), pa.string())
+    p, q = (x.ravel().astype(np.int32) for x in np.indices((r, r)))
+    tables = (
+        {"node": graph.names, "c": v.astype(np.int32)},
+        {"layer": layer(graph.n), "node": np.tile(graph.names, graph.l), "w": w.ravel()},
+        {"layer": layer(r * r), "p": np.tile(p, graph.l), "q": np.tile(q, graph.l), "s": s.ravel()},
+    )
+    steps = spark.createDataFrame(history, "trial int, iteration int, error double, z_change double, frac_changed double")
+    return FitResult(*(spark.createDataFrame(pa.table(x)) for x in tables), steps, error)

@@ -52,3 +52,13 @@ def test_restarts_join_no_edges(spark, monkeypatch):
     found = fit.fit_restarts(g.drawn, g.nodes, exact.Options(r=3, trials=1, rounds=3))
     both = found.assign.join(g.truth.withColumnRenamed("c", "t"), "node").select("c", "t").distinct()
     assert both.count() == 3 and found.assign.count() == g.nodes.count()
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_packed_sweeps_as_over_edges(graph, shared):
+    e, nodes, p = graph
+    start = nodes.withColumn("c", (F.col("node") % 2).cast("int"))
+    a, b = (fit.fit_parallel(x, nodes, start, 2, rounds=2, delta=0, shared=shared) for x in (e, p))
+    assert a.error == pytest.approx(b.error, abs=1e-9)
+    for x, y in ((a.assign, b.assign), (a.weights, b.weights), (a.history, b.history), (a.interactions, b.interactions)):
+        assert rows(x) == rows(y)
