@@ -1,8 +1,12 @@
 """Queries on the co-activity graph that must not list its edges."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamella import queries
+from lamella.functions.scalars import shown
+from lamella.operators import pairs
 from lamella.sources import graphs
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +43,11 @@ def test_no_list_of_edges(spark, monkeypatch, name):
     monkeypatch.setattr(graphs, "coactivity", listed)
     monkeypatch.setattr(graphs, "daily", listed)
     assert queries.QUERIES[name](spark, DATA).limit(1).count() == 1
+
+
+def test_arrays_round_as_columns(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 5000), rng.integers(-(10**9), 10**9, 5000) / 1e7, rng.normal(0, 1e7, 500), [0.0, -0.0, -1e-9, 5e-7, -5e-7, 4.9999999999e-7, 1e300, 0.1234565, 2.5e-6]])
+    want = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", shown(F.col("x")).alias("x")).orderBy("i").toPandas().x.to_numpy()
+    got = pairs.shown_numbers(x)
+    assert (got == want).all() and (np.signbit(got) == np.signbit(want)).all()
