@@ -7,11 +7,11 @@ each node, to the blocks of rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.functions.sparse import Rows, leading_pairs
@@ -20,6 +20,8 @@ from lamella.plans.lineage import cut
 
 #: Cells of a block of rows at most, and edges that a task deals out at once.
 CELLS, DEALT = 1 << 22, 1 << 20
+#: Columns of a tile of bits at most.
+TILE = 1 << 15
 
 
 class Packed:
@@ -134,17 +136,8 @@ class Packed:
 
     def times(self, h: DataFrame, loops: bool = True) -> DataFrame:
         """X H by layer: (layer, node, k, value), cells of 0 left out; h: (layer, node, k, value). loops: with the diagonal."""
-        table, r = h.select("layer", "node", "k", "value").toArrow(), 0
-        layer, node, k, value = (table.column(c) for c in table.column_names)
-        factors, at, k, value = {}, np.minimum(np.searchsorted(self.names, node.to_numpy()), max(0, self.n - 1)), k.to_numpy(), value.to_numpy()
-        known, r = (self.names[at] == node.to_numpy()) if self.n else np.zeros(len(at), dtype=bool), int(k.max(initial=-1)) + 1
-        codes = layer.combine_chunks().dictionary_encode()
-        for c, name in enumerate(codes.dictionary.to_pylist()):
-            own = known & (codes.indices.to_numpy() == c)
-            factors[name] = np.zeros((self.n, r))
-            np.add.at(factors[name], (at[own], k[own]), value[own])
         sc = self.spark.sparkContext
-        sent, names = sc.broadcast(factors), sc.broadcast(self.names)
+        sent, names = sc.broadcast(self.factors(h)), sc.broadcast(self.names)
 
         def run(layer, first, own):
             if (f := sent.value.get(layer)) is not None:
@@ -156,6 +149,19 @@ class Packed:
 
         return self.mapped(run, "layer string, node long, k int, value double")
 
+    def factors(self, h: DataFrame) -> dict[str, np.ndarray]:
+        """(layer, node, k, value) as arrays by layer."""
+        table, r = h.select("layer", "node", "k", "value").toArrow(), 0
+        layer, node, k, value = (table.column(c) for c in table.column_names)
+        factors, at, k, value = {}, np.minimum(np.searchsorted(self.names, node.to_numpy()), max(0, self.n - 1)), k.to_numpy(), value.to_numpy()
+        known, r = (self.names[at] == node.to_numpy()) if self.n else np.zeros(len(at), dtype=bool), int(k.max(initial=-1)) + 1
+        codes = layer.combine_chunks().dictionary_encode()
+        for c, name in enumerate(codes.dictionary.to_pylist()):
+            own = known & (codes.indices.to_numpy() == c)
+            factors[name] = np.zeros((self.n, r))
+            np.add.at(factors[name], (at[own], k[own]), value[own])
+        return factors
+
     def labels(self, partition: DataFrame, r: int) -> np.ndarray | None:
         """The labels of the nodes in order; None unless each has one, from 0 to r - 1."""
         table = partition.select("node", "c").dropna().toArrow()
@@ -206,6 +212,122 @@ class Packed:
         return self.leading[k, r]
 
 
+class Tiled(Packed):
+    """An undirected graph without loops and weights, as bits of the cells above the diagonal: a bit for every two nodes, in a checkpoint by layer.
+
+    drawn(k, i, a, b): whether node i is joined in layer k with nodes a to b, all of
+    them after it; called in tasks. Nothing is shuffled: a product takes each tile
+    both ways, and sums of its rows and columns come to the driver.
+    """
+
+    def __init__(self, spark: SparkSession, names: np.ndarray, layers: list[str], drawn: Callable[[int, int, int, int], np.ndarray]):
+        self.spark, self.names, self.n, self.l, self.layers, self.complete = spark, names, len(names), len(layers), layers, True
+        self.leading, n = {}, len(names)
+        strips = max(1, min(round((3 * spark.sparkContext.defaultParallelism) ** 0.5), n // 1024), -(-n // TILE))
+        #: Columns and rows of a tile.
+        self.wide = max(1, -(-n // strips))
+        self.high = max(1, -(-self.wide // 4))
+        tiles = [(i, j) for j in range(0, n, self.wide) for i in range(0, min(j + self.wide, n), self.high)]
+        sent = spark.sparkContext.broadcast((drawn, tiles, self.wide, self.high, n))
+
+        def made(k: int) -> DataFrame:
+            def part(batches):
+                drawn, tiles, wide, high, n = sent.value
+                for b in batches:
+                    for i, j in (tiles[t] for t in b.column(0).to_pylist()):
+                        last, end, some = min(i + high, j + wide, n), min(j + wide, n), max(1, CELLS // wide)
+                        for first in range(i, last, some):
+                            bits = np.zeros((min(first + some, last) - first, end - j), dtype=bool)
+                            for x in range(len(bits)):
+                                a = max(j, first + x + 1)
+                                if a < end:
+                                    bits[x, a - j :] = drawn(k, first + x, a, end)
+                            yield batch(top=pa.array([i], pa.int32()), first=pa.array([first], pa.int32()), begin=pa.array([j], pa.int32()), bits=[np.packbits(bits, axis=1, bitorder="little").tobytes()])
+
+            return cut(spark.range(0, len(tiles), 1, max(1, len(tiles))).mapInArrow(part, "top int, first int, begin int, bits binary"))
+
+        self.tiles = [made(k) for k in range(self.l)]
+        some = [k for k in range(self.l) if self.sums[0][k].any()]
+        if len(some) < self.l:  # layers without edges are none
+            self.tiles, self.layers, self.l = [self.tiles[k] for k in some], [layers[k] for k in some], len(some)
+            del self.sums
+
+    def products(self, factors: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """X H of some layers, each with a factor of its own."""
+        sent, n, wide, high = self.spark.sparkContext.broadcast(factors), self.n, self.wide, self.high
+
+        def part(batches):
+            out = {}
+            for b in batches:
+                for x, (k, top, first, begin) in enumerate(zip(*(b.column(c).to_pylist() for c in ("k", "top", "first", "begin")), strict=True)):
+                    end, h = min(begin + wide, n), sent.value[k]
+                    bits = np.frombuffer(b.column("bits")[x].as_buffer(), dtype=np.uint8).reshape(-1, -(-(end - begin) // 8))
+                    down = out.setdefault((k, top), np.zeros((min(high, n - top), h.shape[1])))
+                    across = out.setdefault((k, begin), np.zeros((end - begin, h.shape[1]))) if begin != top else down
+                    if len(across) < end - begin:  # rows and columns begin alike
+                        across = out[k, begin] = np.concatenate([across, np.zeros((end - begin - len(across), h.shape[1]))])
+                        down = across[: len(down)]
+                    for a in range(0, len(bits), 32):
+                        left = max(0, first + a - begin) // 8  # no cell lies before the diagonal
+                        cells = np.unpackbits(bits[a : a + 32, left:], axis=1, count=end - begin - 8 * left, bitorder="little").astype(float)
+                        at = slice(first + a, first + a + len(cells))
+                        down[at.start - top : at.stop - top] += cells @ h[begin + 8 * left : end]
+                        across[8 * left :] += cells.T @ h[at]
+            for (k, first), y in out.items():
+                yield batch(k=pa.array([k], pa.int32()), first=pa.array([first], pa.int32()), y=[y.tobytes()])
+
+        every = [self.tiles[k].coalesce(2 * self.spark.sparkContext.defaultParallelism).select(F.lit(k).alias("k"), "*") for k in factors]
+        found = {k: np.zeros(h.shape) for k, h in factors.items()}
+        if n and every:
+            for x in reduce(DataFrame.unionAll, every).mapInArrow(part, "k int, first int, y binary").collect():
+                y = np.frombuffer(x.y).reshape(-1, factors[x.k].shape[1])
+                found[x.k][x.first : x.first + len(y)] += y
+        sent.unpersist()
+        return found
+
+    @cached_property
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one = np.ones((self.n, 1))
+        degree = self._stacked(self.products({k: one for k in range(self.l)}), 1)[:, :, 0]
+        return degree, np.zeros_like(degree), degree.sum(axis=1)
+
+    def gathered(self, w: np.ndarray, v: np.ndarray, r: int) -> np.ndarray:
+        factors = {k: np.zeros((self.n, r)) for k in range(self.l)}
+        for k, h in factors.items():
+            h[np.arange(self.n), v] = w[k]
+        return self._stacked(self.products(factors), r)
+
+    def _stacked(self, found: dict[int, np.ndarray], r: int) -> np.ndarray:
+        return np.stack([found[k] for k in range(self.l)]) if self.l else np.zeros((0, self.n, r))
+
+    def layer(self, k: int) -> TiledLayer:
+        return TiledLayer(self, k)
+
+    def _listed(self, value: np.ndarray, name: str) -> DataFrame:
+        k, i = np.nonzero(self.sums[0])
+        table = pa.table({"layer": pa.array([self.layers[x] for x in k], pa.string()), "node": self.names[i], name: value[k, i]})
+        return self.spark.createDataFrame(table)
+
+    def degrees(self) -> DataFrame:
+        return self._listed(self.sums[0], "deg")
+
+    def loops(self) -> DataFrame:
+        return self._listed(self.sums[1], "loop")
+
+    def norms(self) -> DataFrame:
+        return self.spark.createDataFrame(list(zip(self.layers, self.sums[2].tolist(), strict=True)), "layer string, norm2 double")
+
+    def times(self, h: DataFrame, loops: bool = True) -> DataFrame:
+        factors = self.factors(h)
+        found = self.products({self.layers.index(x): f for x, f in factors.items() if x in self.layers})
+        parts = []
+        for layer, y in ((self.layers[k], y) for k, y in found.items()):
+            i, k = np.nonzero(y)
+            parts.append(pa.table({"layer": pa.array([layer] * len(i), pa.string()), "node": self.names[i], "k": pa.array(k, pa.int32()), "value": y[i, k]}))
+        none = pa.table({"layer": pa.array([], pa.string()), "node": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), "value": pa.array([], pa.float64())})
+        return self.spark.createDataFrame(pa.concat_tables([none, *parts]))
+
+
 class Layer:
     """A layer for methods that hold factors but no edges, as :class:`~lamella.functions.sparse.Rows`."""
 
@@ -237,6 +359,18 @@ class Layer:
         return self.times(np.eye(self.n))
 
 
+class TiledLayer(Layer):
+    def __init__(self, graph: Tiled, k: int):
+        super().__init__(graph, graph.layers[k])
+        self.k = k
+
+    def times(self, h: np.ndarray) -> np.ndarray:
+        return self.graph.products({self.k: np.asarray(h, dtype=float)})[self.k]
+
+    def bound(self) -> float:
+        return float(self.graph.sums[0][self.k].max())
+
+
 def filled(layer: str, first: int, y: np.ndarray) -> pa.RecordBatch:
     return batch(layer=[layer], first=pa.array([first], pa.int32()), y=[np.ascontiguousarray(y, dtype=float).tobytes()])
 

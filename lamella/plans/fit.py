@@ -114,23 +114,28 @@ def rows_of(edges: DataFrame, names: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(cell, np.arange(n + 1) * n), (cell % n).astype(np.int32), x
 
 
-def fit_restarts(edges: DataFrame, nodes: DataFrame, options: exact.Options, partition: DataFrame | None = None) -> FitResult:
+def held(n: int, r: int, layers: int) -> bool:
+    """Whether the driver can hold the factors of :func:`fit_restarts`."""
+    return n * (r + 4) <= LOCAL_ENTRIES and n * (r + 4) * layers <= 4 * LOCAL_ENTRIES
+
+
+def fit_restarts(edges: DataFrame | Packed, nodes: DataFrame, options: exact.Options, partition: DataFrame | None = None) -> FitResult:
     """The best of some fits of :func:`fit_parallel`, for graphs that no task holds.
 
     Each starts from the consensus of partitions of the layers (``random``: from
     hashed labels), or all from ``partition``; no fit begins after the time limit,
     and none sweeps beyond it. Edges are packed by rows, and factors go through the
     driver, as long as it can hold them (``LOCAL_ENTRIES`` for a layer, four times
-    that for all).
+    that for all). A graph that is packed already is taken as it is.
     """
     from lamella.operators.consensus import consensus
     from lamella.plans.methods import base_partitions
 
     began, best, histories = time.monotonic(), None, []
-    graph, rows = None, nodes.count() * (options.r + 4)
-    if rows <= LOCAL_ENTRIES:
+    graph, n = edges if isinstance(edges, Packed) else None, nodes.count()
+    if graph is None and held(n, options.r, 1):
         graph = Packed(edges, nodes)
-    if graph is None or not graph.complete or rows * graph.l > 4 * LOCAL_ENTRIES:
+    if graph is not edges and (graph is None or not graph.complete or not held(n, options.r, graph.l)):
         graph = cut(edges.select("layer", "src", "dst", "weight"))
     for trial in range(1 if partition is not None else options.trials):
         left = options.seconds - (time.monotonic() - began) if options.seconds else None

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.functions.scalars import guarded, mean_sd, negative_part, positive_part, quartic_minimum, shown, spectral_angle
-from lamella.operators import blocks, consensus, edges, factors, generate, linear, metrics, pairs, statistics, sweep, windows
+from lamella.operators import blocks, consensus, edges, factors, generate, linear, metrics, packed, pairs, statistics, sweep, windows
 from lamella.operators.incidence import Incidence
 from lamella.plans import exact, experiments, fit, methods
 from lamella.plans.lineage import cut, shared_dir
@@ -535,7 +535,8 @@ class PlantedGraph:
     def __init__(self, spark: SparkSession, sf_dir: str, layers: int = 3):
         users = cut(graphs.users(spark, sf_dir))
         n = users.count()
-        e, nodes = generate.planted(spark, generate.Planted(n=n, k=PLANTED, layers=layers, degree=n / 5, theta="one", p=0.5, q=0.05), users)
+        self.law, self.users = generate.Planted(n=n, k=PLANTED, layers=layers, degree=n / 5, theta="one", p=0.5, q=0.05), users
+        e, nodes = generate.planted(spark, self.law, users)
         self.spark, self.drawn, self.truth = spark, e, cut(nodes)
         self.nodes = self.truth.select("node")
         self.labels = self.truth.select("node", F.col("c").alias("label"))
@@ -544,6 +545,11 @@ class PlantedGraph:
     def edges(self) -> DataFrame:
         return cut(self.drawn)
 
+    @cached_property
+    def packed(self) -> packed.Packed | DataFrame:
+        """The graph as bits where the driver can hold factors of PLANTED columns, else its edges."""
+        return generate.planted_tiles(self.spark, self.law, self.users)[0] if fit.held(self.law.n, PLANTED, self.law.layers) else self.drawn
+
 
 def named(found: DataFrame) -> DataFrame:
     """(node, community): labels (node, c) by the smallest node of each community, so that their numbers do not matter."""
@@ -569,7 +575,7 @@ def fit_shared(g: PlantedGraph) -> DataFrame:
 
 def fit_restarts(g: PlantedGraph) -> DataFrame:
     """The distributed solver from consensus starts."""
-    return named(fit.fit_restarts(g.drawn, g.nodes, exact.Options(r=PLANTED, trials=2, rounds=5)).assign)
+    return named(fit.fit_restarts(g.packed, g.nodes, exact.Options(r=PLANTED, trials=2, rounds=5)).assign)
 
 
 def noisy_base(g: PlantedGraph) -> DataFrame:
